@@ -1,0 +1,28 @@
+"""Queries over the reference's operators."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumenfig.operators import search
+from lumenfig.sources.tables import table
+
+
+def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top 5 of the embeddings for the vector of vec_id 0."""
+    index = table(spark, sf_dir, "embeddings")
+    query = index.where(F.col("vec_id") == 0).first()["embedding"]
+    return search.knn(index, query, "vec_id").select("vec_id", F.round("score", 4).alias("score"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"knn_topk": knn_topk}
+
+SQL: dict[str, str] = {
+    "knn_topk": """
+        SELECT e.vec_id, round((1 + list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])) / 2, 4) AS score
+        FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q
+        ORDER BY (1 + list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])) / 2 DESC, e.vec_id LIMIT 5""",
+}
