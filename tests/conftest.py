@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import SparkSession
 
+from lumenfig.session import ship
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -13,4 +15,4 @@ def spark():
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
-    yield s
+    yield ship(s)
