@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lumenfig.llm import history
+from lumenfig.llm import history, near_copies
 from lumenfig.sources.tables import table
 
 
@@ -15,6 +16,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.repeated_deliveries(table(spark, sf_dir, "manifest").select("rec_id", "batch_no", "doc_id", "id", "md5"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found}
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of records whose captions share at least 0.7 of their distinct words."""
+    return near_copies.record_pairs(near_copies.alike(table(spark, sf_dir, "manifest"), "rec_id", F.col("caption")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p3_found": p3_found}
 
 SQL: dict[str, str] = {}
