@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import regex
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: A word is a maximal run of Unicode letters or digits; callers lower-case it.
-WORD = regex.compile(r"[\p{L}\p{N}]+")
+WORD = re.compile(r"[^\W_]+")
 
 
 def words(text: str | None) -> list[str]:

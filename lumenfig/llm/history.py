@@ -27,7 +27,7 @@ from heapq import merge as merge_sorted
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenfig.llm.common import checksum_of, paper_of
@@ -172,8 +172,6 @@ def coverage(points: DataFrame, found: DataFrame, min_match: int) -> DataFrame:
     """
     hit = points.join(found, "window").where(F.col("matched") >= min_match)
     ends = hit.groupBy("owner", "field", "at").agg(F.max(F.col("at") + F.col("matched")).alias("to"))
-    from pyspark.sql import Window
-
     w = Window.partitionBy("owner", "field").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     open_ = ends.withColumn("seen", F.coalesce(F.max("to").over(w), F.lit(0)))
     gain = F.greatest(F.lit(0), F.col("to") - F.greatest(F.col("at"), F.col("seen")))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfig.llm import history, near_copies
+from lumenfig.llm import history, leaks, near_copies, vantage
 from lumenfig.sources.tables import table
 
 
@@ -16,11 +16,30 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.repeated_deliveries(table(spark, sf_dir, "manifest").select("rec_id", "batch_no", "doc_id", "id", "md5"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of figures that are among each other's five most similar, with a cosine of at least 0.9."""
+    return vantage.mutual(vantage.nearest(table(spark, sf_dir, "ragi_images"), "figure_key"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of records whose captions share at least 0.7 of their distinct words."""
     return near_copies.record_pairs(near_copies.alike(table(spark, sf_dir, "manifest"), "rec_id", F.col("caption")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p3_found": p3_found}
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages and the test items with which they share a run of at least 12 words."""
+    return _leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p8_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage without its leaked spans."""
+    return leaks.without_leaks(table(spark, sf_dir, "documents"), _leaks(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p8_found": p8_found, "p8_cleaned": p8_cleaned}
 
 SQL: dict[str, str] = {}
