@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfig.llm import history, leaks, near_copies, vantage
+from lumenfig.llm import history, leaks, near_copies, packing, residue, vantage
 from lumenfig.sources.tables import table
+from lumenfig.workdir import Workdir
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +27,24 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies.record_pairs(near_copies.alike(table(spark, sf_dir, "manifest"), "rec_id", F.col("caption")))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Descriptions and questions that are or contain residue of the machinery that should have made them."""
+    found = residue.residue(table(spark, sf_dir, "manifest"), "rec_id", ["description2", "description3", "questions"])
+    return found.select(F.col("key").alias("rec_id"), "field")
+
+
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every passage, for each kind of container."""
+    sizes = packing.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
+    sizes = Workdir(spark, "packing").keep(sizes, "sizes")
+    return packing.packed(sizes, table(spark, sf_dir, "pack_size"))
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many containers of each kind are used, and how full they are."""
+    return packing.fill(p7_packed(spark, sf_dir), table(spark, sf_dir, "pack_size"))
+
+
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
 
@@ -40,6 +59,6 @@ def p8_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.without_leaks(table(spark, sf_dir, "documents"), _leaks(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p8_found": p8_found, "p8_cleaned": p8_cleaned}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found, "p8_cleaned": p8_cleaned}
 
 SQL: dict[str, str] = {}
