@@ -36,51 +36,81 @@ _SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]*\s*")
 _MARKER = re.compile(r"\b(?:" + "|".join(MARKERS) + r")\b")
 
 
-def plain(text: str) -> str:
-    """The character channel: lower case, digits as 0, white space as one space."""
-    return re.sub(r"\s+", " ", re.sub(r"\d", "0", text.lower())).strip()
+#: Ends of a value in a batch that is joined to one string, so that all work on characters is vectorised.
+_OPEN, _SHUT = "\x02", "\x03\x03\x03"
 
 
-def shape(text: str) -> str:
-    """The shape channel: words as a (capitalised or lower) or A, numbers as 0, markers as ~; the rest as it is."""
-    s = _MARKER.sub("~", text)
-    s = re.sub(r"\s+", " ", s)
-    s = re.sub(r"\b(fill in|filled in)\b", "§", s)
-    s = re.sub(r"\b(INSERT|HERE|YOUR)\b", "§", s)
-    s = re.sub(r"[^\W_]+", lambda m: "0" if m[0].isdigit() else "A" if m[0].isupper() and len(m[0]) > 1 else "a", s)
-    return re.sub(r"_{3,}", "___", s)
+def joined(texts: list[str]) -> str:
+    """Values as one string, each with its ends marked; marks inside a value become spaces."""
+    whole = "".join(texts)
+    if "\x02" in whole or "\x03" in whole:
+        texts = [re.sub("[\x02\x03]", " ", t) for t in texts]
+    big = _OPEN + (_SHUT + _OPEN).join([t.strip() for t in texts]) + _SHUT
+    return re.sub(r"\s{2,}|[^\S ]", " ", big)
 
 
-def cells(text: str, n: int) -> np.ndarray:
-    """Hashed n-grams of a text with its ends marked; shorter texts have one."""
-    code = np.frombuffer(("\x02" + text + "\x03").encode("utf-32-le"), np.uint32).astype(np.uint64)
-    if len(code) < n:
-        code = np.concatenate([code, np.zeros(n - len(code), np.uint64)])
+def plain(big: str) -> np.ndarray:
+    """The character channel: lower case, digits as 0, white space as one space."""
+    code = np.frombuffer(big.lower().encode("utf-32-le"), np.uint32)
+    return np.where((code >= 49) & (code <= 57), np.uint32(48), code)
+
+
+_KINDS = np.array([(c.isalnum() and not 0xD800 <= i < 0xE000) + 2 * c.isupper() + 4 * c.isdigit() for i in range(1 << 16) for c in [chr(i)]], np.uint8)
+
+
+def shape(big: str) -> np.ndarray:
+    """The shape channel: a run of letters and digits is 0 (digits), A (capitals, two or more) or a; markers are ~; the rest stays."""
+    s = _MARKER.sub("~", big)
+    s = re.sub(r"\b(?:fill in|filled in|INSERT|HERE|YOUR)\b", "\x07", s)
+    s = re.sub(r"_{3,}", "___", s)
+    code = np.frombuffer(s.encode("utf-32-le"), np.uint32)
+    kind = np.where(code < 1 << 16, _KINDS[np.minimum(code, (1 << 16) - 1)], 1)
+    word = (kind & 1).astype(bool)
+    first = word & ~np.r_[False, word[:-1]]
+    starts = np.flatnonzero(first)
+    out = code.copy()
+    if len(starts):
+        runs = np.cumsum(first)[word] - 1
+        size = np.bincount(runs, minlength=len(starts))
+        upper = np.bincount(runs, (kind[word] & 2) > 0, len(starts)) == size
+        digit = np.bincount(runs, (kind[word] & 4) > 0, len(starts)) == size
+        out[starts] = np.where(digit, ord("0"), np.where(upper & (size > 1), ord("A"), ord("a")))
+    return out[~word | first]
+
+
+def cells(code: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed n-grams of joined values, and which of them lie within one value."""
     h = np.zeros(len(code) - n + 1, np.uint64)
     for i in range(n):
-        h = (h + code[i : i + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h + code[i : i + len(h)].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(31)
-    return (h % np.uint64(CELLS)).astype(np.int64)
+    within = np.ones(len(h), bool)
+    for p in range(1, n):
+        within[: len(h)] &= code[p : p + len(h)] != 2
+    return (h % np.uint64(CELLS)).astype(np.int64), within
 
 
-def _seeded(texts: list[str], view, n: int) -> np.ndarray:
-    return np.bincount(np.concatenate([cells(view(t), n) for t in texts]), minlength=CELLS).astype(np.float64)
+def counted(texts: list[str]) -> np.ndarray:
+    """How often each cell occurs, characters first, then shapes."""
+    out = np.zeros(2 * CELLS, np.int64)
+    if texts:
+        big = joined(texts)
+        for at, view, n in ((0, plain, GRAM), (CELLS, shape, SHAPE_GRAM)):
+            h, within = cells(view(big), n)
+            out[at : at + CELLS] = np.bincount(h[within], minlength=CELLS)
+    return out
 
 
 def _seeds() -> dict[str, np.ndarray]:
     rng = np.random.default_rng(5)
     blind = [" ".join(rng.choice(BLIND_WORDS, 12)).capitalize() + "." for _ in range(200)]
-    names = ["name", "TITLE", "figure_type", "x"]
+    names = ["name", "TITLE", "figure_type", "FIGURE_TYPE", "x"]
     slots = []
     for s in SLOTS + MARKERS:
         for n in names:
             slot = s.replace("~", n)
-            slots += [slot, f"{slot}.", f"{slot}: {slot}", f"the {slot} of", f"the {slot} Name of", f"Name {slot} the", f"A {slot} of {slot}", f"the {slot}, and", f"20 {slot} the", f"of {slot} 20", f"a {slot}"]
-    return {
-        "filler": _seeded(FILLER * 20 + blind, plain, GRAM),
-        "notice": _seeded(NOTICES, plain, GRAM),
-        "slot": _seeded(slots, shape, SHAPE_GRAM),
-    }
+            slots += [slot, f"{slot}.", f"{slot}: {slot}", f"the {slot} of", f"the {slot} Name of", f"Name {slot} the", f"A {slot} of {slot}", f"the {slot}, and", f"20 {slot} the", f"of {slot} 20", f"a {slot}", f"{slot} the", f"{slot} Name"]
+    return {"filler": counted(FILLER * 20 + blind)[:CELLS], "notice": counted(NOTICES)[:CELLS], "slot": counted(slots)[CELLS:]}
 
 
 class Residue:
@@ -97,27 +127,46 @@ class Residue:
             ratio = np.log(own * (1 - weight) / prose + weight)
             self.tables[name] = np.minimum(ratio, 6.0).astype(np.float32)
 
-    def judge(self, value: str, cover: float = 0.5, least: float = 1.0, slot: float = 8.0) -> tuple[float, float]:
-        """(greatest share of a sentence that is filler or notice, score of the best slot)."""
-        text, best = plain(value), 0.0
-        if not text:
-            return 0.0, 0.0
-        at = cells(text, GRAM)
-        marked = np.zeros(len(text), bool)
+    def judge(self, values: list[str], least: float = 2.0) -> tuple[np.ndarray, np.ndarray]:
+        """Per value the greatest share of a sentence that is filler or notice, and the score of its best slot."""
+        share, slot = np.zeros(len(values)), np.zeros(len(values))
+        if not values:
+            return share, slot
+        big = joined(values)
+        code = plain(big)
+        starts = np.r_[np.flatnonzero(code == 2), len(code)]
+        at, within = cells(code, GRAM)
+        edge = np.zeros(len(code) + 1, np.int32)
         for name in ("filler", "notice"):
-            score = self.tables[name][at]
-            w = min(WINDOW, len(score))
-            mean = np.convolve(score, np.ones(w) / w, "valid")
-            for i in np.flatnonzero(mean >= least):
-                marked[i : i + w + GRAM - 2] = True
-        if marked.any():
+            score = np.where(within, self.tables[name][at], np.float32(0)).astype(np.float64)
+            total = np.r_[0.0, np.cumsum(score)]
+            # A window ends where its value does, so short values have short windows.
+            value = np.searchsorted(starts, np.arange(len(score)), "right")
+            stop = np.minimum(np.arange(len(score)) + WINDOW, np.maximum(starts[value] - GRAM + 1, np.arange(len(score)) + 1))
+            stop = np.minimum(stop, len(score))
+            span = stop - np.arange(len(score))
+            size = starts[value] - starts[value - 1] - GRAM + 1
+            high = (total[stop] - total[:-1] >= least * span) & (span >= np.minimum(WINDOW, np.maximum(size, 1))) & within
+            np.add.at(edge, np.flatnonzero(high), 1)
+            np.add.at(edge, np.minimum(stop[high] + GRAM - 1, len(code)), -1)
+        marked = np.cumsum(edge[:-1]) > 0
+        touched = np.unique(np.searchsorted(starts, np.flatnonzero(marked), "right") - 1)
+        for i in touched.tolist():
+            a, b = starts[i] + 1, starts[i + 1] - 3
+            text = code[a:b].tobytes().decode("utf-32-le", "replace")
             for m in _SENTENCE.finditer(text):
                 if m.end() > m.start():
-                    best = max(best, float(marked[m.start() : m.end()].mean()))
-        score = self.tables["slot"][cells(shape(value), SHAPE_GRAM)].astype(np.float64)
-        total = np.cumsum(score)
-        rise = total - np.minimum.accumulate(np.concatenate([[0.0], total[:-1]]))
-        return best, float(rise.max())
+                    share[i] = max(share[i], float(marked[a + m.start() : a + m.end()].mean()))
+        code = shape(big)
+        starts = np.flatnonzero(code == 2)
+        at, within = cells(code, SHAPE_GRAM)
+        score = np.where(within, self.tables["slot"][at], 0).astype(np.float64)
+        gain = np.add.reduceat(np.maximum(score, 0), np.minimum(starts, len(score) - 1))
+        for i in np.flatnonzero(gain > 6.0).tolist():
+            part = score[starts[i] : starts[i + 1] if i + 1 < len(starts) else len(score)]
+            total = np.cumsum(part)
+            slot[i] = (total - np.minimum.accumulate(np.r_[0.0, total[:-1]])).max()
+        return share, slot
 
 
 def fit(values: DataFrame) -> Residue:
@@ -126,10 +175,7 @@ def fit(values: DataFrame) -> Residue:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(2 * CELLS, np.int64)
         for batch in batches:
-            texts = [t for t in batch.column(0).to_pylist() if t]
-            for i in range(0, len(texts), 512):
-                held[:CELLS] += np.bincount(np.concatenate([cells(plain(t), GRAM) for t in texts[i : i + 512]]), minlength=CELLS)
-                held[CELLS:] += np.bincount(np.concatenate([cells(shape(t), SHAPE_GRAM) for t in texts[i : i + 512]]), minlength=CELLS)
+            held += counted([t for t in batch.column(0).to_pylist() if t])
         full = np.flatnonzero(held)
         for i in range(0, len(full), 65536):
             part = full[i : i + 65536]
@@ -153,7 +199,7 @@ def entries(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     return rows.select("key", "x.field", F.explode("x.texts").alias("text")).where("text is not null and trim(text) != ''")
 
 
-def residue(df: DataFrame, key: str, fields: list[str], cover: float = 0.5, slot: float = 8.0) -> DataFrame:
+def residue(df: DataFrame, key: str, fields: list[str], cover: float = 0.6, slot: float = 9.7) -> DataFrame:
     """(key, field, share, slot): values that are or hold residue, one row however many entries are hit."""
     rows = entries(df, key, fields)
     held = df.sparkSession.sparkContext.broadcast(fit(rows))
@@ -161,10 +207,10 @@ def residue(df: DataFrame, key: str, fields: list[str], cover: float = 0.5, slot
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = held.value
         for batch in batches:
-            found = [models.judge(t) for t in batch.column(2).to_pylist()]
-            hit = [i for i, (share, s) in enumerate(found) if share >= cover or s >= slot]
+            share, best = models.judge(batch.column(2).to_pylist())
+            hit = pa.array(np.flatnonzero((share >= cover) | (best >= slot)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(hit, pa.int64())), batch.column(1).take(pa.array(hit, pa.int64())), pa.array([found[i][0] for i in hit], pa.float64()), pa.array([found[i][1] for i in hit], pa.float64())],
+                [batch.column(0).take(hit), batch.column(1).take(hit), pa.array(share).take(hit), pa.array(best).take(hit)],
                 names=["key", "field", "share", "slot"],
             )
 
