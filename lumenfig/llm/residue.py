@@ -101,6 +101,17 @@ def counted(texts: list[str]) -> np.ndarray:
     return out
 
 
+def _marked_cells(slots: list[str]) -> np.ndarray:
+    """Shape cells of the slots, without grams that hold only words, spaces and stops: these say nothing about a slot."""
+    code = shape(joined(slots))
+    h, within = cells(code, SHAPE_GRAM)
+    telling = np.zeros(len(h), bool)
+    odd = ~np.isin(code, np.frombuffer("aA0 .,:;\x02\x03".encode("utf-32-le"), np.uint32))
+    for p in range(SHAPE_GRAM):
+        telling |= odd[p : p + len(h)]
+    return np.bincount(h[within & telling], minlength=CELLS)
+
+
 def _seeds() -> dict[str, np.ndarray]:
     rng = np.random.default_rng(5)
     blind = [" ".join(rng.choice(BLIND_WORDS, 12)).capitalize() + "." for _ in range(200)]
@@ -110,7 +121,7 @@ def _seeds() -> dict[str, np.ndarray]:
         for n in names:
             slot = s.replace("~", n)
             slots += [slot, f"{slot}.", f"{slot}: {slot}", f"the {slot} of", f"the {slot} Name of", f"Name {slot} the", f"A {slot} of {slot}", f"the {slot}, and", f"20 {slot} the", f"of {slot} 20", f"a {slot}", f"{slot} the", f"{slot} Name"]
-    return {"filler": counted(FILLER * 20 + blind)[:CELLS], "notice": counted(NOTICES)[:CELLS], "slot": counted(slots)[CELLS:]}
+    return {"filler": counted(FILLER * 20 + blind)[:CELLS], "notice": counted(NOTICES)[:CELLS], "slot": _marked_cells(slots)}
 
 
 class Residue:
