@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfig.llm import history, leaks, near_copies, packing, residue, vantage
+from lumenfig.llm import cut_text, history, leaks, near_copies, packing, residue, vantage
 from lumenfig.sources.tables import table
 from lumenfig.workdir import Workdir
 
@@ -33,6 +33,24 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("rec_id"), "field")
 
 
+_CUT_FIELDS = ["caption", "description2", "description3"]
+
+
+def _cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_text.cut_values(table(spark, sf_dir, "manifest"), "rec_id", _CUT_FIELDS, "collector", ["description2", "description3", "questions"])
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captions and descriptions whose end is missing."""
+    return _cuts(spark, sf_dir).select(F.col("key").alias("rec_id"), "field")
+
+
+def p6_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of cut values per collector and field."""
+    found = cut_text.cut_shares(table(spark, sf_dir, "manifest"), _cuts(spark, sf_dir), _CUT_FIELDS, "collector")
+    return found.withColumnRenamed("source", "collector")
+
+
 def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The container of every passage, for each kind of container."""
     sizes = packing.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -59,6 +77,6 @@ def p8_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.without_leaks(table(spark, sf_dir, "documents"), _leaks(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found, "p8_cleaned": p8_cleaned}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p6_shares": p6_shares, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found, "p8_cleaned": p8_cleaned}
 
 SQL: dict[str, str] = {}

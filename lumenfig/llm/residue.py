@@ -213,12 +213,17 @@ def entries(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
 def residue(df: DataFrame, key: str, fields: list[str], cover: float = 0.6, slot: float = 9.7) -> DataFrame:
     """(key, field, share, slot): values that are or hold residue, one row however many entries are hit."""
     rows = entries(df, key, fields)
-    held = df.sparkSession.sparkContext.broadcast(fit(rows))
+    return judged(rows, fit(rows), cover, slot)
+
+
+def judged(rows: DataFrame, models: Residue, cover: float = 0.6, slot: float = 9.7) -> DataFrame:
+    """The same for rows of (key, field, text) with models fitted before."""
+    rows = rows.select("key", "field", "text")
+    held = rows.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = held.value
         for batch in batches:
-            share, best = models.judge(batch.column(2).to_pylist())
+            share, best = held.value.judge(batch.column(2).to_pylist())
             hit = pa.array(np.flatnonzero((share >= cover) | (best >= slot)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(hit), batch.column(1).take(hit), pa.array(share).take(hit), pa.array(best).take(hit)],

@@ -48,7 +48,7 @@ NOTICES = [
 ]
 
 #: Markers of work left undone, and how templating languages write a slot; ~ stands for its name.
-MARKERS = ["TODO", "TBD", "TBA", "FIXME", "XXX"]
+MARKERS = ["TODO", "TBD", "TBA", "FIXME", "XXX", "XXXX"]
 SLOTS = [
     "{~}", "{{~}}", "{{ ~ }}", "${~}", "<~>", "<<~>>", "%~%", "@@~@@", "__~__", "[INSERT ~]", "[~ HERE]", "[YOUR ~]", "{% ~ %}", "[[~]]", "$~$", "##~##", "#~#",
     "%s", "%d", "{}", "{0}", "{1}", "____", "______", "(fill in)", "(to be filled in)", "#REF!", "#N/A", "#NAME?", "#VALUE!", "<%= ~ %>",
