@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfig.llm import cut_text, history, leaks, near_copies, packing, residue, vantage
+from lumenfig.llm import cut_text, history, leaks, near_copies, packing, page_noise, residue, vantage
 from lumenfig.sources.tables import table
 from lumenfig.workdir import Workdir
 
@@ -27,6 +27,20 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies.record_pairs(near_copies.alike(table(spark, sf_dir, "manifest"), "rec_id", F.col("caption")))
 
 
+def _repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_noise.repaired(table(spark, sf_dir, "manifest"), "rec_id", F.col("caption"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records whose caption has traces of scanning or page layout."""
+    return _repaired(spark, sf_dir).where("size(traces) > 0").select(F.col("key").alias("rec_id"))
+
+
+def p4_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every caption as clean running text, and the kinds of traces it had."""
+    return _repaired(spark, sf_dir).select(F.col("key").alias("rec_id"), F.col("text").alias("caption"), F.array_join("traces", ", ").alias("traces"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Descriptions and questions that are or contain residue of the machinery that should have made them."""
     found = residue.residue(table(spark, sf_dir, "manifest"), "rec_id", ["description2", "description3", "questions"])
@@ -77,6 +91,6 @@ def p8_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.without_leaks(table(spark, sf_dir, "documents"), _leaks(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p6_shares": p6_shares, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found, "p8_cleaned": p8_cleaned}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_repaired": p4_repaired, "p5_found": p5_found, "p6_found": p6_found, "p6_shares": p6_shares, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found, "p8_cleaned": p8_cleaned}
 
 SQL: dict[str, str] = {}
