@@ -35,6 +35,8 @@ from lumenfig.workdir import Workdir
 CELLS = (1 << 18, 1 << 19, 1 << 19, 1 << 19)
 _TOKEN = re.compile(r"\x02|\d+(?:[.,]\d+)*[^\W\d_]?\b|[^\W_]+(?:[-'’][^\W_]+)*|[^\w\s]|_")
 _PAGE = r"(?s)\s*(\[p\. ?\d+\]|[-–—] ?\d+ ?[-–—]|\n\s*(?:[Pp]age )?\d+|(?<=[.!?])\s+\d{1,4})\s*$"
+#: Characters at the end of a value in which page numbers, marks and stops are looked for.
+TAIL = 24
 #: Marks of omission at the end of a value, and stops.
 _OMITTED = re.compile(r"(?:…|\.\.\.|\[|>>|�|\(|-->?|\\)\s*$")
 _STOPPED = re.compile(r"[.!?][\"'”’)\]]*\s*$")
@@ -203,12 +205,13 @@ def cut_shares(df: DataFrame, cut: DataFrame, fields: list[str], source: str) ->
 
 
 def _cut(rows: DataFrame) -> DataFrame:
-    rows = rows.withColumn("bare", F.regexp_replace("text", _PAGE, ""))
-    rows = rows.withColumn("bare", F.when(F.trim("bare") != "", F.col("bare")).otherwise(F.col("text")))
+    tail = F.regexp_replace(F.right("text", F.lit(TAIL)), _PAGE, "")
+    bare = F.concat(F.expr(f"left(text, greatest(0, length(text) - {TAIL}))"), tail)
+    rows = rows.withColumn("bare", F.when(F.trim(bare) != "", bare).otherwise(F.col("text")))
     units = F.array(
         F.struct(F.lit("characters").alias("unit"), F.length("text").alias("size")), F.struct(F.lit("bytes").alias("unit"), F.octet_length("text").alias("size"))
     )
-    rows = rows.withColumn("open", ~F.col("bare").rlike(_STOPPED.pattern) | F.col("bare").rlike(_OMITTED.pattern))
+    rows = rows.withColumn("open", ~F.right("bare", F.lit(TAIL)).rlike(_STOPPED.pattern) | F.right("bare", F.lit(TAIL)).rlike(_OMITTED.pattern))
     limits = significant_lengths(rows.select("source", "field", "open", F.explode(units).alias("u")).select("source", "field", "u.unit", "u.size", "open"))
     limits = limits.groupBy("source", "field").agg(
         F.collect_set(F.when(F.col("unit") == "bytes", F.col("size"))).alias("in_bytes"), F.collect_set(F.when(F.col("unit") != "bytes", F.col("size"))).alias("in_characters")
