@@ -127,7 +127,7 @@ def labelled(n: int, seed: int) -> list[tuple[str, list[tuple[str, int, int]]]]:
         text, spans = "", []
         for _ in range(int(made.rng.integers(1, 5))):
             text += made.pick(["", " ", "", "\n"]) if text else ""
-            plan = made.pick(WITH if made.chance(0.5) else WITHOUT)
+            plan, loud = (made.pick(WITH), False) if made.chance(0.5) else (made.pick(WITHOUT), made.chance(0.1))
             for piece in re.split(r"(\{\w+\})", plan):
                 key = piece[1:-1] if piece[:1] == "{" else ""
                 if key in say:
@@ -136,7 +136,8 @@ def labelled(n: int, seed: int) -> list[tuple[str, list[tuple[str, int, int]]]]:
                     spans.append((kind, len(text), len(text) + len(value)))
                     text += value
                 else:
-                    text += made.model() if key == "x" else str(made.rng.integers(1, 9999)) if key == "n" else made.digits(int(key[1:])) if key[:1] == "d" else piece
+                    said = made.model() if key == "x" else str(made.rng.integers(1, 9999)) if key == "n" else made.digits(int(key[1:])) if key[:1] == "d" else piece
+                    text += said.upper() if loud else said
             text += " "
         out.append((text.rstrip(), spans))
     return out

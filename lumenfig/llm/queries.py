@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfig.llm import cut_text, history, leaks, near_copies, packing, page_noise, residue, vantage
+from lumenfig.llm import cut_text, history, leaks, near_copies, packing, page_noise, pii, residue, vantage
 from lumenfig.sources.tables import table
 from lumenfig.workdir import Workdir
 
@@ -91,6 +91,17 @@ def p8_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.without_leaks(table(spark, sf_dir, "documents"), _leaks(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_repaired": p4_repaired, "p5_found": p5_found, "p6_found": p6_found, "p6_shares": p6_shares, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found, "p8_cleaned": p8_cleaned}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages and the kinds of personal mentions they contain."""
+    found = pii.redacted(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.select(F.col("key").alias("doc_id"), F.explode("kinds").alias("kind"))
+
+
+def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage with its personal mentions replaced by placeholders."""
+    return pii.redacted(table(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("key").alias("doc_id"), "text")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_repaired": p4_repaired, "p5_found": p5_found, "p6_found": p6_found, "p6_shares": p6_shares, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found, "p8_cleaned": p8_cleaned, "p9_found": p9_found, "p9_redacted": p9_redacted}
 
 SQL: dict[str, str] = {}
