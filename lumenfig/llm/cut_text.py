@@ -205,13 +205,16 @@ def cut_shares(df: DataFrame, cut: DataFrame, fields: list[str], source: str) ->
 
 
 def _cut(rows: DataFrame) -> DataFrame:
+    # Most values end in a plain stop: these need no pattern, neither for page numbers nor for marks.
+    plain = F.col("text").endswith(".") & ~F.col("text").endswith("..")
     tail = F.regexp_replace(F.right("text", F.lit(TAIL)), _PAGE, "")
     bare = F.concat(F.expr(f"left(text, greatest(0, length(text) - {TAIL}))"), tail)
-    rows = rows.withColumn("bare", F.when(F.trim(bare) != "", bare).otherwise(F.col("text")))
+    rows = rows.withColumn("bare", F.when(plain, F.col("text")).when(F.length(F.trim(bare)) > 0, bare).otherwise(F.col("text")))
+    end = F.right("bare", F.lit(TAIL))
+    rows = rows.withColumn("open", ~plain & (~end.rlike(_STOPPED.pattern) | end.rlike(_OMITTED.pattern)))
     units = F.array(
         F.struct(F.lit("characters").alias("unit"), F.length("text").alias("size")), F.struct(F.lit("bytes").alias("unit"), F.octet_length("text").alias("size"))
     )
-    rows = rows.withColumn("open", ~F.right("bare", F.lit(TAIL)).rlike(_STOPPED.pattern) | F.right("bare", F.lit(TAIL)).rlike(_OMITTED.pattern))
     limits = significant_lengths(rows.select("source", "field", "open", F.explode(units).alias("u")).select("source", "field", "u.unit", "u.size", "open"))
     limits = limits.groupBy("source", "field").agg(
         F.collect_set(F.when(F.col("unit") == "bytes", F.col("size"))).alias("in_bytes"), F.collect_set(F.when(F.col("unit") != "bytes", F.col("size"))).alias("in_characters")
