@@ -211,7 +211,10 @@ def _settle(history: History, points: DataFrame, batch: int) -> tuple[DataFrame,
     kept = accepted[0]
     for df in accepted[1:]:
         kept = kept.unionByName(df)
-    return out.distinct(), kept
+    # What repeats history may by its other identity repeat a record that its own batch brought.
+    other = seen.where("match is null").join(flag.where("old"), "owner", "left_semi").select("owner", "window")
+    same = other.join(kept.select(F.col("owner").alias("first"), "window"), "window").where("first < owner").select("first", "owner")
+    return out.unionByName(same).distinct(), kept
 
 
 def repeated_deliveries(records: DataFrame, shards: int = 32) -> DataFrame:
