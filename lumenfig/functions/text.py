@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 #: How captions and labels begin.
 FIGURE_CAPTION = r"(?i)^\s*(?:Figure|Fig\.?|Figura)\s*[A-Za-z0-9]+[\.\:\-]\s+"
@@ -266,7 +267,7 @@ def data_url(content: Column, path: Column) -> Column:
     return F.concat(F.lit("data:image/"), kind, F.lit(";base64,"), F.regexp_replace(F.base64(content), r"\s", ""))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of matching blocks of two texts, in either case; no built-in function is equivalent."""
     return pd.Series([difflib.SequenceMatcher(None, (x or "").lower(), (y or "").lower()).ratio() for x, y in zip(a, b)])

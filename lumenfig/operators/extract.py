@@ -9,6 +9,7 @@ from lumenfig.functions import text as T
 from lumenfig.functions.geometry import Box, clamp, padded
 from lumenfig.operators import grouped, images, layout
 from lumenfig.operators.layout import PAGE
+from lumenfig.workdir import Workdir
 
 XY = ["x0", "y0", "x1", "y1"]
 
@@ -33,28 +34,33 @@ def figures(pages: DataFrame, boxes: DataFrame, blocks: DataFrame, drawings: Dat
     """(doc_id, page, id, score, caption, box): the numbered figures of documents whose pages have one size.
 
     Candidates of the detector come first, then seeds above captions that none of them has; candidates with one caption are merged, near-equal
-    ones dropped, then contained ones, and the rest is numbered through each document.
+    ones dropped, then contained ones, and the rest is numbered through each document. Stages are written to the shared folder, which
+    keeps each plan small and what is used twice from being made twice.
     """
+    work = Workdir(boxes.sparkSession, "extract")
+    boxes = work.keep(boxes, "boxes")
     figs = layout.candidates(boxes)
     visuals = drawings.select(*PAGE, *XY).unionByName(figs.select(*PAGE, *XY))
     text = layout.classify(layout.in_visual(blocks, visuals), F.lit(float(height)))
-    drawn = layout.in_visual(text.drop("in_visual"), drawings)
+    drawn = work.keep(layout.in_visual(text.drop("in_visual"), drawings), "text")
     edge = layout.watermark_edge(watermarks, F.lit(float(width)))
     captions = layout.figure_captions(drawn)
     cap = captions.select(*PAGE, F.col("ord").alias("cap_ord"), F.col("text").alias("caption"), *[F.col(c).alias(f"cap_{c}") for c in XY])
-    wide = figs.select(*PAGE, "ord", "score").join(layout.with_labels(figs, drawn), [*PAGE, "ord"])
+    wide = work.keep(figs.select(*PAGE, "ord", "score").join(layout.with_labels(figs, drawn), [*PAGE, "ord"]), "wide")
     met = wide.join(layout.caption_below(wide, captions), [*PAGE, "ord"]).join(cap, [*PAGE, "cap_ord"])
-    met = met.where(T.is_figure_caption(F.col("caption")) & ~T.is_table_caption(F.col("caption")))
+    met = work.keep(met.where(T.is_figure_caption(F.col("caption")) & ~T.is_table_caption(F.col("caption"))), "met")
     met = met.join(layout.extended_bottom(met, drawn), [*PAGE, "ord"]).withColumn("y1", F.least("bottom", F.col("cap_y0") - 2.0)).drop("bottom")
     met = met.join(edge, "doc_id", "left").withColumn("edge", F.when(F.col("page") == 1, F.coalesce("edge", F.lit(0.0))).otherwise(0.0))
     box = padded(Box.of(), F.lit(float(width)), F.lit(float(height)), left=F.col("edge"))
     met = met.select(*PAGE, "ord", "score", "caption", "edge", *[F.col(f"cap_{c}") for c in XY], *[v.cast("double").alias(c) for v, c in zip(box, XY)])
     met = met.where((F.col("x1") > F.col("x0") + 10) & (F.col("y1") > F.col("y0") + 10))
-    first = _finished(met, pages, boxes, drawn, codec, width, height, False)
+    met = work.keep(met, "boxed")
+    first = work.keep(_finished(met, pages, boxes, drawn, codec, width, height, False), "first")
     seeds = layout.seeds_for_unmatched(captions, first.select(*PAGE, F.col("caption").alias("text")))
     seeds = seeds.withColumnRenamed("ord", "cap_ord").withColumnRenamed("text", "caption").join(cap.drop("caption"), [*PAGE, "cap_ord"])
     seeds = seeds.join(edge, "doc_id", "left").withColumn("edge", F.when(F.col("page") == 1, F.coalesce("edge", F.lit(0.0))).otherwise(0.0))
     seeds = seeds.withColumn("x0", F.greatest("x0", "edge")).withColumn("ord", F.col("cap_ord") + 1_000_000).drop("cap_ord")
+    seeds = work.keep(seeds, "seeds")
     more = _finished(seeds, pages, boxes, drawn, codec, width, height, True)
     merged = layout.merged_by_caption(first.unionByName(more))
     kept = grouped.drop_contained(grouped.dedup_greedy(merged))

@@ -1,13 +1,18 @@
-"""Operators per page whose result depends on the order of boxes, as Arrow-based grouped functions.
+"""Operators per page whose result depends on the order of boxes, as Arrow-based functions.
 
-A page holds a few dozen boxes at most, so a group is small; pages spread over the cluster. Empty tables give empty results.
+Rows are partitioned and sorted by page and streamed through in batches of whole pages, so that a call handles many pages and
+memory is bounded by a batch and its last page. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lumenfig.operators.layout import CAPTIONS, PAGE, TITLE
 
@@ -50,22 +55,51 @@ def uncontained_keep(boxes: np.ndarray, limit: float = 0.90) -> np.ndarray:
     return alive
 
 
-def _kept(rows: DataFrame, keep) -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord", kind="stable")
-        return pdf[keep(pdf)]
+def by_page(rows: DataFrame, order: list[str], run: Callable[[pa.Table, np.ndarray], pa.Table], schema) -> DataFrame:
+    """Applies ``run`` to tables of whole pages, sorted by page and order, with the first row of each page and the end."""
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in _then_none(batches):
+            table = rest if batch is None else pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            if table is None or not table.num_rows:
+                continue
+            keys = pd.DataFrame({c: table.column(c).to_pandas() for c in PAGE})
+            starts = np.flatnonzero((keys != keys.shift()).any(axis=1).to_numpy())
+            whole = table.num_rows if batch is None else int(starts[-1])
+            rest = None if batch is None else table.slice(whole)
+            if whole:
+                done = run(table.slice(0, whole), np.r_[starts[starts < whole], whole])
+                yield from done.combine_chunks().to_batches()
+
+    return rows.repartition(*PAGE).sortWithinPartitions(*PAGE, *order).mapInArrow(stream, schema)
+
+
+def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
 
-    return rows.groupBy(*PAGE).applyInPandas(run, rows.schema)
+
+def _matrix(table: pa.Table, columns: list[str]) -> np.ndarray:
+    return np.stack([table.column(c).to_numpy().astype(float) for c in columns], 1)
+
+
+def _kept(rows: DataFrame, keep: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    def run(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        boxes, scores = _matrix(table, XY), table.column("score").to_numpy().astype(float)
+        return table.filter(pa.array(np.concatenate([keep(boxes[a:b], scores[a:b]) if b - a > 1 else np.ones(1, bool) for a, b in zip(starts, starts[1:])])))
+
+    return by_page(rows, ["ord"], run, rows.schema)
 
 
 def dedup_greedy(rows: DataFrame, limit: float = 0.80) -> DataFrame:
     """Rows (doc_id, page, ord, score, box) without near-equal boxes."""
-    return _kept(rows, lambda p: greedy_keep(p[XY].to_numpy(float), p["score"].to_numpy(float), limit))
+    return _kept(rows, lambda boxes, scores: greedy_keep(boxes, scores, limit))
 
 
 def drop_contained(rows: DataFrame, limit: float = 0.90) -> DataFrame:
     """Rows without boxes that lie in a larger one."""
-    return _kept(rows, lambda p: uncontained_keep(p[XY].to_numpy(float), limit))
+    return _kept(rows, lambda boxes, _: uncontained_keep(boxes, limit))
 
 
 def unsliced(box: np.ndarray, blocks: list[tuple[np.ndarray, int, int, bool]], width: int, height: int, pad: int = 4, passes: int = 10) -> np.ndarray:
@@ -100,13 +134,26 @@ def unsliced(box: np.ndarray, blocks: list[tuple[np.ndarray, int, int, bool]], w
 
 def prevent_slicing(figures: DataFrame, blocks: DataFrame, width: int, height: int) -> DataFrame:
     """Figures (doc_id, page, ord, box) moved so that they cut through no block (ord, text, cls, in_visual, box) of their page."""
-
-    def run(fig: pd.DataFrame, txt: pd.DataFrame) -> pd.DataFrame:
-        txt = txt.sort_values("ord", kind="stable")
-        words = [len((t or "").split()) for t in txt["text"]]
-        held = list(zip(txt[XY].to_numpy(float), txt["cls"].astype(int), words, txt["in_visual"].astype(bool)))
-        if len(fig):
-            fig = fig.assign(**dict(zip(XY, np.stack([unsliced(b, held, width, height) for b in fig[XY].to_numpy(float)]).T)))
-        return fig
-
-    return figures.groupBy(*PAGE).cogroup(blocks.groupBy(*PAGE)).applyInPandas(run, figures.schema)
+    words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != ""))
+    own = F.struct(*[F.col(c) for c in figures.columns]).alias("fig")
+    coords = [F.col(c).cast("double").alias(c) for c in XY]
+    none = F.lit(None).cast(figures.select(own).schema["fig"].dataType).alias("fig")
+    left = figures.select(*PAGE, "ord", F.lit(1).alias("side"), F.lit(0).alias("cls"), F.lit(0).alias("words"), F.lit(False).alias("drawn"), *coords, own)
+    right = blocks.select(*PAGE, "ord", F.lit(0).alias("side"), F.col("cls").cast("int").alias("cls"), words.alias("words"), F.col("in_visual").alias("drawn"), *coords, none)
+
+    def run(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        boxes, side = _matrix(table, XY), table.column("side").to_numpy()
+        cls, many, drawn = (table.column(c).to_numpy(zero_copy_only=False) for c in ("cls", "words", "drawn"))
+        for a, b in zip(starts, starts[1:]):
+            held = [(boxes[i], int(cls[i]), int(many[i]), bool(drawn[i])) for i in range(a, b) if not side[i]]
+            for i in range(a, b):
+                if side[i] and held:
+                    boxes[i] = unsliced(boxes[i], held, width, height)
+        mine = side == 1
+        table, moved = table.filter(pa.array(mine)), boxes[mine]
+        for i, c in enumerate(XY):
+            table = table.set_column(table.schema.get_field_index(c), c, pa.array(moved[:, i]))
+        return table.select([*PAGE, "ord", *XY, "fig"])
+
+    made = by_page(left.unionByName(right), ["side", "ord"], run, left.select(*PAGE, "ord", *XY, "fig").schema)
+    return made.select(*[F.col(c) if c in XY else F.col(f"fig.{c}").alias(c) for c in figures.columns])

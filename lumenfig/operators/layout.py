@@ -54,13 +54,12 @@ def _as(df: DataFrame, prefix: str, keep: list[str]) -> DataFrame:
 def in_visual(blocks: DataFrame, visuals: DataFrame, share: float = 0.4) -> DataFrame:
     """Blocks with a flag: does some visual of the page cover more than ``share`` of the block?
 
-    A block without area is in no visual. One row per block, whatever the number of visuals.
+    A block without area is in no visual. The visuals of a page are few, so they go along as an array and blocks stay one row each.
     """
-    left = blocks.withColumn("_row", F.monotonically_increasing_id())
-    pair = left.select("_row", *PAGE, "x0", "y0", "x1", "y1").join(_as(visuals, "v_", []), PAGE)
-    block, visual = Box.of(), Box.of("v_")
-    hit = pair.where((block.area > 0) & (intersection(block, visual) > share * block.area)).select("_row").distinct().withColumn("in_visual", F.lit(True))
-    return left.join(hit, "_row", "left").withColumn("in_visual", F.coalesce("in_visual", F.lit(False))).drop("_row")
+    held = visuals.groupBy(*PAGE).agg(F.collect_list(F.struct(*[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")])).alias("_visuals"))
+    block = Box.of()
+    hit = F.exists("_visuals", lambda v: intersection(block, Box(v["x0"], v["y0"], v["x1"], v["y1"])) > share * block.area)
+    return blocks.join(held, PAGE, "left").withColumn("in_visual", F.coalesce((block.area > 0) & hit, F.lit(False))).drop("_visuals")
 
 
 def classify(blocks: DataFrame, page_height: Column) -> DataFrame:

@@ -38,11 +38,11 @@ def image_candidates(base: str) -> Column:
 
 def with_image(records: DataFrame, listing: DataFrame, base: str, key: str = "image_path") -> DataFrame:
     """Records with the path of the first candidate that exists, null if none does. listing: path."""
-    each = records.withColumn("_row", F.monotonically_increasing_id())
-    tries = each.select("_row", F.posexplode(image_candidates(base)).alias("_at", "path"))
-    there = listing.select(F.regexp_replace("path", "^file:", "").alias("path")).distinct()
-    first = tries.join(there, "path").groupBy("_row").agg(F.min_by("path", "_at").alias("image_file"))
-    return each.join(first, "_row", "left").drop("_row")
+    each = records.withColumn("_tries", image_candidates(base))
+    tries = each.select("_tries").distinct().select("_tries", F.posexplode("_tries").alias("_at", "path"))
+    there = listing.select(F.regexp_replace("path", "^file:/*", "/").alias("path")).distinct()
+    first = tries.join(there, "path").groupBy("_tries").agg(F.min_by("path", "_at").alias("image_file"))
+    return each.join(first, "_tries", "left").drop("_tries")
 
 
 def first_image(spark: SparkSession, root: str) -> bytes | None:
