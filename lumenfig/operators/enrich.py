@@ -17,6 +17,7 @@ from pyspark.sql.functions import pandas_udf
 
 from lumenfig.functions import text as T
 from lumenfig.functions import validators as V
+from lumenfig.workdir import Workdir
 
 #: The questions of a record without caption.
 NO_CAPTION = ("What main idea does the figure present?", "What overall structure or pattern is shown in the figure?")
@@ -105,12 +106,15 @@ def attempts(rows: DataFrame, model: Model, first: Column, again: Callable[[Colu
     """Rows with answer, reason (null: it passed), last and error: up to ``tries`` attempts, each after a repair prompt of the one before.
 
     ``last`` is the last answer whether it passed or not. A row whose model raises keeps the error and is not asked again.
+    Each attempt is written to the shared folder, so that no answer is ever asked for twice and plans stay small.
     """
+    work = Workdir(rows.sparkSession, "attempts")
     rows = rows.withColumn("_prompt", first).withColumn("_open", first.isNotNull())
     rows = rows.withColumn("answer", F.lit(None).cast("string")).withColumn("last", F.lit(None).cast("string")).withColumn("reason", F.lit(None).cast("string")).withColumn("error", F.lit(None).cast("string"))
-    for _ in range(tries):
-        rows = rows.withColumn("_made", _ask(model, F.when(F.col("_open"), F.col("_prompt")), image, spacing))
-        rows = rows.withColumn("_now", F.when(F.col("_open"), T.model_output(F.col("_made.value"))))
+    for turn in range(tries):
+        rows = work.keep(rows.withColumn("_made", _ask(model, F.when(F.col("_open"), F.col("_prompt")), image, spacing)), f"asked{turn}")
+        rows = work.keep(rows.withColumn("_now", F.when(F.col("_open"), T.model_output(F.col("_made.value")))), f"read{turn}")
+        work.drop(f"asked{turn}")
         rows = rows.withColumn("_fail", F.when(F.col("_open"), check(F.col("_now"))))
         passed = F.col("_open") & F.col("_made.error").isNull() & F.col("_fail").isNull()
         rows = (
@@ -120,7 +124,8 @@ def attempts(rows: DataFrame, model: Model, first: Column, again: Callable[[Colu
             .withColumn("error", F.when(F.col("_open"), F.col("_made.error")).otherwise(F.col("error")))
             .withColumn("_open", F.col("_open") & ~passed & F.col("_made.error").isNull())
         )
-        rows = rows.withColumn("_prompt", again(F.col("last"), F.col("reason")))
+        rows = work.keep(rows.withColumn("_prompt", again(F.col("last"), F.col("reason"))), f"judged{turn}")
+        work.drop(f"read{turn}")
     return rows.drop("_prompt", "_open", "_made", "_now", "_fail")
 
 
@@ -175,7 +180,8 @@ def describe_images(rows: DataFrame, model: Model, tries: int = 3, policy: str =
 def ask_questions(rows: DataFrame, model: Model, tries: int = 3, spacing: float = 0.0) -> DataFrame:
     """Rows (caption, image, panels, figure_type) with two questions; general ones by keywords when no attempt passed."""
     empty = T.strip(F.col("caption")) == ""
-    anchors = T.anchor_terms(F.col("caption"))
+    rows = rows.withColumn("_anchors", T.anchor_terms(F.col("caption")))
+    anchors = F.col("_anchors")
     prompt = F.when(~empty, question_prompt(F.col("caption"), F.col("panels"), F.col("figure_type"), anchors))
     old = F.col("questions") if "questions" in rows.columns else F.lit(None).cast("array<string>")
 
@@ -188,7 +194,7 @@ def ask_questions(rows: DataFrame, model: Model, tries: int = 3, spacing: float
     made = F.when(F.col("answer").isNotNull(), F.array(T.normalize_question(T.with_mark(pair["q1"])), T.normalize_question(T.with_mark(pair["q2"]))))
     made = made.otherwise(T.fallback_questions(F.col("caption"), F.col("figure_type")))
     none = F.array(*[F.lit(q) for q in NO_CAPTION])
-    return out.withColumn("questions", F.when(empty, none).when(F.col("error").isNotNull(), old).otherwise(made)).drop("answer", "last")
+    return out.withColumn("questions", F.when(empty, none).when(F.col("error").isNotNull(), old).otherwise(made)).drop("answer", "last", "_anchors")
 
 
 def needs(value: Column, force: bool) -> Column:
