@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from lumenfig import schemas
 from lumenfig.functions import text as T
@@ -15,13 +16,13 @@ def read(spark: SparkSession, root: str, on_error: str = "skip", legacy: bool =
     on_error: "skip" leaves out every file with an unreadable record, "raise" fails on it. A missing column is null.
     """
     fields = schemas.MANIFEST + (f", {schemas.LEGACY}" if legacy else "")
-    reader = spark.read.option("multiLine", True).option("pathGlobFilter", "manifest.json").option("recursiveFileLookup", True)
+    find = {"pathGlobFilter": "manifest.json", "recursiveFileLookup": True}
     if on_error == "raise":
-        return reader.schema(fields).option("mode", "FAILFAST").json(root)
-    rows = reader.schema(f"{fields}, _bad STRING").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(root)
-    rows = rows.withColumn("_file", F.input_file_name())
-    bad = rows.where("_bad is not null").select("_file").distinct()
-    return rows.join(bad, "_file", "left_anti").drop("_file", "_bad")
+        return spark.read.options(**find).option("multiLine", True).option("mode", "FAILFAST").schema(fields).json(root)
+    # A manifest is one document's list and small, so a file is one value: it parses whole or not at all.
+    files = spark.read.options(**find).text(root, wholetext=True)
+    parsed = files.select(F.from_json("value", ArrayType(StructType.fromDDL(fields))).alias("r"))
+    return parsed.select(F.explode("r").alias("r")).select("r.*")
 
 
 def current(records: DataFrame) -> DataFrame:
