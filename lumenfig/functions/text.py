@@ -100,7 +100,7 @@ def anchor_terms(caption: Column, k: int = 10) -> Column:
     ranked = F.transform(
         F.array_distinct(words),
         lambda w: F.struct(
-            (-F.size(F.filter(words, lambda x: x == w))).alias("n"), (-F.length(w)).alias("l"), F.array_position(words, w).alias("p"), w.alias("w")
+            (F.size(F.array_remove(words, w)) - F.size(words)).alias("n"), (-F.length(w)).alias("l"), F.array_position(words, w).alias("p"), w.alias("w")
         ),
     )
     return F.transform(F.slice(F.array_sort(ranked), 1, k), lambda r: r["w"])
