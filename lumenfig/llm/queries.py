@@ -27,6 +27,17 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies.record_pairs(near_copies.alike(table(spark, sf_dir, "manifest"), "rec_id", F.col("caption")))
 
 
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of every record with a caption, and the links of its class of equal word sets."""
+    found = near_copies.alike(table(spark, sf_dir, "manifest"), "rec_id", F.col("caption"))
+    return near_copies.groups(found).select(F.col("id").alias("rec_id"), "group_id", "links")
+
+
+def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The up to five most similar other figures of every figure, with a cosine of at least 0.9."""
+    return vantage.nearest(table(spark, sf_dir, "ragi_images"), "figure_key")
+
+
 def _repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_noise.repaired(table(spark, sf_dir, "manifest"), "rec_id", F.col("caption"))
 
@@ -102,6 +113,31 @@ def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.redacted(table(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("key").alias("doc_id"), "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_repaired": p4_repaired, "p5_found": p5_found, "p6_found": p6_found, "p6_shares": p6_shares, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found, "p8_cleaned": p8_cleaned, "p9_found": p9_found, "p9_redacted": p9_redacted}
-
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        p1_found, p2_found, p2_neighbours, p3_found, p3_groups, p4_found, p4_repaired, p5_found, p6_found, p6_shares,
+        p7_packed, p7_fill, p8_found, p8_cleaned, p9_found, p9_redacted,
+    )
+}
+
+_WORDS = "regexp_extract_all(lower(coalesce({t}, '')), '[\\p{{L}}\\p{{N}}]+')"
+
+#: SQL for those that are exact set or vector operations; it compares everything with everything and is meant for small data.
+SQL: dict[str, str] = {
+    "p2_found": """
+        WITH d AS (SELECT figure_key, min(embedding::DOUBLE[]) AS v FROM ragi_images WHERE len(embedding) = 64 AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x)))
+            AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0 GROUP BY figure_key),
+        s AS (SELECT a.figure_key AS a, b.figure_key AS b, list_cosine_similarity(a.v, b.v) AS c FROM d a JOIN d b ON a.figure_key <> b.figure_key),
+        t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER BY c DESC, b) <= 5)
+        SELECT x.a AS figure_key_a, x.b AS figure_key_b FROM t x JOIN t y ON x.a = y.b AND x.b = y.a WHERE x.a < x.b AND x.c >= 0.9""",
+    "p3_found": f"""
+        WITH s AS (SELECT rec_id, list_distinct({_WORDS.format(t="caption")}) AS w FROM manifest), n AS (SELECT rec_id, w, len(w) AS n FROM s WHERE len(w) > 0),
+        shared AS (SELECT a.rec_id AS a, b.rec_id AS b, a.n AS na, b.n AS nb, len(list_intersect(a.w, b.w)) AS i FROM n a JOIN n b ON a.rec_id < b.rec_id AND 10 * a.n >= 7 * b.n AND 10 * b.n >= 7 * a.n)
+        SELECT a AS rec_id_a, b AS rec_id_b FROM shared WHERE 10 * i >= 7 * (na + nb - i)""",
+    "p8_found": f"""
+        WITH d AS (SELECT doc_id, {_WORDS.format(t="text")} AS w FROM documents), e AS (SELECT item_id, {_WORDS.format(t="text")} AS w FROM eval_item),
+        dr AS (SELECT doc_id, unnest(list_transform(generate_series(1, len(w) - 11), lambda i: array_to_string(w[i:i + 11], ' '))) AS r FROM d WHERE len(w) >= 12),
+        er AS (SELECT item_id, unnest(list_transform(generate_series(1, len(w) - 11), lambda i: array_to_string(w[i:i + 11], ' '))) AS r FROM e WHERE len(w) >= 12)
+        SELECT DISTINCT doc_id, item_id FROM dr JOIN er USING (r)""",
+}
