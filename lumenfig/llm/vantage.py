@@ -32,6 +32,8 @@ from lumenfig.workdir import Workdir
 
 #: Vectors per shard, on average; vectors in a leaf of a shard's tree.
 SHARD_ROWS, LEAF_ROWS = 4096, 256
+#: Cells of the matrix of cosines that a leaf computes at once.
+BLOCK_CELLS = 4_000_000
 
 
 class Tree:
@@ -80,6 +82,17 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2 - 2 * (a @ b.T), 0))
 
 
+def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Vectors scaled to length one; in the JVM a length would be computed again for each value."""
+    for batch in batches:
+        lists = batch.column(1)
+        x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        sizes = np.diff(lists.offsets.to_numpy())
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        x = (x / np.sqrt(np.bincount(row, x * x, len(sizes)))[row]).astype(np.float32)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(x))], names=["key", "vec"])
+
+
 def _routed(tree: Tree, slack: float, dim: int):
     """(shard, query, id, vec) of every vector: its own shard as a member, others as a query."""
 
@@ -132,9 +145,14 @@ def _searched(k: int, least: float, factor: float, dim: int):
         out: list[np.ndarray] = []
         for n in range(1 << depth):
             at, inside = row[cuts[n] : cuts[n + 1]], np.nonzero(own == n)[0]
-            for i in range(0, len(at) if len(inside) else 0, 4096):
-                cos = vecs[at[i : i + 4096]] @ held[inside].T
+            block = min(4096, max(1, BLOCK_CELLS // max(1, len(inside))))
+            for i in range(0, len(at) if len(inside) else 0, block):
+                cos = vecs[at[i : i + block]] @ held[inside].T
                 q, m = np.nonzero(cos >= least - 1e-6)
+                if len(q) > 64 * len(cos):
+                    # A leaf full of near-equal vectors: only the best can be among the k, and itself.
+                    best = np.argpartition(-cos, k, axis=1)[:, : k + 1]
+                    q, m = np.repeat(np.arange(len(cos)), best.shape[1]), best.ravel()
                 a, b, c = ids[at[i + q]], member[inside[m]], cos[q, m]
                 keep = a != b
                 out.append(np.rec.fromarrays([a[keep], b[keep], c[keep].astype(np.float64)], names="a,b,cos"))
@@ -150,21 +168,21 @@ def _searched(k: int, least: float, factor: float, dim: int):
 def nearest(df: DataFrame, key: str, vec: str = "embedding", dim: int = 64, k: int = 5, least: float = 0.9, factor: float = 10.0, sample: int = 8192) -> DataFrame:
     """(key_a, key_b, cos, place): of every row its k most similar others with a cosine of at least ``least``.
 
-    Ties of cosine go to the smaller key. With factor 1 the result is exact.
+    Ties of cosine go to the smaller key. With factor 1 the result is exact but for ties among more than k vectors.
     Each shard gives a query at most k rows, so what is shuffled after the search is bounded
-    by k rows per visit.
+    by k rows per visit. Rows with equal vectors are searched as one.
     """
     spark = df.sparkSession
     work = Workdir(spark, "vantage")
     rows = df.select(F.col(key).cast("string").alias("key"), F.col(vec).alias("vec")).where(F.col("key").isNotNull() & usable(F.col("vec"), dim))
     rows = rows.groupBy("key").agg(F.min("vec").alias("vec"))
-    size = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    rows = rows.select(F.monotonically_increasing_id().alias("id"), "key", F.transform("vec", lambda x: (x.cast("double") / size).cast("float")).alias("vec"))
-    rows = work.keep(rows, "rows")
+    named = work.keep(rows.mapInArrow(_unit, "key STRING, vec ARRAY<FLOAT>"), "named")
+    # Equal vectors are searched once; who has them comes back at the end.
+    rows = work.keep(named.groupBy("vec").agg(F.count("*").alias("n")).select(F.monotonically_increasing_id().alias("id"), "vec", "n"), "rows")
     total = rows.count()
     if not total:
         return spark.createDataFrame([], "key_a STRING, key_b STRING, cos DOUBLE, place INT")
-    drawn = rows.orderBy(F.xxhash64("key")).limit(sample).select("vec").toPandas()["vec"]
+    drawn = rows.orderBy(F.xxhash64("vec")).limit(sample).select("vec").toPandas()["vec"]
     depth = max(0, math.ceil(math.log2(max(1, total / SHARD_ROWS))))
     tree = Tree.fit(np.stack(drawn.to_numpy()).astype(np.float32), depth)
     slack = math.sqrt(max(0.0, 2 - 2 * least)) / factor
@@ -172,13 +190,27 @@ def nearest(df: DataFrame, key: str, vec: str = "embedding", dim: int = 64, k: i
     near = visits.groupBy("shard").applyInPandas(_searched(k, least, factor, dim), "a LONG, b LONG, cos DOUBLE")
     near = work.keep(near, "near")
     both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "cos")).groupBy("a", "b").agg(F.max("cos").alias("cos"))
-    names = rows.select("id", "key", "vec")
-    left = names.select(F.col("id").alias("a"), F.col("key").alias("key_a"), F.col("vec").alias("va"))
-    right = names.select(F.col("id").alias("b"), F.col("key").alias("key_b"), F.col("vec").alias("vb"))
+    left = rows.select(F.col("id").alias("a"), F.col("vec").alias("va"))
+    right = rows.select(F.col("id").alias("b"), F.col("vec").alias("vb"))
     exact = F.aggregate(F.zip_with("va", "vb", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    pairs = both.join(left, "a").join(right, "b").select("key_a", "key_b", exact.alias("cos")).where(F.col("cos") >= least)
-    w = Window.partitionBy("key_a").orderBy(F.desc("cos"), "key_b")
-    return pairs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    pairs = both.join(left, "a").join(right, "b").select("a", "b", exact.alias("cos")).where(F.col("cos") >= least)
+    pairs = pairs.withColumn("place", F.dense_rank().over(Window.partitionBy("a").orderBy(F.desc("cos")))).where(F.col("place") <= k).drop("place")
+    holders = work.keep(named.join(rows.select("vec", "id", "n"), "vec").select("id", "key", "n"), "holders")
+    first = _first_keys(holders, k + 1)
+    own = holders.where("n > 1").select("id", F.col("key").alias("key_a")).join(first.select("id", F.col("key").alias("key_b")), "id").where("key_a != key_b")
+    own = own.select("key_a", "key_b", F.lit(1.0).alias("cos"))
+    others = holders.select(F.col("id").alias("a"), F.col("key").alias("key_a")).join(pairs, "a").join(first.select(F.col("id").alias("b"), F.col("key").alias("key_b")), "b")
+    all_ = own.unionByName(others.select("key_a", "key_b", "cos"))
+    place = F.row_number().over(Window.partitionBy("key_a").orderBy(F.desc("cos"), "key_b"))
+    return all_.withColumn("place", place).where(F.col("place") <= k)
+
+
+def _first_keys(holders: DataFrame, k: int, salts: int = 64) -> DataFrame:
+    """The k smallest keys of each vector. A vector that very many rows share is ranked in salted parts first."""
+    part = Window.partitionBy("id", "salt").orderBy("key")
+    rows = holders.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)))
+    rows = rows.withColumn("r", F.row_number().over(part)).where(F.col("r") <= k)
+    return rows.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("key"))).where(F.col("r") <= k).select("id", "key")
 
 
 def mutual(found: DataFrame) -> DataFrame:

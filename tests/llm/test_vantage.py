@@ -49,3 +49,16 @@ def test_edges(spark):
     assert {(r["key_a"], r["key_b"]) for r in got.collect()} == {("a", "b"), ("b", "a")}
     assert [tuple(r) for r in vantage.mutual(got).collect()] == [("a", "b")]
     assert vantage.nearest(spark.createDataFrame([], SCHEMA), "figure_key").count() == 0
+
+
+def test_rows_with_one_vector(spark, monkeypatch):
+    monkeypatch.setattr(vantage, "SHARD_ROWS", 100)
+    monkeypatch.setattr(vantage, "LEAF_ROWS", 16)
+    x = np.concatenate([np.tile([3.0, 1.0, 0.5, 0.2], (300, 1)), np.random.default_rng(3).normal(size=(300, 4))])
+    got = _found(spark, x, factor=1.0, least=0.99)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    for i in (0, 7, 299):
+        assert {b for a, b in got if a == i} == {j for j in range(6) if j != i} if i < 6 else {b for a, b in got if a == i} == set(range(5))
+    want = {(i, int(j)) for i in range(300, 600) for j in sorted(range(600), key=lambda j: (-round(u[i] @ u[j], 9), j)) [:6] if j != i and u[i] @ u[j] >= 0.99}
+    few = {(a, b) for a, b in want if sum(p == a for p, _ in want) < 5}
+    assert few <= got
