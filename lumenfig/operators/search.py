@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenfig.functions.text import image_url, short_caption
+
 #: Hits of the service, hits of the command line, least score of the service.
 TOP_K, TOP_K_CLI, MIN_SCORE = 5, 2, 0.75
 
@@ -25,11 +27,6 @@ def usable(vec: Column, dim: int) -> Column:
     return F.coalesce((F.size(vec) == dim) & ~bad & (norm(vec) > 0), F.lit(False))
 
 
-def unit(vec: Column) -> Column:
-    n = norm(vec)
-    return F.transform(vec, lambda x: x.cast("double") / n)
-
-
 def score(a: Column, b: Column) -> Column:
     """Cosine mapped to [0, 1], as the vector store reports it."""
     return (F.lit(1.0) + dot(a, b) / (norm(a) * norm(b))) / 2
@@ -54,13 +51,37 @@ def above(hits: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
 def knn_batch(index: DataFrame, queries: DataFrame, key: str, query_key: str, vec: str = "embedding", k: int = TOP_K) -> DataFrame:
     """Top k per query for a bounded set of queries.
 
-    Both sides are normalised once, so the pair costs one inner product; the
+    Lengths are computed once a row, so a pair costs one inner product; the
     window keeps k rows per query through a rank limit before the shuffle.
     """
-    left = queries.select(F.col(query_key).alias("query_key"), unit(F.col(vec)).alias("qv"))
-    right = index.select(F.col(key).alias("hit_key"), unit(F.col(vec)).alias("hv"))
-    pairs = right.join(left.hint("shuffle_replicate_nl"), F.lit(True)).select(
-        "query_key", "hit_key", ((F.lit(1.0) + dot(F.col("qv"), F.col("hv"))) / 2).alias("score")
-    )
+    left = queries.select(F.col(query_key).alias("query_key"), F.col(vec).alias("qv"), norm(F.col(vec)).alias("qn"))
+    right = index.select(F.col(key).alias("hit_key"), F.col(vec).alias("hv"), norm(F.col(vec)).alias("hn")).where("hn > 0")
+    cosine = dot(F.col("qv"), F.col("hv")) / (F.col("qn") * F.col("hn"))
+    pairs = right.join(left.where("qn > 0").hint("shuffle_replicate_nl"), F.lit(True)).select("query_key", "hit_key", ((F.lit(1.0) + cosine) / 2).alias("score"))
     w = Window.partitionBy("query_key").orderBy(F.desc("score"), F.asc("hit_key"))
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def answer(index: DataFrame, embedder, query: str, url_prefix: str, k: int = TOP_K, min_score: float = MIN_SCORE) -> DataFrame:
+    """Hits for a text, as the service returns them: the text is embedded once, on the driver; a blank one is refused."""
+    if not query.strip():
+        raise ValueError("blank query")
+    hits = above(knn(index, embedder.embed([query])[0], "figure_key", k=k), min_score)
+    return hits.select(
+        image_url(F.col("image_path"), url_prefix).alias("image_url"), "image_path", "doc_id", "page", "caption", "source_pdf_url", F.round("score", 4).alias("score")
+    )
+
+
+def listing(hits: DataFrame) -> DataFrame:
+    """Hits for the console: score, place, and the start of the caption."""
+    return hits.select(F.round("score", 4).alias("score"), "doc_id", "page", "image_path", short_caption(F.col("caption")).alias("caption"))
+
+
+def session(index: DataFrame, embedder, lines, show) -> None:
+    """Answers lines of text until ``salir``; blank ones are passed over."""
+    for line in lines:
+        query = line.strip()
+        if query.lower() == "salir":
+            return
+        if query:
+            show(query, listing(knn(index, embedder.embed([query])[0], "figure_key", k=TOP_K_CLI)).collect())

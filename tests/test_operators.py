@@ -206,3 +206,21 @@ def test_vote_stream(spark, tmp_path):
     votes.append(votes.read(spark, str(tmp_path / "in")), str(tmp_path / "out"), f"t{tmp_path.name}").awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
     assert [(r["votes"], r["score"]) for r in votes.counted(spark.read.parquet(str(tmp_path / "out"))).collect()] == [(1, 4.0)]
+
+
+def test_answers_and_files(spark, tmp_path):
+    from lumenfig.sources import sinks
+
+    made = HashEmbedder(16)
+    rows = [("d_1", "../data/d/images/a.png", "d", 1, "robust encoder loss", "u"), ("d_2", "../data/d/images/b.png", "d", 2, "other things", "u")]
+    df = spark.createDataFrame([(*r, made.embed([r[4]])[0]) for r in rows], "figure_key STRING, image_path STRING, doc_id STRING, page INT, caption STRING, source_pdf_url STRING, embedding ARRAY<FLOAT>")
+    got = search.answer(df, made, "robust encoder loss", "http://h").collect()
+    assert got[0]["image_url"] == "http://h/images/d/images/a.png" and got[0]["score"] == 1.0
+    with pytest.raises(ValueError):
+        search.answer(df, made, " ", "http://h")
+    shown = []
+    search.session(df, made, ["", "robust encoder loss ", "SALIR", "x"], lambda q, hits: shown.append((q, len(hits))))
+    assert shown == [("robust encoder loss", 2)]
+    figs = spark.createDataFrame([("d", 3, 1, bytearray(b"x"))], "doc_id STRING, page INT, id INT, png BINARY")
+    assert sinks.write_crops(figs, str(tmp_path)) == 1 and sinks.write_pages(figs, str(tmp_path)) == 1
+    assert (tmp_path / "d" / "images" / "p0003_figure_00001.png").read_bytes() == b"x"
