@@ -217,22 +217,27 @@ def _settle(history: History, points: DataFrame, batch: int) -> tuple[DataFrame,
     return out.unionByName(same).distinct(), kept
 
 
-def repeated_deliveries(records: DataFrame, shards: int = 32) -> DataFrame:
+#: Identities that a shard holds at most, on average.
+SHARD_KEYS = 500_000
+
+
+def repeated_deliveries(records: DataFrame, shards: int | None = None) -> DataFrame:
     """(rec_id_a, rec_id_b): each record of a later batch and the accepted record it repeats.
 
-    records: rec_id, batch_no, doc_id, id, md5. Two records agree if their
+    records: rec_id, batch_no, doc_id, id, md5. The number of shards follows the number of records unless given. Two records agree if their
     checksums are equal or they are the same figure of the same paper, in whatever
     version. A record without either is accepted. Where several accepted
     records of batch 0 share an identity, the earliest stands for them, so a record has at most
     one row for each of its two identities. Rows without rec_id or batch_no take no part.
     """
     spark = records.sparkSession
-    history = History(spark, shards)
     figure = F.concat_ws("#", paper_of(F.col("doc_id")), F.col("id").cast("string"))
     rows = records.where("rec_id is not null and batch_no is not null").select(
         "rec_id", "batch_no", checksum_of(F.col("md5")).alias("sum"), F.when(paper_of(F.col("doc_id")).isNotNull() & F.col("id").isNotNull(), figure).alias("figure")
     )
-    numbers = sorted(r[0] for r in rows.select("batch_no").distinct().collect())
+    sizes = rows.groupBy("batch_no").count().collect()
+    numbers = sorted(r[0] for r in sizes)
+    history = History(spark, shards or max(32, -(-2 * sum(r[1] for r in sizes) // SHARD_KEYS)))
     out: DataFrame | None = None
     for n in numbers:
         points = history.points(rows.where(F.col("batch_no") == n), "rec_id", ["sum", "figure"]).select("owner", "shard", "window")
