@@ -165,7 +165,7 @@ def _searched(k: int, least: float, factor: float, dim: int):
     return run
 
 
-def nearest(df: DataFrame, key: str, vec: str = "embedding", dim: int = 64, k: int = 5, least: float = 0.9, factor: float = 10.0, sample: int = 8192) -> DataFrame:
+def nearest(df: DataFrame, key: str, vec: str = "embedding", dim: int = 64, k: int = 5, least: float = 0.9, factor: float = 7.0, sample: int = 8192) -> DataFrame:
     """(key_a, key_b, cos, place): of every row its k most similar others with a cosine of at least ``least``.
 
     Ties of cosine go to the smaller key. With factor 1 the result is exact but for ties among more than k vectors.
