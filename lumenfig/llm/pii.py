@@ -40,6 +40,12 @@ _ADDRESS = re.compile(
     rf"|(?:Am|Im|Zum|An der|Auf der)\s+[A-ZÀ-Þ]\w+\s+\d+[a-z]?(?!\w){_PLACE}"
     rf"|\d+[A-Z]?\s+(?:[a-z]+\s+)?(?:lanes|roads|avenues|streets)"
 )
+# Whatever a pattern above finds holds what its gate looks for, and gates are quick: most texts pass none.
+_EMAIL_GATE = re.compile(r"@|\(at\)|\[at\]|\sat\s[a-z][\w-]*(?:\.[a-z]|\s?\(dot|\s?\[dot|\sdot\s)", re.I)
+_NUMBER_GATE = re.compile(r"\d[\d\s().\-/]{4,}[\d)]")
+_ADDRESS_GATE = re.compile(
+    rf"\s(?:{_ROADS})(?!\w)|Box\s+\d|Calle|C/|Avda\.|Avenida|Plaza|Paseo|(?:straße|strasse|str\.|weg|platz|allee|gasse)\s+\d|(?:Am|Im|Zum|An der|Auf der)\s+[A-ZÀ-Þ]\w+\s+\d|lanes|roads|avenues|streets"
+)
 _CAPITAL = re.compile(r"[A-ZÀ-Þ](?:\.(?=\s)|[\w'’]*(?:-[A-ZÀ-Þ0-9][\w'’]*)*)")
 _WORD = re.compile(r"[^\W_]+")
 
@@ -143,9 +149,9 @@ def _people(text: str) -> Iterator[tuple[int, int]]:
 
 def proposals(text: str) -> Iterator[tuple[str, int, int]]:
     """(generator, start, end) of all candidates."""
-    for m in _EMAIL.finditer(text):
+    for m in _EMAIL.finditer(text) if _EMAIL_GATE.search(text) else ():
         yield "email", *m.span()
-    for m in _NUMBER.finditer(text):
+    for m in _NUMBER.finditer(text) if _NUMBER_GATE.search(text) else ():
         s = m[0].rstrip(" \n(.-/")
         n = sum(c.isdigit() for c in s)
         if n >= 7 or n == 6 and s[0].isalpha():
@@ -153,7 +159,7 @@ def proposals(text: str) -> Iterator[tuple[str, int, int]]:
             tail = re.search(r"[- ]?[A-Z]$", s)
             if tail and s[-2] == " ":
                 yield "number", m.start(), m.start() + tail.start()
-    for m in _ADDRESS.finditer(text):
+    for m in _ADDRESS.finditer(text) if _ADDRESS_GATE.search(text) else ():
         yield "address", *m.span()
     for a, b in _people(text):
         yield "person", a, b
