@@ -200,11 +200,13 @@ def test_files(spark, tmp_path):
 
 
 def test_vote_stream(spark, tmp_path):
+    import uuid
+
     from lumenfig.streaming import votes
 
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "1.json").write_text('{"query":"q","image_path":"p","score":4,"timestamp":"2033-02-25T07:00:25"}\n{"query":"q","image_path":"p","score":9,"timestamp":"x"}\n')
-    votes.append(votes.read(spark, str(tmp_path / "in")), str(tmp_path / "out"), f"t{tmp_path.name}").awaitTermination()
+    votes.append(votes.read(spark, str(tmp_path / "in")), str(tmp_path / "out"), f"votes-{uuid.uuid4().hex}").awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
     assert [(r["votes"], r["score"]) for r in votes.counted(spark.read.parquet(str(tmp_path / "out"))).collect()] == [(1, 4.0)]
 
