@@ -34,8 +34,8 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The up to five most similar other figures of every figure, with a cosine of at least 0.9."""
-    return vantage.nearest(table(spark, sf_dir, "ragi_images"), "figure_key")
+    """The five most similar other figures of every usable figure, however unlike they are; none is missed."""
+    return vantage.nearest(table(spark, sf_dir, "ragi_images"), "figure_key", least=None, factor=1.0)
 
 
 def _repaired(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,9 @@ found. A larger factor visits fewer shards and may miss some; recall is measured
 Within a shard a tree of its own is built over the shard's vectors, and queries walk
 it together, a node's vectors against all queries that reach it, under the same relaxed rule.
 
+Without a least cosine there is no radius to begin with. Every vector is then ranked within its own shard
+first, and the distance of its k-th best there is its radius in the others, which are compared whole.
+
 The sample fixes borders only; all rows are indexed. Rows with vectors that are null, of
 another length, all zero or not finite take no part; of rows with one key the first by value counts.
 """
@@ -32,6 +35,10 @@ from lumenfig.workdir import Workdir
 
 #: Vectors per shard, on average; vectors in a leaf of a shard's tree.
 SHARD_ROWS, LEAF_ROWS = 4096, 256
+#: Without a least cosine, when a query visits most shards: vectors per shard, and queries that a task holds, on average.
+WIDE_ROWS, WIDE_QUERIES = 16384, 65536
+#: There, the k best are chosen by exact cosines among so many times k by cosines of single precision.
+SPARE = 4
 #: Cells of the matrix of cosines that a leaf computes at once.
 BLOCK_CELLS = 4_000_000
 
@@ -63,16 +70,17 @@ class Tree:
             todo += [(2 * node + 1, held[near]), (2 * node + 2, held[~near])]
         return cls(points, borders, depth)
 
-    def routes(self, vectors: np.ndarray, slack: float) -> tuple[np.ndarray, np.ndarray]:
-        """(row, leaf): the leaves that each vector visits; slack 0 gives its own leaf only."""
+    def routes(self, vectors: np.ndarray, slack: float | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, leaf): the leaves that each vector visits, with one slack or each its own; slack 0 for all gives their own leaves only."""
         row, node = np.arange(len(vectors)), np.zeros(len(vectors), np.int64)
         for _ in range(self.depth):
             gap = np.empty(len(row), np.float32)
             for n in np.unique(node):
                 here = node == n
                 gap[here] = distances(vectors[row[here]], self.points[n : n + 1])[:, 0] - self.borders[n]
-            left, right = gap <= slack, gap > -slack
-            if slack == 0:
+            reach = slack if np.ndim(slack) == 0 else slack[row]
+            left, right = gap <= reach, gap > -reach
+            if np.ndim(slack) == 0 and slack == 0:
                 right = ~left
             row, node = np.concatenate([row[left], row[right]]), np.concatenate([2 * node[left] + 1, 2 * node[right] + 2])
         return row, node - ((1 << self.depth) - 1)
@@ -165,8 +173,105 @@ def _searched(k: int, least: float, factor: float, dim: int):
     return run
 
 
-def nearest(df: DataFrame, key: str, vec: str = "embedding", dim: int = 64, k: int = 5, least: float = 0.9, factor: float = 7.0, sample: int = 8192) -> DataFrame:
-    """(key_a, key_b, cos, place): of every row its k most similar others with a cosine of at least ``least``.
+def _ranked(k: int, dim: int):
+    """Of a shard its members' k best within it, and the cosine that each has to reach elsewhere; packed."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["ids"]])
+        vecs = np.concatenate([np.frombuffer(x, np.float32).reshape(-1, dim) for x in pdf["vecs"]])
+        many, block = min(SPARE * k, len(ids) - 1), max(1, BLOCK_CELLS // len(ids))
+        few = min(k, many)
+        out: list[tuple[bytes, ...]] = []
+        for i in range(0, len(ids), block):
+            part = vecs[i : i + block]
+            cos = part @ vecs.T
+            cos[np.arange(len(part)), np.arange(i, i + len(part))] = -2
+            best = np.argpartition(-cos, max(0, many - 1), axis=1)[:, :many]
+            cos = np.einsum("qd,qkd->qk", part.astype(np.float64), vecs[best].astype(np.float64))
+            order = np.argsort(-cos, axis=1)[:, :few]
+            best, cos = np.take_along_axis(best, order, 1), np.take_along_axis(cos, order, 1)
+            bound = cos.min(1) if few == k else np.full(len(part), -np.inf)
+            a = np.repeat(ids[i : i + block], few)
+            out.append(tuple(x.tobytes() for x in (ids[i : i + block], part, bound, a, ids[best].ravel(), cos.ravel())))
+        return pd.DataFrame(out, columns=["ids", "vecs", "bounds", "a", "b", "cos"]).assign(shard=pdf["shard"].iloc[0])
+
+    return run
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, b, cos in zip(*[c.to_pylist() for c in batch.columns]):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(a, np.int64)), pa.array(np.frombuffer(b, np.int64)), pa.array(np.frombuffer(cos, np.float64))], names=["a", "b", "cos"])
+
+
+def _sent(tree: Tree, factor: float, dim: int, chunks: int):
+    """(shard, chunk, query, ids, vecs, bounds): the members of a shard for every chunk of queries, and each as a query of other shards in its chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, *packed in zip(*[c.to_pylist() for c in batch.columns]):
+                ids, vecs, bounds = np.frombuffer(packed[0], np.int64), np.frombuffer(packed[1], np.float32).reshape(-1, dim), np.frombuffer(packed[2], np.float64)
+                out = [(shard, c, False, *packed) for c in range(chunks)]
+                # The margin is for distances of single precision.
+                row, leaf = tree.routes(vecs, np.sqrt(np.maximum(2 - 2 * bounds, 0)) / factor + 1e-3)
+                row, leaf = row[leaf != shard], leaf[leaf != shard]
+                chunk = ((ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(chunks)
+                for n in np.unique(leaf):
+                    for c in range(chunks):
+                        at = row[(leaf == n) & (chunk[row] == c)]
+                        if len(at):
+                            out.append((int(n), c, True, ids[at].tobytes(), vecs[at].tobytes(), bounds[at].tobytes()))
+                cols = list(zip(*out))
+                types = [pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["shard", "chunk", "query", "ids", "vecs", "bounds"])
+
+    return run
+
+
+def _reached(k: int, dim: int):
+    """(a, b, cos): of each query its k best members of a shard that reach its bound."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        def of(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            ids = np.concatenate([np.frombuffer(x, np.int64) for x in rows["ids"]])
+            return ids, np.concatenate([np.frombuffer(x, np.float32).reshape(-1, dim) for x in rows["vecs"]]), np.concatenate([np.frombuffer(x, np.float64) for x in rows["bounds"]])
+
+        out = [pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "cos": np.zeros(0)})]
+        if pdf["query"].nunique() < 2:
+            return out[0]
+        ids, vecs, bounds = of(pdf[pdf["query"]])
+        member, held, _ = of(pdf[~pdf["query"]])
+        least, block = (bounds - 1e-6).astype(np.float32)[:, None], max(1, BLOCK_CELLS // len(member))
+        for i in range(0, len(ids), block):
+            part = vecs[i : i + block]
+            cos = part @ held.T
+            q, m = np.divmod(np.flatnonzero(cos >= least[i : i + block]), len(member))
+            near = cos[q, m]
+            for most in (SPARE * k, k):
+                order = np.lexsort((-near, q))
+                q, m, near = q[order], m[order], near[order]
+                kept = np.arange(len(q)) - np.searchsorted(q, q) < most
+                q, m, near = q[kept], m[kept], near[kept]
+                if most > k:
+                    near = np.einsum("nd,nd->n", part[q].astype(np.float64), held[m].astype(np.float64))
+            out.append(pd.DataFrame({"a": ids[i + q], "b": member[m], "cos": near}))
+        return pd.concat(out, ignore_index=True)
+
+    return run
+
+
+def _without_least(work: Workdir, rows: DataFrame, tree: Tree, dim: int, k: int, factor: float, total: int) -> DataFrame:
+    """(a, b, cos) with the k nearest of every vector among them, however far they are."""
+    homes = rows.select("id", "vec").mapInArrow(_routed(tree, 0, dim), "shard INT, query BINARY, ids BINARY, vecs BINARY")
+    own = homes.groupBy("shard").applyInPandas(_ranked(k, dim), "ids BINARY, vecs BINARY, bounds BINARY, a BINARY, b BINARY, cos BINARY, shard INT")
+    own = work.keep(own, "own")
+    sent = own.select("shard", "ids", "vecs", "bounds").mapInArrow(_sent(tree, factor, dim, -(-total // WIDE_QUERIES)), "shard INT, chunk INT, query BOOLEAN, ids BINARY, vecs BINARY, bounds BINARY")
+    away = sent.groupBy("shard", "chunk").applyInPandas(_reached(k, dim), "a LONG, b LONG, cos DOUBLE")
+    return work.keep(away.unionByName(own.select("a", "b", "cos").mapInArrow(_unpacked, "a LONG, b LONG, cos DOUBLE")), "near")
+
+
+def nearest(df: DataFrame, key: str, vec: str = "embedding", dim: int = 64, k: int = 5, least: float | None = 0.9, factor: float = 7.0, sample: int = 8192) -> DataFrame:
+    """(key_a, key_b, cos, place): of every row its k most similar others, with a cosine of at least ``least`` unless it is None.
 
     Ties of cosine go to the smaller key. With factor 1 the result is exact but for ties among more than k vectors.
     Each shard gives a query at most k rows, so what is shuffled after the search is bounded
@@ -183,17 +288,20 @@ def nearest(df: DataFrame, key: str, vec: str = "embedding", dim: int = 64, k: i
     if not total:
         return spark.createDataFrame([], "key_a STRING, key_b STRING, cos DOUBLE, place INT")
     drawn = rows.orderBy(F.xxhash64("vec")).limit(sample).select("vec").toPandas()["vec"]
-    depth = max(0, math.ceil(math.log2(max(1, total / SHARD_ROWS))))
+    depth = max(0, math.ceil(math.log2(max(1, total / (WIDE_ROWS if least is None else SHARD_ROWS)))))
     tree = Tree.fit(np.stack(drawn.to_numpy()).astype(np.float32), depth)
-    slack = math.sqrt(max(0.0, 2 - 2 * least)) / factor
-    visits = rows.select("id", "vec").mapInArrow(_routed(tree, slack, dim), "shard INT, query BINARY, ids BINARY, vecs BINARY")
-    near = visits.groupBy("shard").applyInPandas(_searched(k, least, factor, dim), "a LONG, b LONG, cos DOUBLE")
-    near = work.keep(near, "near")
-    both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "cos")).groupBy("a", "b").agg(F.max("cos").alias("cos"))
-    left = rows.select(F.col("id").alias("a"), F.col("vec").alias("va"))
-    right = rows.select(F.col("id").alias("b"), F.col("vec").alias("vb"))
-    exact = F.aggregate(F.zip_with("va", "vb", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    pairs = both.join(left, "a").join(right, "b").select("a", "b", exact.alias("cos")).where(F.col("cos") >= least)
+    if least is None:
+        pairs = _without_least(work, rows, tree, dim, k, factor, total)
+    else:
+        slack = math.sqrt(max(0.0, 2 - 2 * least)) / factor
+        visits = rows.select("id", "vec").mapInArrow(_routed(tree, slack, dim), "shard INT, query BINARY, ids BINARY, vecs BINARY")
+        near = visits.groupBy("shard").applyInPandas(_searched(k, least, factor, dim), "a LONG, b LONG, cos DOUBLE")
+        near = work.keep(near, "near")
+        both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "cos")).groupBy("a", "b").agg(F.max("cos").alias("cos"))
+        left = rows.select(F.col("id").alias("a"), F.col("vec").alias("va"))
+        right = rows.select(F.col("id").alias("b"), F.col("vec").alias("vb"))
+        exact = F.aggregate(F.zip_with("va", "vb", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+        pairs = both.join(left, "a").join(right, "b").select("a", "b", exact.alias("cos")).where(F.col("cos") >= least)
     pairs = pairs.withColumn("place", F.dense_rank().over(Window.partitionBy("a").orderBy(F.desc("cos")))).where(F.col("place") <= k).drop("place")
     holders = work.keep(named.join(rows.select("vec", "id", "n"), "vec").select("id", "key", "n"), "holders")
     first = _first_keys(holders, k + 1)

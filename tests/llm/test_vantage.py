@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from lumenfig.llm import vantage
+from lumenfig.llm import queries, vantage
 
 SCHEMA = "figure_key STRING, embedding ARRAY<FLOAT>, id STRING, shard STRING"
 
@@ -62,3 +62,24 @@ def test_rows_with_one_vector(spark, monkeypatch):
     want = {(i, int(j)) for i in range(300, 600) for j in sorted(range(600), key=lambda j: (-round(u[i] @ u[j], 9), j)) [:6] if j != i and u[i] @ u[j] >= 0.99}
     few = {(a, b) for a, b in want if sum(p == a for p, _ in want) < 5}
     assert few <= got
+
+
+def test_neighbours_have_no_least_cosine(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(vantage, "WIDE_ROWS", 100)
+    monkeypatch.setattr(vantage, "WIDE_QUERIES", 300)
+    x = np.random.default_rng(4).normal(size=(700, 64))
+    x[600:] = x[600:] * 0.02 + x[0]
+    rows = [(f"{i:05d}", [float(v) for v in r], "c", None) for i, r in enumerate(x)]
+    spark.createDataFrame(rows + [("n", None, "c", None)], SCHEMA).write.parquet(f"{tmp_path}/ragi_images.parquet")
+    found = queries.p2_neighbours(spark, str(tmp_path)).collect()
+    assert {(int(r["key_a"]), int(r["key_b"])) for r in found} == _brute(x, 5, -1)
+    assert sorted(r["place"] for r in found) == [p for p in range(1, 6) for _ in range(700)]
+    want = _brute(x, 5, -1)
+    assert len(_found(spark, x, least=None, factor=4.0) & want) >= 0.9 * len(want)
+
+
+def test_few_vectors_without_least_cosine(spark):
+    df = spark.createDataFrame([("a", [1.0, 0.0], "c", None), ("b", [-1.0, 0.0], "c", None), ("c", [2.0, 0.0], "c", None)], SCHEMA)
+    got = [(r["key_a"], r["key_b"], r["place"]) for r in vantage.nearest(df, "figure_key", dim=2, least=None).collect()]
+    assert sorted(got) == [("a", "b", 2), ("a", "c", 1), ("b", "a", 1), ("b", "c", 2), ("c", "a", 1), ("c", "b", 2)]
+    assert vantage.nearest(df.limit(1), "figure_key", dim=2, least=None).count() == 0
