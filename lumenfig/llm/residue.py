@@ -10,8 +10,10 @@ Two n-gram channels, each a likelihood ratio against natural prose:
   the ways in which templating languages write a slot. The best-scoring stretch decides, however short,
   since one unfilled slot spoils a value.
 
-Prose is counted over all values; that a few of these are residue hardly
-matters, as the ratio compares frequencies: residue is most of its own model and little of the corpus.
+Prose is counted over all distinct values, so that copies don't make a text prose, and without the stretches
+whose characters the filler and notice models know almost throughout, so that residue that is frequent in
+many wordings or behind many descriptions doesn't either. Shapes count by the root of a value's copies: prose
+with brackets is repeated at times, and one text's copies are still few beside the corpus.
 The counts are kept in 2^18 hashed cells per channel, whatever the corpus, so what is broadcast is bounded.
 
 Null and blank values are no cases. Values are read whole. Repeated values are each judged alike.
@@ -32,6 +34,8 @@ from lumenfig.llm.residue_seeds import BLIND_WORDS, FILLER, MARKERS, NOTICES, SL
 CELLS = 1 << 18
 #: Characters of a gram in each channel; of a window; log ratio of a gram unknown to a model.
 GRAM, SHAPE_GRAM, WINDOW, UNKNOWN = 5, 4, 16, -2.5
+#: Share of a window's grams that residue's models know, from which it isn't counted as prose.
+KNOWN = 0.9
 _SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]*\s*")
 _MARKER = re.compile(r"\b(?:" + "|".join(MARKERS) + r")\b")
 
@@ -90,14 +94,38 @@ def cells(code: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return (h % np.uint64(CELLS)).astype(np.int64), within
 
 
-def counted(texts: list[str]) -> np.ndarray:
-    """How often each cell occurs, characters first, then shapes."""
+def windows(code: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(stop, span, full) of the window that begins at each of n grams. A window ends where its value does, so short values have short windows."""
+    starts, at = np.r_[np.flatnonzero(code == 2), len(code)], np.arange(n)
+    value = np.searchsorted(starts, at, "right")
+    stop = np.minimum(np.minimum(at + WINDOW, np.maximum(starts[value] - GRAM + 1, at + 1)), n)
+    size = starts[value] - starts[value - 1] - GRAM + 1
+    return stop, stop - at, stop - at >= np.minimum(WINDOW, np.maximum(size, 1))
+
+
+def _unlike_residue(code: np.ndarray, h: np.ndarray, within: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which grams lie in no window whose grams are known almost throughout."""
+    stop, span, full = windows(code, len(h))
+    total = np.r_[0, np.cumsum(known[h] & within)]
+    high = (total[stop] - total[:-1] >= KNOWN * span) & full & within
+    edge = np.bincount(np.flatnonzero(high), minlength=len(h) + 1) - np.bincount(stop[high], minlength=len(h) + 1)
+    return np.cumsum(edge[:-1]) == 0
+
+
+def counted(texts: list[str], known: np.ndarray | None = None, copies: np.ndarray | None = None) -> np.ndarray:
+    """How often each cell occurs, characters first, then shapes. known: cells of residue, whose stretches don't count as characters. copies of each text, for its shapes."""
     out = np.zeros(2 * CELLS, np.int64)
     if texts:
         big = joined(texts)
         for at, view, n in ((0, plain, GRAM), (CELLS, shape, SHAPE_GRAM)):
-            h, within = cells(view(big), n)
-            out[at : at + CELLS] = np.bincount(h[within], minlength=CELLS)
+            code = view(big)
+            h, within = cells(code, n)
+            if known is not None and view is plain:
+                within = within & _unlike_residue(code, h, within, known)
+            times = None
+            if copies is not None and view is shape:
+                times = np.rint(np.sqrt(copies))[np.cumsum(code == 2)[: len(h)][within] - 1]
+            out[at : at + CELLS] = np.bincount(h[within], times, CELLS)
     return out
 
 
@@ -151,13 +179,8 @@ class Residue:
         for name in ("filler", "notice"):
             score = np.where(within, self.tables[name][at], np.float32(0)).astype(np.float64)
             total = np.r_[0.0, np.cumsum(score)]
-            # A window ends where its value does, so short values have short windows.
-            value = np.searchsorted(starts, np.arange(len(score)), "right")
-            stop = np.minimum(np.arange(len(score)) + WINDOW, np.maximum(starts[value] - GRAM + 1, np.arange(len(score)) + 1))
-            stop = np.minimum(stop, len(score))
-            span = stop - np.arange(len(score))
-            size = starts[value] - starts[value - 1] - GRAM + 1
-            high = (total[stop] - total[:-1] >= least * span) & (span >= np.minimum(WINDOW, np.maximum(size, 1))) & within
+            stop, span, full = windows(code, len(score))
+            high = (total[stop] - total[:-1] >= least * span) & full & within
             np.add.at(edge, np.flatnonzero(high), 1)
             np.add.at(edge, np.minimum(stop[high] + GRAM - 1, len(code)), -1)
         marked = np.cumsum(edge[:-1]) > 0
@@ -181,18 +204,20 @@ class Residue:
 
 
 def fit(values: DataFrame) -> Residue:
-    """The models, with prose counted over every value of the column ``text``."""
+    """The models, with prose counted over the distinct values of the column ``text``, without stretches of residue."""
+    seeds = _seeds()
+    known = (seeds["filler"] > 0) | (seeds["notice"] > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(2 * CELLS, np.int64)
         for batch in batches:
-            held += counted([t for t in batch.column(0).to_pylist() if t])
+            held += counted(batch.column(0).to_pylist(), known, batch.column(1).to_numpy())
         full = np.flatnonzero(held)
         for i in range(0, len(full), 65536):
             part = full[i : i + 65536]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(held[part])], names=["cell", "n"])
 
-    counts = values.select("text").mapInArrow(run, "cell LONG, n LONG").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    counts = values.where("text is not null and text != ''").groupBy("text").count().mapInArrow(run, "cell LONG, n LONG").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     table = np.zeros(2 * CELLS)
     table[counts["cell"].to_numpy(np.int64)] = counts["n"].to_numpy(np.float64)
     return Residue(table[:CELLS], table[CELLS:])

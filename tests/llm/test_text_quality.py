@@ -45,6 +45,17 @@ def test_residue(spark):
     assert residue.residue(df.limit(0), "rec_id", ["description2", "questions"]).count() == 0
 
 
+def test_residue_that_is_frequent(spark):
+    good = [f"A {w} chart shows how {n} changes with {v} over {k} settings." for w in WORDS for n in NAMES for v in WORDS for k in ("20", "thirty")]
+    same = "JavaScript is disabled in your browser."
+    rows = [(i, t) for i, t in enumerate(good)] + [(5000 + i, same) for i in range(len(good) // 2)]
+    rows += [(8000 + i, f"{t} Please enable JavaScript to view this content.") for i, t in enumerate(good[::2])]
+    rows += [(9000 + i, "A {{ title }} of loss for Tabor.") for i in range(len(good) // 2)]
+    df = spark.createDataFrame(rows, "rec_id LONG, description2 STRING")
+    got = {r["key"] for r in residue.residue(df, "rec_id", ["description2"]).collect()}
+    assert got == {i for i, _ in rows if i >= 5000}
+
+
 def test_cut_text(spark):
     rng = np.random.default_rng(2)
 
