@@ -1,16 +1,13 @@
-"""Records whose word sets are alike, found with Golay-code fuzzy keys.
+"""Records whose word sets are alike, found with keys that no such pair can miss.
 
 1. Records with the same set of words form one class; only classes go on.
-2. A class gets a fingerprint of S segments. A segment has 23 bits, each the
-   parity of the least hash of the set's rare words under a hash of its own,
-   and one anchor, the least hash itself. Words that more than ``common`` of all
-   classes hold say little about likeness and stay out of the fingerprint (sets with fewer
-   than three rare words keep all of theirs). There are at most
-   mean set size / common such words, whatever the corpus, so they may be broadcast.
-3. The bits of a segment are decoded to the codewords within reach (one or
-   six); each index, with the segment's number and its anchor, is one key. Segments that
-   differ in up to two bits share a codeword. Errors that don't crowd every
-   segment leave at least one such segment (the pigeonhole), and there its key joins.
+2. The words of a class are put in one order for all: first the rare ones by their hash, then those that more than
+   ``common`` of all classes hold, by how many do. There are at most mean set size / common
+   such words, whatever the corpus, so they may be broadcast.
+3. Of n words, two sets that are alike share at least o = ceil(n num / den). The first two shared words
+   then stand among the first n - o + 2 of either set, so each two words of these are a key. Sets with more than
+   ``LONG`` words would have too many such keys: the first n - o + 1 words are keys there, each alone, and
+   for all sets that can be like one of these; also for sets so small that one shared word is enough.
 4. Keys travel packed, a few binary rows per task and part, so the shuffle
    moves bytes and not rows. A part sorts its keys and pairs equal ones. A run
    longer than ``BLOCK`` leaves its part as pairs of blocks, expanded by other tasks.
@@ -30,40 +27,36 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfig.llm import golay
 from lumenfig.llm.common import word_set
 from lumenfig.workdir import Workdir
 
 #: Members of a run of equal keys that a part pairs itself; keys that a part holds at most, on average.
 BLOCK, PART_KEYS = 1024, 2_000_000
-
-
-def _mixed(hashes: np.ndarray, n: int) -> np.ndarray:
-    """The n-th of a family of 32-bit hashes of 64-bit hashes."""
-    rng = np.random.default_rng(1000 + n)
-    x = (hashes ^ (hashes >> np.uint64(32))).astype(np.uint32)
-    x = x * np.uint32(rng.integers(1 << 32) | 1) + np.uint32(rng.integers(1 << 32))
-    x ^= x >> np.uint32(15)
-    return x * np.uint32(0x2C1B3C6D)
-
-
-def segment_keys(hashes: np.ndarray, starts: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of all sets: starts are the first positions of the sets in hashes; no set is empty."""
-    rows, keys = [], []
-    errors, many = golay.reach()
-    for s in range(segments):
-        bits = np.zeros(len(starts), np.int64)
-        for b in range(golay.BITS):
-            least = np.minimum.reduceat(_mixed(hashes, s * 24 + b), starts)
-            bits |= ((least >> np.uint32(9)) & np.uint32(1)).astype(np.int64) << b
-        anchor = np.minimum.reduceat(_mixed(hashes, s * 24 + 23), starts).astype(np.uint64)
-        syn = golay.syndrome(bits)
-        row = np.repeat(np.arange(len(starts)), many[syn])
-        nth = np.arange(len(row)) - np.repeat(np.cumsum(many[syn]) - many[syn], many[syn])
-        index = ((bits[row] ^ errors[syn[row], nth]) >> 11).astype(np.uint64)
-        rows.append(row)
-        keys.append((anchor[row] << np.uint64(20)) ^ (np.uint64(s) << np.uint64(12)) ^ index)
-    return np.concatenate(rows), np.concatenate(keys)
+#: Words of a set from which single words are its keys; keys of a set, on average.
+LONG, SET_KEYS = 120, 100
+
+
+def prefix_keys(hashes: np.ndarray, doc: np.ndarray, rows: int, common: np.ndarray, held: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of all sets: doc names the set of each hash; common are the sorted hashes of common words, held how many sets have them."""
+    place = np.searchsorted(common, hashes)
+    rank = np.r_[held, 0][place] * (np.r_[common, np.uint64(0)][place] == hashes)
+    order = np.lexsort((hashes, rank, doc))
+    hashes = hashes[order]
+    size = np.bincount(doc, minlength=rows)
+    shared = -(-size * num // den)
+    nth = np.arange(len(doc)) - (np.cumsum(size) - size)[doc]
+    single = (size * den > LONG * num) | (shared < 2)
+    alone = single[doc] & (nth < (size - shared + 1)[doc])
+    out_rows, keys = [doc[alone]], [hashes[alone]]
+    first = (size <= LONG)[doc] & (nth < (size - shared + 2)[doc])
+    hashes, doc = hashes[first], doc[first]
+    for d in range(1, len(doc)):
+        at = np.flatnonzero(doc[:-d] == doc[d:])
+        if not len(at):
+            break
+        out_rows.append(doc[at])
+        keys.append(_spread(hashes[at]) * np.uint64(3) + _spread(hashes[at + d] ^ np.uint64(0x5851F42D4C957F2D)))
+    return np.concatenate(out_rows), np.concatenate(keys)
 
 
 def _spread(keys: np.ndarray) -> np.ndarray:
@@ -71,7 +64,7 @@ def _spread(keys: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _packed_keys(common: np.ndarray, segments: int, parts: int):
+def _packed_keys(common: np.ndarray, held: np.ndarray, parts: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -79,13 +72,8 @@ def _packed_keys(common: np.ndarray, segments: int, parts: int):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             lists = batch.column(1)
             hashes = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            sizes = np.diff(lists.offsets.to_numpy())
-            doc = np.repeat(np.arange(len(ids)), sizes)
-            rare = ~np.isin(hashes, common)
-            rare |= (np.bincount(doc[rare], minlength=len(ids)) < 3)[doc]
-            hashes, doc = hashes[rare], doc[rare]
-            starts = np.searchsorted(doc, np.arange(len(ids)))
-            row, key = segment_keys(hashes, starts, segments)
+            doc = np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy()))
+            row, key = prefix_keys(hashes, doc, len(ids), common, held, num, den)
             key = _spread(key)
             part = (key % np.uint64(parts)).astype(np.int64)
             order = np.lexsort((key, part))
@@ -153,7 +141,7 @@ class Likeness:
         self.members, self.classes, self.links = members, classes, links
 
 
-def alike(df: DataFrame, key: str, text: Column, num: int = 7, den: int = 10, segments: int = 10, common: float = 0.002) -> Likeness:
+def alike(df: DataFrame, key: str, text: Column, num: int = 7, den: int = 10, common: float = 0.002) -> Likeness:
     """Links of all classes whose sets of words have at least num/den of their union in common."""
     spark = df.sparkSession
     work = Workdir(spark, "alike")
@@ -164,9 +152,11 @@ def alike(df: DataFrame, key: str, text: Column, num: int = 7, den: int = 10, se
     members = rows.select("id", "mark").join(classes.select("mark", "class_id"), "mark").select("id", "class_id")
     total = classes.count()
     counts = classes.select(F.explode("hashes").alias("h")).groupBy("h").count().where(F.col("count") > max(1.0, common * total))
-    held = np.array([r[0] for r in counts.select("h").collect()], np.int64).view(np.uint64)
-    parts = max(12, -(-total * segments * 6 // PART_KEYS))
-    packed = classes.select("class_id", "hashes").mapInArrow(_packed_keys(held, segments, parts), "part INT, keys BINARY, ids BINARY")
+    known = counts.select("h", "count").collect()
+    words = np.array([r[0] for r in known], np.int64).view(np.uint64)
+    held = np.array([r[1] for r in known], np.int64)[np.argsort(words)]
+    parts = max(12, -(-total * SET_KEYS // PART_KEYS))
+    packed = classes.select("class_id", "hashes").mapInArrow(_packed_keys(np.sort(words), held, parts, num, den), "part INT, keys BINARY, ids BINARY")
     found = packed.groupBy("part").applyInPandas(_paired, "product BOOLEAN, left BINARY, right BINARY")
     if total > 10 * BLOCK:
         found = found.repartition(max(12, parts))

@@ -56,6 +56,20 @@ def test_equals_all_pairs(spark):
     assert found <= want and len(found) >= 0.98 * len(want)
 
 
+def test_template_of_a_third_of_the_rows(spark):
+    template = " ".join(f"t{i}" for i in range(24))
+    texts = [f"{template} own{i}a own{i}b own{i}c" for i in range(150)] + [f"{template} own{i}a own{i}d" for i in range(20)] + _texts(300, 5)
+    rng = random.Random(6)
+    for n in (100, 125, 190):
+        long = [f"l{n}x{i}" for i in range(n)]
+        texts += [" ".join(long), " ".join(long[: int(0.72 * n)]), " ".join(rng.sample(long, int(0.9 * n)) + [f"m{n}x{i}" for i in range(n // 10)])]
+    df = spark.createDataFrame(list(enumerate(texts)), "rec_id LONG, caption STRING")
+    sets = [set(t.split()) for t in texts]
+    for num, den in ((7, 10), (1, 2)):
+        found = {tuple(r) for r in near_copies.record_pairs(near_copies.alike(df, "rec_id", F.col("caption"), num, den)).collect()}
+        assert found == {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if den * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j])}
+
+
 def test_long_runs_leave_as_blocks():
     import pandas as pd
 
