@@ -34,6 +34,15 @@ def test_page_noise(spark):
     assert page_noise.repaired(df.limit(0), "rec_id", F.col("caption")).count() == 0
 
 
+def test_misreading_in_a_third_of_the_rows(spark):
+    base = _captions()
+    rows = list(enumerate(base)) + [(1000 + i, base[4].replace("reward", "rcward")) for i in range(200)]
+    df = spark.createDataFrame(rows, "rec_id LONG, caption STRING")
+    got = {r["key"]: (r["text"], r["traces"]) for r in page_noise.repaired(df, "rec_id", F.col("caption")).collect()}
+    assert all(got[1000 + i] == (base[4], ["misread characters"]) for i in range(200))
+    assert all(got[i] == (t, []) for i, t in enumerate(base))
+
+
 def test_residue(spark):
     good = [f"A {w} chart shows how {n} changes with {v} over 20 settings." for w in WORDS for n in NAMES for v in WORDS]
     bad = ["Please enable JavaScript to view this content.", "503 Service Unavailable", "Lorem ipsum dolor sit amet, consectetur elit sed magna.", "A {{ title }} of loss for Tabor.", "The figure shows [INSERT CAPTION] and ____.", "placeholder placeholder", "xxxxx xxxxx xxx", "A chart of %topic% with Holt."]
