@@ -17,6 +17,12 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.repeated_deliveries(table(spark, sf_dir, "manifest").select("rec_id", "batch_no", "doc_id", "id", "md5"))
 
 
+def p1_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of later batches whose captions are, to at least 0.8 of their words, made of runs of five words or more from captions delivered before."""
+    found = history.covered_by_history(table(spark, sf_dir, "manifest"), "rec_id", "batch_no", "caption")
+    return found.select(F.col("key").alias("rec_id"), "n_words", F.col("n_covered").cast("int").alias("n_covered"), F.col("match").alias("rec_id_a"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of figures that are among each other's five most similar, with a cosine of at least 0.9."""
     return vantage.mutual(vantage.nearest(table(spark, sf_dir, "ragi_images"), "figure_key"))
@@ -39,7 +45,7 @@ def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return page_noise.repaired(table(spark, sf_dir, "manifest"), "rec_id", F.col("caption"))
+    return page_noise.repaired(table(spark, sf_dir, "manifest"), "rec_id", F.col("caption"), F.col("collector"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,7 +122,7 @@ def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p2_found, p2_neighbours, p3_found, p3_groups, p4_found, p4_repaired, p5_found, p6_found, p6_shares,
+        p1_found, p1_near, p2_found, p2_neighbours, p3_found, p3_groups, p4_found, p4_repaired, p5_found, p6_found, p6_shares,
         p7_packed, p7_fill, p8_found, p8_cleaned, p9_found, p9_redacted,
     )
 }
@@ -125,6 +131,12 @@ _WORDS = "regexp_extract_all(lower(coalesce({t}, '')), '[\\p{{L}}\\p{{N}}]+')"
 
 #: SQL for those that are exact set or vector operations; it compares everything with everything and is meant for small data.
 SQL: dict[str, str] = {
+    "p1_near": f"""
+        WITH t AS (SELECT rec_id, batch_no, {_WORDS.format(t="caption")} AS w FROM manifest WHERE caption IS NOT NULL),
+        g AS (SELECT rec_id, batch_no, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT rec_id, batch_no, w, unnest(generate_series(1, len(w) - 4)) AS i FROM t WHERE len(w) >= 5)),
+        m AS (SELECT x.rec_id, x.i, min(y.rec_id) AS a FROM g x JOIN g y ON x.g = y.g AND y.batch_no < x.batch_no GROUP BY x.rec_id, x.i),
+        c AS (SELECT rec_id, min(a) AS rec_id_a, count(DISTINCT p) AS n_covered FROM (SELECT rec_id, a, unnest(generate_series(i, i + 4)) AS p FROM m) GROUP BY rec_id)
+        SELECT rec_id, len(w) AS n_words, n_covered, rec_id_a FROM c JOIN t USING (rec_id) WHERE n_covered >= 0.8 * len(w)""",
     "p2_found": """
         WITH d AS (SELECT figure_key, min(embedding::DOUBLE[]) AS v FROM ragi_images WHERE len(embedding) = 64 AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x)))
             AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0 GROUP BY figure_key),
