@@ -34,6 +34,38 @@ def test_page_noise(spark):
     assert page_noise.repaired(df.limit(0), "rec_id", F.col("caption")).count() == 0
 
 
+def test_lines_that_repeat_nothing_stay(spark):
+    probes = ["We compare the output of\nGraph Transformer\nwith earlier work.", "Results of the\nU-Net Encoder (ours)\nare shown.", "Accuracy for\n2019\nand 2020 is shown.", "Results for all classes. 17", "Figure 4b: The loss of panel 6a."]
+    df = spark.createDataFrame(list(enumerate(probes + _captions(50))), "rec_id LONG, caption STRING")
+    got = {r["key"]: r for r in page_noise.repaired(df, "rec_id", F.col("caption")).collect()}
+    for i, text in enumerate(probes):
+        assert got[i]["text"] == text.replace("\n", " ") and got[i]["traces"] == [], text
+
+
+def test_heads_of_a_thousand_journals(spark):
+    rng = np.random.default_rng(4)
+    syllables = ["tor", "vel", "mik", "dra", "sun", "pol", "kes", "lin", "bru", "fam"]
+    base = _captions(400)
+    rows, heads = [(i, "s0", t) for i, t in enumerate(base)], {}
+    for j in range(1000):
+        name = " ".join("".join(rng.choice(syllables, 3)).capitalize() for _ in range(3))
+        for k in range(5):
+            heads[1000 + 5 * j + k] = base[(5 * j + k) % 400].replace("shows a ", f"shows a \nAnnals of {name} {j % 90 + 1} ({2030 + k}) {k}{j % 10}–{k + 40}\n ")
+    rows += [(i, f"s{i % 7}", t) for i, t in heads.items()]
+    df = spark.createDataFrame(rows, "rec_id LONG, collector STRING, caption STRING")
+    got = {r["key"]: r for r in page_noise.repaired(df, "rec_id", F.col("caption"), F.col("collector")).collect()}
+    assert all(got[i]["traces"] == ["running head"] and got[i]["text"] == base[(i - 1000) % 400] for i in heads)
+    assert all(got[i]["traces"] == [] for i in range(400))
+
+
+def test_bare_numbers_in_sequence_are_pages(spark):
+    base = _captions(60)
+    rows = [(i, "a", f"{t} {20 + i}") for i, t in enumerate(base[:8])] + [(20 + i, "b", t + (f" {7 * i * i + 3}" if i < 8 else "")) for i, t in enumerate(base[20:])] + [(90, None, base[8] + " 23")]
+    df = spark.createDataFrame(rows, "rec_id LONG, collector STRING, caption STRING")
+    got = {r["key"] for r in page_noise.repaired(df, "rec_id", F.col("caption"), F.col("collector")).where("size(traces) > 0").collect()}
+    assert got == set(range(8))
+
+
 def test_misreading_in_a_third_of_the_rows(spark):
     base = _captions()
     rows = list(enumerate(base)) + [(1000 + i, base[4].replace("reward", "rcward")) for i in range(200)]
