@@ -4,15 +4,22 @@ Two kinds of evidence, both counted over all values:
 
 * Lengths. Per source and field, in characters and in bytes, the hazard of a length is the share of the
   values at least that long that end there without a stop. A window gives the hazard of the lengths around it, and the chance of so many ends is bounded by
-  the Chernoff bound of the binomial. Benjamini and Hochberg's rule picks the significant lengths of each source and field. A
-  value of a significant length that has no final stop was cut by the field's limit.
+  the Chernoff bound of the binomial. Benjamini and Hochberg's rule picks the significant lengths of each source and field.
 * Endings. Texts are read as tokens in which names and numbers are alike. For contexts of one to three
   tokens, and of six in which longer words are alike too, it is counted how often a value or sentence ends after them and how often
-  it goes on. A value without a final stop was cut mid-transfer if its last context hardly ever ends anything, if its last
-  word is no word of the corpus (or, if short, none after the word before it) but the beginning of one, or if a mark of omission stands at its end. Titles that by nature have no stop end like many others, and are whole.
+  it goes on; and for the words before a stop, how often the sentence goes on after it, as after an abbreviation. Values cut by a limit don't count.
 
+A value without a final stop is a case of the kind
+
+* ``limit`` if it has a significant length and its ending is not too final for it: the odds of the length (ends above
+  the expected ones, to the expected ones) times those of the ending (going on, to ending) are above one;
+* ``transfer`` if its last word or context hardly ever ends anything, if its last
+  word is hardly ever more than the beginning of longer ones, or if it ends in an abbreviation's stop;
+* ``mark`` if a mark of omission stands at its end.
+
+Titles that by nature have no stop end like many others, and are whole.
 Page numbers after the end are set aside. The counts are kept in hashed cells, a fixed
-number for each length of context, so what is broadcast is bounded. Null and blank values are no cases; an unknown source (null)
+number for each length of context, so what is broadcast is bounded, as are the words (at least one in a million tokens). Null and blank values are no cases; an unknown source (null)
 is a source of its own. Values are read whole; repeated values are each judged alike.
 """
 
@@ -31,12 +38,12 @@ from pyspark.sql import functions as F
 from lumenfig.llm.residue import entries, fit, judged
 from lumenfig.workdir import Workdir
 
-#: Hashed cells for contexts of one, two and three tokens, and of six rough ones.
-CELLS = (1 << 18, 1 << 19, 1 << 19, 1 << 19)
+#: Hashed cells for contexts of one, two and three tokens, of six rough ones, and of the words before a stop.
+CELLS = (1 << 18, 1 << 19, 1 << 19, 1 << 19, 1 << 18)
+#: Share of the words beginning alike below which a word is taken for a beginning; share of ends below which a short word never ends anything; most that an ending says against a length.
+FRAGMENT, NEVER, FINAL = 0.02, 0.003, 0.95
 _TOKEN = re.compile(r"\x02|\d+(?:[.,]\d+)*[^\W\d_]?\b|[^\W_]+(?:[-'’][^\W_]+)*|[^\w\s]|_")
 _PAGE = r"(?s)\s*(\[p\. ?\d+\]|[-–—] ?\d+ ?[-–—]|\n\s*(?:[Pp]age )?\d+|(?<=[.!?])\s+\d{1,4})\s*$"
-#: Characters at the end of a value in which page numbers, marks and stops are looked for.
-TAIL = 24
 #: Marks of omission at the end of a value, and stops.
 _OMITTED = re.compile(r"(?:…|\.\.\.|\[|>>|�|\(|-->?|\\)\s*$")
 _STOPPED = re.compile(r"[.!?][\"'”’)\]]*\s*$")
@@ -59,6 +66,11 @@ class _Read:
             end[i], word[i] = t in "\x02.!?", t.isalpha() and t.islower()
         self.end, self.word = end[self.code], word[self.code]
         self.marks = np.flatnonzero(self.code == seen["\x02"])
+        # Words before a stop, which are followed by the end or a capital, or by something that goes on.
+        stop, first = self.code == seen.get(".", -1), np.array([t == "\x02" or t[0].isupper() for t in seen], bool)[self.code]
+        self.stopped = 1 + np.flatnonzero(stop[1:-1] & np.array([t[0].isalpha() for t in seen], bool)[self.code[:-2]])
+        self.ended = first[self.stopped + 1]
+        self.before = (low[self.code[self.stopped - 1]] % np.uint64(CELLS[4])).astype(np.int64)
         opening = np.r_[True, self.end[:-1]]
         field = np.array([_hash(f) for f in fields] + [0], np.uint64)[np.cumsum(self.code == seen["\x02"]) - 1]
         self.exact, self.rough = np.where(opening, low[self.code], own[self.code]), rough[self.code]
@@ -85,26 +97,28 @@ def _hash(text: str) -> int:
 class Endings:
     """How often a context ends something and how often it goes on, and the words of the corpus."""
 
-    def __init__(self, ends: list[np.ndarray], goes: list[np.ndarray], words: list[str]) -> None:
+    def __init__(self, ends: list[np.ndarray], goes: list[np.ndarray], words: dict[str, int]) -> None:
         self.ends, self.goes, self.words = ends, goes, sorted(words)
+        self.upto = np.r_[0, np.cumsum([words[w] for w in self.words])]
 
-    def _known(self, word: str) -> tuple[bool, bool]:
-        """(is a word of the corpus, is the beginning of one)."""
-        i = bisect_left(self.words, word)
-        there = i < len(self.words)
-        return there and self.words[i] == word, there and self.words[i].startswith(word)
+    def _begins(self, word: str) -> bool:
+        """Is a word hardly ever more than the beginning of longer ones?"""
+        i, j = bisect_left(self.words, word), bisect_left(self.words, word + "\U0010ffff")
+        own = self.upto[i + 1] - self.upto[i] if i < j and self.words[i] == word else 0
+        return j > i and own < FRAGMENT * (self.upto[j] - self.upto[i])
 
-    def incomplete(self, texts: list[str], fields: list[str]) -> np.ndarray:
-        """Per text without a final stop: does its ending say that it goes on?"""
+    def judge(self, texts: list[str], fields: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Per text: does its ending say that it goes on, and the share of endings among what the longest known context did."""
         if not texts:
-            return np.zeros(0, bool)
+            return np.zeros(0, bool), np.zeros(0)
         read = _Read(texts, fields)
         last, size = read.marks[1:] - 1, np.diff(read.marks) - 1
-        share = []
+        share, many = [], []
         for n, fewest in ((0, 5), (1, 5), (2, 5), (3, 8)):
             cell = read.cells[n][last]
             e, g = np.maximum(self.ends[n][cell] - 1, 0), self.goes[n][cell]
             share.append(np.where((e + g >= fewest) & (size > n), (e + 0.25) / (e + g + 0.5), np.nan))
+            many.append(e + g)
         one, two, three, rough = share
         short = np.where(np.isnan(two), one, two)
         with np.errstate(invalid="ignore"):
@@ -113,17 +127,31 @@ class Endings:
                 short < 0.1,
                 np.where(np.isnan(rough), three < 0.2, np.where(np.isnan(three), rough < 0.1, ((three < 0.2) & (rough < 0.5)) | ((rough < 0.05) & (three < 0.5)))),
             )
+            # Short words, as articles and conjunctions, that hardly ever end anything, however often cut values made an end of them.
+            goes_on |= (one < NEVER) & (many[0] >= 100) & np.array([len(read.names[c]) <= 3 for c in read.code[last]])
+        final = np.where(np.isnan(three), np.where(np.isnan(short), 0.5, short), three)
         for i in np.flatnonzero(read.word[last] & (size > 0)).tolist():
-            name = read.names[read.code[last[i]]]
-            known, begun = self._known(name)
-            cell = read.cells[1][last[i]]
-            if not known or len(name) < 5 and self.ends[1][cell] + self.goes[1][cell] < 2:
-                goes_on[i] = begun
-        return goes_on & (size > 0)
+            if self._begins(read.names[read.code[last[i]]]):
+                goes_on[i], final[i] = True, 0.0
+        stops = np.flatnonzero(np.array([read.names[c] == "." for c in read.code[last]]) & (size > 1))
+        for i in stops.tolist():
+            at = np.searchsorted(read.stopped, last[i])
+            if at < len(read.stopped) and read.stopped[at] == last[i]:
+                e, g = max(self.ends[4][read.before[at]] - 1, 0), self.goes[4][read.before[at]]
+                goes_on[i] = g >= 5 and e < 0.1 * (e + g)
+            else:
+                goes_on[i] = False
+        return goes_on & (size > 0), final
+
+    def abbreviations(self) -> list[str]:
+        """Words after whose stop a sentence hardly ever ends."""
+        cell = np.array([_hash(w) % CELLS[4] for w in self.words], np.int64)
+        e, g = self.ends[4][cell], self.goes[4][cell]
+        return [self.words[i] for i in np.flatnonzero((g >= 5) & (np.maximum(e - 1, 0) < 0.1 * (e + g)))]
 
 
 def endings(rows: DataFrame) -> Endings:
-    """The counts over every value (text, field); words are those that are at least one in 500,000 tokens."""
+    """The counts over every value (text, field); words are those that are at least one in a million tokens."""
     starts = np.cumsum([0, *[2 * c for c in CELLS]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,6 +164,7 @@ def endings(rows: DataFrame) -> Endings:
             for n, cell in enumerate(read.cells):
                 at = starts[n] + cell[:-1][inside] + np.where(read.end[1:][inside], 0, CELLS[n])
                 held += np.bincount(at, minlength=len(held))
+            held += np.bincount(starts[4] + read.before + np.where(read.ended, 0, CELLS[4]), minlength=len(held))
             within = read.word & ~np.r_[read.code[1:] == read.code[0], True]
             for i, n in zip(*[x.tolist() for x in np.unique(read.code[within], return_counts=True)]):
                 words[read.names[i]] += n
@@ -151,36 +180,39 @@ def endings(rows: DataFrame) -> Endings:
     table = np.zeros(starts[-1], np.float32)
     table[cells["cell"].to_numpy(np.int64)] = cells["n"].to_numpy(np.float32)
     tokens = float(table[: 2 * CELLS[0]].sum())
-    words = [r[0] for r in counts.where(f"word is not null and n >= {max(3.0, tokens / 500_000)}").select("word").collect()]
+    words = {r[0]: r[1] for r in counts.where(f"word is not null and n >= {max(3.0, tokens / 1e6)}").select("word", "n").collect()}
     ends = [table[a : a + c] for a, c in zip(starts, CELLS)]
     goes = [table[a + c : a + 2 * c] for a, c in zip(starts, CELLS)]
     return Endings(ends, goes, words)
 
 
 def significant_lengths(sizes: DataFrame, reach: int = 10, rate: float = 0.01, fewest: int = 5) -> DataFrame:
-    """(source, field, unit, size): lengths at which significantly more values end without a stop than around them.
+    """(source, field, unit, size, odds): lengths at which significantly more values end without a stop than around them.
 
-    sizes: source, field, unit, size, open; one row per value and unit. All values at least that long are at risk.
+    sizes: source, field, unit, size, open; one row per value and unit. All values at least that long are at risk. odds: ends
+    above the expected ones, to the expected ones.
     """
     group = ["source", "field", "unit"]
     counts = sizes.groupBy(*group, "size").agg(F.count("*").alias("all"), F.count_if("open").alias("n"))
     by = Window.partitionBy(*group).orderBy("size")
     risk = F.sum("all").over(by.rowsBetween(0, Window.unboundedFollowing))
-    near = F.sum("n").over(by.rangeBetween(-reach, reach)) - F.col("n")
+    sides = [by.rangeBetween(-reach, -1), by.rangeBetween(1, reach)]
+    # Another significant length close by, as where blanks before a limit are stripped, doesn't make this one look usual.
+    near = sum(F.coalesce(F.sum("n").over(w), F.lit(0)) for w in sides) - F.coalesce(F.greatest(*[F.max("n").over(w) for w in sides]), F.lit(0))
     rows = counts.select(*group, "size", "n", risk.alias("risk"), near.alias("near"))
     hazard, base = F.col("n") / F.col("risk"), F.least(F.lit(0.999), (F.col("near") + 1) / (2 * reach * F.col("risk") + 1))
     rest = F.when(hazard < 1, (1 - hazard) * F.log((1 - hazard) / (1 - base))).otherwise(0.0)
     bound = F.when(hazard > base, F.exp(-F.col("risk") * (hazard * F.log(hazard / base) + rest))).otherwise(1.0)
-    rows = rows.withColumn("p", bound)
+    rows = rows.withColumn("p", bound).withColumn("odds", hazard / base - 1)
     whole = Window.partitionBy(*group)
     rank = F.row_number().over(whole.orderBy("p", "size"))
     rows = rows.withColumn("rank", rank).withColumn("m", F.count("*").over(whole))
     last = F.max(F.when(F.col("p") <= rate * F.col("rank") / F.col("m"), F.col("rank"))).over(whole)
-    return rows.withColumn("last", last).where(f"rank <= last and n >= {fewest}").select(*group, "size")
+    return rows.withColumn("last", last).where(f"rank <= last and n >= {fewest}").select(*group, "size", "odds")
 
 
 def cut_values(df: DataFrame, key: str, fields: list[str], source: str, spoiled: list[str]) -> DataFrame:
-    """(key, field, source, text): values whose end is missing.
+    """(key, field, source, text, kind): values whose end is missing, and what says so (limit, transfer, mark).
 
     Values that are residue of the machinery are no cases. Their models count the fields in ``spoiled``.
     """
@@ -190,7 +222,7 @@ def cut_values(df: DataFrame, key: str, fields: list[str], source: str, spoiled:
     rows = rows.select("key", "source", "x.field", "x.text").where("key is not null and text is not null and trim(text) != ''")
     found = work.keep(_cut(rows), "found")
     residue = judged(found, fit(entries(df, key, spoiled)))
-    return found.join(residue.select("key", "field"), ["key", "field"], "left_anti").select("key", "field", "source", "text")
+    return found.join(residue.select("key", "field"), ["key", "field"], "left_anti").select("key", "field", "source", "text", "kind")
 
 
 def cut_shares(df: DataFrame, cut: DataFrame, fields: list[str], source: str) -> DataFrame:
@@ -205,38 +237,39 @@ def cut_shares(df: DataFrame, cut: DataFrame, fields: list[str], source: str) ->
 
 
 def _cut(rows: DataFrame) -> DataFrame:
-    # Most values end in a plain stop: these need no pattern, neither for page numbers nor for marks.
+    spark = rows.sparkSession
+    bare = F.regexp_replace("text", _PAGE, "")
+    # Most values end in a plain stop, before which no page number stands.
     plain = F.col("text").endswith(".") & ~F.col("text").endswith("..")
-    tail = F.regexp_replace(F.right("text", F.lit(TAIL)), _PAGE, "")
-    bare = F.concat(F.expr(f"left(text, greatest(0, length(text) - {TAIL}))"), tail)
     rows = rows.withColumn("bare", F.when(plain, F.col("text")).when(F.length(F.trim(bare)) > 0, bare).otherwise(F.col("text")))
-    end = F.right("bare", F.lit(TAIL))
-    rows = rows.withColumn("open", ~plain & (~end.rlike(_STOPPED.pattern) | end.rlike(_OMITTED.pattern)))
+    rows = rows.withColumn("open", ~plain & (~F.col("bare").rlike(_STOPPED.pattern) | F.col("bare").rlike(_OMITTED.pattern)))
     units = F.array(
         F.struct(F.lit("characters").alias("unit"), F.length("text").alias("size")), F.struct(F.lit("bytes").alias("unit"), F.octet_length("text").alias("size"))
     )
     limits = significant_lengths(rows.select("source", "field", "open", F.explode(units).alias("u")).select("source", "field", "u.unit", "u.size", "open"))
-    limits = limits.groupBy("source", "field").agg(
-        F.collect_set(F.when(F.col("unit") == "bytes", F.col("size"))).alias("in_bytes"), F.collect_set(F.when(F.col("unit") != "bytes", F.col("size"))).alias("in_characters")
-    )
-    held = rows.sparkSession.sparkContext.broadcast(endings(rows.select(F.col("bare").alias("text"), "field")))
-    open_ = rows.where("open")
-    same = (open_["source"].eqNullSafe(limits["source"])) & (open_["field"] == limits["field"])
-    open_ = open_.join(limits, same, "left").select(
-        "key",
-        open_["field"],
-        open_["source"],
-        "text",
-        "bare",
-        F.coalesce(F.array_contains("in_bytes", F.octet_length("text")) | F.array_contains("in_characters", F.length("text")), F.lit(False)).alias("limit"),
+    limits = Workdir(spark, "limits").keep(limits, "limits")
+    lists = limits.groupBy("source", "field").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(" ", "unit", "size"), "odds"))).alias("odds"))
+    own = [F.element_at("odds", F.concat_ws(" ", F.lit(u), size)) for u, size in (("characters", F.length("text")), ("bytes", F.octet_length("text")))]
+    same = rows["source"].eqNullSafe(lists["source"]) & (rows["field"] == lists["field"])
+    rows = rows.join(F.broadcast(lists) if limits.count() <= 100_000 else lists, same, "left").select(
+        "key", rows["field"], rows["source"], "text", "bare", "open", F.coalesce(F.greatest(*own), F.lit(0.0)).alias("odds")
     )
+    counted = endings(rows.where("not open or odds = 0").select(F.col("bare").alias("text"), "field"))
+    held = spark.sparkContext.broadcast(counted)
+    last = F.lower(F.regexp_extract("bare", r"([\p{L}]+)\.$", 1))
+    abbreviated = F.array_contains(F.lit(counted.abbreviations() or [""]), last) & (last != "")
+    asked = rows.where(F.col("open") | abbreviated).select("key", "field", "source", "text", "bare", "open", "odds")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bare = batch.column(4).to_pylist()
-            cut = np.array(batch.column(5).to_pylist(), bool) | held.value.incomplete(bare, batch.column(1).to_pylist())
-            cut |= np.fromiter((bool(_OMITTED.search(t)) for t in bare), bool, len(bare))
-            yield batch.select([0, 1, 2, 3]).filter(pa.array(cut))
+            bare, odds = batch.column(4).to_pylist(), batch.column(6).to_numpy()
+            goes_on, final = held.value.judge(bare, batch.column(1).to_pylist())
+            open_ = np.array(batch.column(5).to_pylist(), bool)
+            mark = np.fromiter((bool(_OMITTED.search(t)) for t in bare), bool, len(bare))
+            final = np.minimum(final, FINAL)
+            limit = open_ & (odds * (1 - final) > final)
+            kind = np.where(mark, "mark", np.where(limit, "limit", np.where(goes_on, "transfer", "")))
+            yield batch.select([0, 1, 2, 3]).append_column("kind", pa.array(kind.tolist(), pa.string())).filter(pa.array(kind != ""))
 
     kind = dict(rows.dtypes)["key"]
-    return open_.mapInArrow(run, f"key {kind}, field STRING, source STRING, text STRING")
+    return asked.mapInArrow(run, f"key {kind}, field STRING, source STRING, text STRING, kind STRING")
