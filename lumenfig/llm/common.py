@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A word is a maximal run of Unicode letters or digits; callers lower-case it.
@@ -44,3 +47,30 @@ def checksum_of(md5: Column) -> Column:
     bare = F.regexp_replace(bare, r"[^0-9a-z]", "")
     real = bare.rlike(r"^[0-9a-f]{32}$") & ~bare.rlike(r"^(.)\1{31}$") & (bare != "d41d8cd98f00b204e9800998ecf8427e")
     return F.when(real, bare)
+
+
+#: A task's counts of cells, packed by slices of the table; and in how many slices a table is cut.
+CELLS, SLICES = "slice INT, at BINARY, n BINARY", 64
+
+
+def packed_cells(held: np.ndarray) -> list[pa.Array]:
+    """The columns of ``CELLS`` for a table of counts, whose size is a multiple of ``SLICES``: places and counts of the full cells of each slice."""
+    width = len(held) // SLICES
+    rows = [(i, at, held[i * width + at]) for i in range(SLICES) for at in [np.flatnonzero(held[i * width : (i + 1) * width])] if len(at)]
+    return [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1].astype(np.int32).tobytes() for r in rows], pa.binary()), pa.array([r[2].astype(np.int64).tobytes() for r in rows], pa.binary())]
+
+
+def summed_cells(packed: DataFrame, size: int) -> np.ndarray:
+    """The table of ``size`` cells that the tasks' packed counts add up to; as many bytes times eight come to the driver, and no rows."""
+    width = size // SLICES
+
+    def total(pdf: pd.DataFrame) -> pd.DataFrame:
+        held = np.zeros(width, np.int64)
+        for at, n in zip(pdf["at"], pdf["n"]):
+            held[np.frombuffer(at, np.int32)] += np.frombuffer(n, np.int64)
+        return pd.DataFrame([(int(pdf["slice"].iloc[0]), held.tobytes())], columns=["slice", "n"])
+
+    out = np.zeros(size, np.int64)
+    for i, n in packed.groupBy("slice").applyInPandas(total, "slice INT, n BINARY").collect():
+        out[i * width : (i + 1) * width] = np.frombuffer(n, np.int64)
+    return out

@@ -35,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenfig.llm.common import CELLS as CELL_COUNTS
+from lumenfig.llm.common import packed_cells, summed_cells
 from lumenfig.llm.residue import entries, fit, judged
 from lumenfig.workdir import Workdir
 
@@ -168,19 +170,18 @@ def endings(rows: DataFrame) -> Endings:
             within = read.word & ~np.r_[read.code[1:] == read.code[0], True]
             for i, n in zip(*[x.tolist() for x in np.unique(read.code[within], return_counts=True)]):
                 words[read.names[i]] += n
-        full = np.flatnonzero(held)
-        for i in range(0, len(full), 65536):
-            part = full[i : i + 65536]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.nulls(len(part), pa.string()), pa.array(held[part])], names=["cell", "word", "n"])
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(words), pa.int64()), pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["cell", "word", "n"])
+        none = [pa.nulls(len(words), pa.int32()), *[pa.nulls(len(words), pa.binary())] * 2]
+        names = ["slice", "at", "n", "word", "count"]
+        cells = packed_cells(held)
+        yield pa.RecordBatch.from_arrays([*cells, pa.nulls(len(cells[0]), pa.string()), pa.nulls(len(cells[0]), pa.int64())], names=names)
+        yield pa.RecordBatch.from_arrays([*none, pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=names)
 
     work = Workdir(rows.sparkSession, "endings")
-    counts = work.keep(rows.select("text", "field").mapInArrow(run, "cell LONG, word STRING, n LONG").groupBy("cell", "word").agg(F.sum("n").alias("n")), "counts")
-    cells = counts.where("cell is not null").select("cell", "n").toPandas()
-    table = np.zeros(starts[-1], np.float32)
-    table[cells["cell"].to_numpy(np.int64)] = cells["n"].to_numpy(np.float32)
+    counts = work.keep(rows.select("text", "field").mapInArrow(run, f"{CELL_COUNTS}, word STRING, count LONG"), "counts")
+    table = summed_cells(counts.where("slice is not null").select("slice", "at", "n"), int(starts[-1])).astype(np.float32)
     tokens = float(table[: 2 * CELLS[0]].sum())
-    words = {r[0]: r[1] for r in counts.where(f"word is not null and n >= {max(3.0, tokens / 1e6)}").select("word", "n").collect()}
+    known = counts.where("word is not null").groupBy("word").agg(F.sum("count").alias("n")).where(f"n >= {max(3.0, tokens / 1e6)}")
+    words = {r[0]: r[1] for r in known.collect()}
     ends = [table[a : a + c] for a, c in zip(starts, CELLS)]
     goes = [table[a + c : a + 2 * c] for a, c in zip(starts, CELLS)]
     return Endings(ends, goes, words)

@@ -32,7 +32,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfig.llm.common import words
+from lumenfig.llm.common import CELLS as CELL_COUNTS
+from lumenfig.llm.common import packed_cells, summed_cells, words
 from lumenfig.workdir import Workdir
 
 #: Members of a run of equal keys that a part pairs itself; keys that a part holds at most, on average.
@@ -80,25 +81,13 @@ def _flat(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _cell_counts(cells: int):
-    """Per task the counts of its full cells, packed by slices of the table."""
-    width = max(1, cells // 64)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(cells, np.int64)
         for batch in batches:
             held += np.bincount((_flat(batch.column(0).to_pylist())[0] % np.uint64(cells)).astype(np.int64), minlength=cells)
-        rows = [(i, at, held[i * width + at]) for i in range(64) for at in [np.flatnonzero(held[i * width : (i + 1) * width])] if len(at)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1].astype(np.int32).tobytes() for r in rows], pa.binary()), pa.array([r[2].tobytes() for r in rows], pa.binary())], names=["slice", "at", "n"]
-        )
-
-    def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        held = np.zeros(width, np.int64)
-        for at, n in zip(pdf["at"], pdf["n"]):
-            held[np.frombuffer(at, np.int32)] += np.frombuffer(n, np.int64)
-        return pd.DataFrame([(int(pdf["slice"].iloc[0]), held.astype(np.uint32).tobytes())], columns=["slice", "n"])
+        yield pa.RecordBatch.from_arrays(packed_cells(held), names=["slice", "at", "n"])
 
-    return run, total
+    return run
 
 
 def prefix_keys(hashes: np.ndarray, doc: np.ndarray, rows: int, counts: np.ndarray, rare: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -269,10 +258,7 @@ def alike(df: DataFrame, key: str, text: Column, num: int = 7, den: int = 10) ->
     sets = rows.where("hashes is not null").select("c", "hashes")
     total, bytes_ = sets.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("hashes")), F.lit(0))).first()
     cells = min(CELLS[1], max(CELLS[0], 1 << (8 * total).bit_length()))
-    count, add = _cell_counts(cells)
-    counts = np.zeros(cells, np.uint32)
-    for i, n in sets.select("hashes").mapInArrow(count, "slice INT, at BINARY, n BINARY").groupBy("slice").applyInPandas(add, "slice INT, n BINARY").collect():
-        counts[i * (cells // 64) : (i + 1) * (cells // 64)] = np.frombuffer(n, np.uint32)
+    counts = np.minimum(summed_cells(sets.select("hashes").mapInArrow(_cell_counts(cells), CELL_COUNTS), cells), 1 << 31).astype(np.uint32)
     held = df.sparkSession.sparkContext.broadcast(counts)
     rare = max(RARE, 2 * bytes_ // 8 // cells)
     parts = max(12, -(-total * SET_KEYS // PART_KEYS))

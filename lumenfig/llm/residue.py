@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenfig.llm.common import CELLS as CELL_COUNTS
+from lumenfig.llm.common import packed_cells, summed_cells
 from lumenfig.llm.residue_seeds import BLIND_WORDS, FILLER, MARKERS, NOTICES, SLOTS
 
 CELLS = 1 << 18
@@ -212,14 +214,9 @@ def fit(values: DataFrame) -> Residue:
         held = np.zeros(2 * CELLS, np.int64)
         for batch in batches:
             held += counted(batch.column(0).to_pylist(), known, batch.column(1).to_numpy())
-        full = np.flatnonzero(held)
-        for i in range(0, len(full), 65536):
-            part = full[i : i + 65536]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(held[part])], names=["cell", "n"])
-
-    counts = values.where("text is not null and text != ''").groupBy("text").count().mapInArrow(run, "cell LONG, n LONG").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    table = np.zeros(2 * CELLS)
-    table[counts["cell"].to_numpy(np.int64)] = counts["n"].to_numpy(np.float64)
+        yield pa.RecordBatch.from_arrays(packed_cells(held), names=["slice", "at", "n"])
+
+    table = summed_cells(values.where("text is not null and text != ''").groupBy("text").count().mapInArrow(run, CELL_COUNTS), 2 * CELLS).astype(np.float64)
     return Residue(table[:CELLS], table[CELLS:])
 
 
