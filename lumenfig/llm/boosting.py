@@ -16,9 +16,9 @@ class Boosted:
     def _binned(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(e, x[:, j], "right") for j, e in enumerate(self.edges)], 1).astype(np.uint8)
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
-        """Fits the logistic loss by its gradient and curvature; a fifth of the rows is held out for the threshold."""
-        held = np.arange(len(y)) % 5 == 4
+    def fit(self, x: np.ndarray, y: np.ndarray, held: np.ndarray | None = None) -> Boosted:
+        """Fits the logistic loss by its gradient and curvature; the rows held out, a fifth unless told which, set the threshold."""
+        held = np.arange(len(y)) % 5 == 4 if held is None else held
         self.edges = [np.unique(np.quantile(x[~held, j], np.linspace(0, 1, BINS)[1:-1], method="nearest")) for j in range(x.shape[1])]
         b = self._binned(x[~held]).astype(np.int64)
         t = y[~held].astype(np.float64)
@@ -59,7 +59,8 @@ class Boosted:
         right = np.array([(truth & (chance >= c)).sum() for c in tried])
         f1 = 2 * right / np.maximum(1, truth.sum() + np.array([(chance >= c).sum() for c in tried]))
         good = tried[f1 >= f1.max() - 1e-9]
-        self.threshold, self.f1 = float(np.clip(np.median(good), 0.2, 0.8)), float(f1.max())
+        # Of the best thresholds the one next to even odds.
+        self.threshold, self.f1 = float(np.clip(0.5, min(good.min(), 0.8), max(good.max(), 0.2))), float(f1.max())
         return self
 
     def chance(self, x: np.ndarray) -> np.ndarray:

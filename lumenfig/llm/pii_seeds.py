@@ -103,23 +103,28 @@ class Invented:
 
 #: Made-up sentences; {p} is a person, {m} an e-mail address, {t} a telephone number, {i} an identity number, {a} an address; {x} a model, {n} a number.
 WITH = [
-    "We thank {p} for labelling the images.", "Thanks go to {p} for proofreading.", "My colleague {p} rescanned the page.", "My neighbour {p} called yesterday.", "The drawing was made by {p} during a visit.", "Sketch drawn by {p} last spring.", "According to {p}, who kept the notes, the axis was flipped.",
-    "The form was signed by {p}, identity no. {i}, on page two.", "The consent form of participant {p} (born abroad, passport {i}) was scanned.", "Patient {p}, national id {i}, agreed.", "Annotator payroll id {i} was left in the margin.", "Payroll number {i} belongs to {p}.", "The badge shows staff number {i}.", "Her passport {i} was copied by mistake.", "Social security number {i} is visible on the scan.",
-    "Reviewer sheet: name {p}; phone {t}; mail {m}; document {i}.", "Name: {p}, tel. {t}, e-mail {m}.", "Contact: {m} or {t}.", "Contact: {p}, {m}.", "Questions about the data go to {p} ({m}).", "Write to {m} for the missing files.", "Mail {m} for a copy.", "Call {t} if the page stalls.", "Please phone {t} before noon.", "Corresponding author: {p}, {a}, tel. {t}.",
-    "Ship the plates to {p}, {a}.", "Send the prints to {p}, {a}.", "Printed copies can be requested at {a}.", "Visitors come to {a}.", "{p} lives at {a}.", "He moved to {a} last year.", "Autora de contacto: {p}, {a}, tel. {t}.", "Autor de contacto: {p}, {a}.", "Correo de contacto: {m}.", "Para dudas escriba a {p} ({m}).", "Puede llamar al {t} o acudir a {a}.", "El formulario lleva el documento {i} de {p}.", "El pasaporte {i} de {p} fue escaneado.",
-    "Se agradece a {p} la revisión de las figuras.", "Agradecemos a {p} su ayuda.", "Kontakt: {p}, {a}, Tel. {t}.", "Fragen bitte an {p} ({m}).", "Wir danken {p} für die Durchsicht der Bilder.", "Telefonisch erreichbar unter {t}.", "Ausweisnummer {i} stand auf dem Scan von {p}.", "Die Personalnummer {i} gehört {p}.", "The interview with {p} was not recorded.", "{p} asked for a second scan.", "Photo taken by {p}.", "In the margin {p} wrote a comment.", "Note from {p}: check the legend.",
+    "We thank {p} for labelling the images.", "Thanks go to {p} for proofreading.", "My colleague {p} rescanned the page.", "My neighbour {p} called yesterday.", "The drawing comes from {p}, who kept the original.", "Sketch drawn by {p} last spring.", "According to {p}, who kept the notes, the axis was flipped.",
+    "The form was signed by {p}, identity no. {i}, on page two.", "The waiver of volunteer {p} (passport no. {i}) was filed twice.", "Patient {p}, national id {i}, agreed.", "Staff payroll no. {i} is written beside the stamp.", "Payroll number {i} belongs to {p}.", "The badge shows staff number {i}.", "Her passport {i} was copied by mistake.", "Social security number {i} is visible on the scan.",
+    "Visitor card: {p}; tel. {t}; mail {m}; id {i}.", "Name: {p}, tel. {t}, e-mail {m}.", "Contact: {m} or {t}.", "Contact: {p}, {m}.", "Questions about the data go to {p} ({m}).", "Write to {m} for the missing files.", "Mail {m} for a copy.", "Call {t} if the page stalls.", "Please phone {t} before noon.", "Corresponding author: {p}, {a}, tel. {t}.",
+    "Please post the slides to {p}, {a}.", "Send the prints to {p}, {a}.", "A paper version is kept at {a}.", "Visitors come to {a}.", "{p} lives at {a}.", "He moved to {a} last year.", "Contacto: {p}, {a}, tel. {t}.", "Autor de contacto: {p}, {a}.", "Su correo es {m}.", "Las preguntas se envían a {p} ({m}).", "Llame al {t} o pase por {a}.", "En la hoja figura el DNI {i} de {p}.", "El pasaporte {i} de {p} fue escaneado.",
+    "Damos las gracias a {p} por revisar el texto.", "Agradecemos a {p} su ayuda.", "Kontakt: {p}, {a}, Tel. {t}.", "Rückfragen an {p} ({m}).", "Wir danken {p} für die Durchsicht der Bilder.", "Anruf unter {t} möglich.", "Die Ausweisnummer {i} von {p} war lesbar.", "Die Personalnummer {i} gehört {p}.", "The interview with {p} was not recorded.", "{p} asked for a second scan.", "Photo taken by {p}.", "In the margin {p} wrote a comment.", "Note from {p}: check the legend.",
+    "Wohnhaft in {a}.", "Die Unterlagen gehen an {a}.", "Besuch nach Absprache: {a}.", "{p} wohnt jetzt {a}.", "Adresse: {a}, Tel. {t}.", "Name on the card: {p}; phone {t}.", "Sheet filled in by {p}, document {i}.", "Please ring {t} when the viewer hangs.",
 ]
 WITHOUT = [
-    "{x} and {x} read the caption first.", "Both {x} and {x} use the same encoder.", "Since {x} shares its layer with {x}, the curves meet near {n}.", "When {x} is removed, loss falls.", "For {x} we report recall and the size of the cache.", "In contrast to {x}, the local sampler needs no memory.", "As table {n} records, {x} spends most of its budget on pages.", "Captions were embedded with {x}, and the rest was searched.", "{x} {x} were compared with {x}.",
-    "Retrieval reached precision@{n} and recall@{n} on the {x} split.", "The handle @{x} marks a decorator in the code.", "See doi 10.{d4}/fig.{d7}.{d2} for the archive of {x}.", "Grant code FG-20{d2}-{d3}-{d2} covered the compute.", "Grant number {d3}-{d6} paid for it.", "Run 20{d2}-{d2}-{d3} logged {d7} steps on {x}.", "Sequence {d3} {d3} {d2} repeats in the {x} control signal.", "The build {d1}.{d2}.{d3}-rc{d1} of {x} was used.", "The tensor has shape {d3}x{d2}x{d1} and {d7} entries in total.", "Box {d2} of the diagram holds the {x} unit.", "Box {d1} shows the {x} module.", "Main street scenes of {x} contain {d3} lanes and {d2} avenues.",
-    "Street scenes and road signs from {x} were cropped.", "The {x} Road data set has {d4} images.", "Figure {d2} shows the {x} loss over {d4} updates.", "Between epochs {d3} and {d4} the {x} layer is frozen.", "Manual inspection of {d4} crops found a broken legend.", "We trained {x} on {d5} images with seed {d3}.", "Cell {d2}-{d2}-{d4} of the grid is empty.", "Version {d1}.{d1}.{d2} of {x} fixed it.", "The checksum is {d8}.", "Accession {d8} belongs to {x}.", "Part number {d3}-{d3}-{d4} of the sensor was replaced.", "ISBN {d3}-{d1}-{d4}-{d4}-{d1} lists it.",
-    "Cada panel compara {x} con {x} en {d3} pruebas.", "La figura {d3} muestra cómo {x} mejora frente a {x}.", "Los autores de este trabajo atribuyen la caída a {x}.", "Abbildung {d2} zeigt, wie {x} die Varianz ändert.", "Das Modell {x} wurde mit {d3} Bildern trainiert.", "Jede Spalte vergleicht {x} mit {x} über {d3} Läufe.", "Rank {x}, {x} and {x} by loss.", "An examiner shows two crops from {x}, one late and one fine.", "Suppose a reader sees only the grey trace of {x}; explain whether {x} or {x} made it.", "The expected reply is {x}, since it keeps {d3} samples.",
-    "Bayes factors and Gaussian noise were used in {x}.", "The Markov chain of {x} mixes fast.", "Los Angeles and New York images are in {x}.", "The Vision Group at the University runs {x}.", "Table {d1} and Appendix B list {x}.", "GPU {d1} ran {x} at {d4} samples per second, {d3}.{d2} ms each.", "Readers should note that the {x} band covers {d4} seeds.", "Nothing in {x} depends on page order.", "Our model retrieves the figure in {d4} of {d4} queries when {x} helps.", "Resolution was {d4} x {d4} pixels at {d3} dots per inch.",
+    "{x} and {x} begin with the title.", "Both {x} and {x} use the same encoder.", "Since {x} reuses a block of {x}, the curves touch near {n}.", "Without {x} the error goes down.", "For {x} we report recall and the size of the cache.", "Unlike {x}, the small sampler keeps no state.", "As table {n} records, {x} spends most of its budget on pages.", "Titles were indexed by {x}, and pages by {x}.", "{x} {x} were compared with {x}.",
+    "We list precision@{n}, recall@{n} and ndcg@{n} for {x}.", "In the code @{x} is a decorator.", "The release of {x} has doi 10.{d4}/data.{d7}.{d2}.", "Funding code RX-20{d2}-{d3}-{d2} paid for it.", "Grant number {d3}-{d6} paid for it.", "Run 20{d2}-{d2}-{d3} logged {d7} steps on {x}.", "The pattern {d3} {d3} {d2} comes back in the {x} trace.", "The build {d1}.{d2}.{d3}-rc{d1} of {x} was used.", "Its weights are {d3}x{d2}x{d1}, or {d7} values.", "Box {d2} stands for the {x} part.", "Box {d1} shows the {x} module.", "Street views in {x} show {d3} lanes and {d2} avenues.",
+    "Street scenes and road signs from {x} were cropped.", "The {x} Road data set has {d4} images.", "Figure {d2} shows the {x} loss over {d4} updates.", "Between epochs {d3} and {d4} the {x} layer is frozen.", "A check of {d4} crops by hand showed one bad legend.", "We trained {x} on {d5} images with seed {d3}.", "Cell {d2}-{d2}-{d4} of the grid is empty.", "Version {d1}.{d1}.{d2} of {x} fixed it.", "The checksum is {d8}.", "Accession {d8} belongs to {x}.", "Part number {d3}-{d3}-{d4} of the sensor was replaced.", "ISBN {d3}-{d1}-{d4}-{d4}-{d1} lists it.",
+    "En cada fila {x} se mide contra {x} con {d3} semillas.", "La figura {d3} muestra cómo {x} mejora frente a {x}.", "Los autores de este trabajo atribuyen la caída a {x}.", "Abbildung {d2} zeigt, wie {x} die Varianz ändert.", "Das Modell {x} wurde mit {d3} Bildern trainiert.", "In jeder Zeile steht {x} neben {x} mit {d3} Werten.", "Rank {x}, {x} and {x} by loss.", "Someone picks two crops from {x} and hides the labels.", "Imagine that just one trace of {x} is left; was it {x} or {x}?", "The right answer names {x}, which holds {d3} samples.",
+    "Bayes factors and Gaussian noise were used in {x}.", "The Markov chain of {x} mixes fast.", "Los Angeles and New York images are in {x}.", "The Vision Group at the University runs {x}.", "Table {d1} and Appendix B list {x}.", "GPU {d1} ran {x} at {d4} samples per second, {d3}.{d2} ms each.", "Note that the band of {x} spans {d4} seeds.", "No part of {x} looks at the order of pages.", "Our model retrieves the figure in {d4} of {d4} queries when {x} helps.", "Scans are {d4} x {d4} pixels, {d3} dpi.",
+    "The table gives hit@{n} and map@{n} per model.", "At recall@{n} both {x} and {x} agree.", "We score {x} by precision@{n} only.", "Its ndcg@{n} and mrr@{n} fall when {x} is cut.", "Top hits of {x} at precision@{n} were read by hand.", "The decorator @{x} wraps the call.",
+    "Loss falls against {x} Given more seeds it stays.", "Put {x} first When both agree the tie is kept.", "Gains over {x} Full tables follow.", "Order {x} Rank the rest by loss.", "{x}, {x} and {x} come in that order.", "the of {x} {x} by shuffled words {x}, then {n} more.", "Scores of {x} Between runs they drift.", "It drops next to {x}\n\nEarlier plots hid this.", "{x} An extra run of {x} helped.", "It is close to {x} Both were run twice.",
+    "Box {d2} in the chart is the {x} step.", "In box {d1} of the scheme {x} starts.", "Box {d1} feeds box {d2}.", "Its {d3} lanes and {d1} avenues are labelled by {x}.", "Of {d2} roads and {d3} streets {x} finds most.",
 ]
 
 
-def labelled(n: int, seed: int) -> list[tuple[str, list[tuple[str, int, int]]]]:
-    """n texts of a few sentences, each with its mentions (kind, start, end)."""
+def labelled(n: int, seed: int, held: bool = False) -> list[tuple[str, list[tuple[str, int, int]]]]:
+    """n texts of a few sentences, each with its mentions (kind, start, end). held: from every fifth sentence, which the others never use."""
+    having, lacking = ([p for i, p in enumerate(plans) if (i % 5 == 4) == held] for plans in (WITH, WITHOUT))
     made = Invented(seed)
     say = {"p": ("person", made.person), "m": ("email", made.email), "t": ("phone", made.phone), "i": ("id_number", made.number), "a": ("address", made.address)}
     out = []
@@ -127,7 +132,7 @@ def labelled(n: int, seed: int) -> list[tuple[str, list[tuple[str, int, int]]]]:
         text, spans = "", []
         for _ in range(int(made.rng.integers(1, 5))):
             text += made.pick(["", " ", "", "\n"]) if text else ""
-            plan, loud = (made.pick(WITH), False) if made.chance(0.5) else (made.pick(WITHOUT), made.chance(0.1))
+            plan, loud = (made.pick(having), False) if made.chance(0.5) else (made.pick(lacking), made.chance(0.1))
             for piece in re.split(r"(\{\w+\})", plan):
                 key = piece[1:-1] if piece[:1] == "{" else ""
                 if key in say:
