@@ -16,7 +16,9 @@ WORD = re.compile(r"[^\W_]+")
 
 def words(text: str | None) -> list[str]:
     """The words of a text in order, lower-cased; none for null."""
-    return WORD.findall(text.lower()) if text else []
+    low = text.lower() if text else ""
+    # A letter that lower case makes two of, as the capital i with a dot, mustn't divide its word.
+    return WORD.findall(low) if len(low) == len(text or "") else [w.lower() for w in WORD.findall(text)]
 
 
 def word_set(text: Column) -> Column:

@@ -9,8 +9,8 @@ items that hold it, which the state's nearest ancestor with runs of that length
 Spans of one item that overlap are united. :func:`without_leaks` cuts them out, or drops a passage that
 is mostly leak.
 
-The items are read in blocks of at most ``block_words`` words, each a broadcast
-automaton of its own, so the size of what is broadcast is bounded whatever the number of items; an
+The items are read in blocks of at most ``block_words`` words, each an automaton of its own, and ``PASS`` blocks are
+broadcast for one scan of the corpus, so the size of what is broadcast is bounded whatever the number of items; an
 item longer than a block is split into pieces that overlap by ``min_words - 1`` words.
 
 Null and empty passages and items have no leaks. Repeated passages are each reported under their own id,
@@ -19,7 +19,9 @@ repeated items under all of theirs. Texts are read whole, whatever their length.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,80 +31,101 @@ from pyspark.sql import functions as F
 from lumenfig.llm.common import WORD, words
 
 
+#: Automata that one scan of the corpus takes along.
+PASS = 4
+
+
 class Automaton:
-    """A generalised suffix automaton over words."""
+    """A generalised suffix automaton over words, in flat tables: a step from state s by word w is the entry (s << 32) + w."""
 
     def __init__(self, min_words: int) -> None:
         self.min_words = min_words
-        self.next: list[dict[str, int]] = [{}]
-        self.link, self.length = [-1], [0]
-        self.own: list[set[int]] = [set()]
+        self.ids: dict[str, int] = {}
+        self.step: dict[int, int] = {}
+        self.link, self.length = array("i", [-1]), array("i", [0])
+        self.own: dict[int, set[int]] = {}
+        self._out: list[list[int]] = [[]]
 
-    def _state(self, length: int, steps: dict[str, int], link: int) -> int:
-        self.next.append(steps)
+    def _state(self, length: int, link: int) -> int:
         self.length.append(length)
         self.link.append(link)
-        self.own.append(set())
+        self._out.append([])
         return len(self.length) - 1
 
-    def _split(self, at: int, word: str) -> int:
+    def _go(self, at: int, word: int, to: int) -> None:
+        if (at << 32) + word not in self.step:
+            self._out[at].append(word)
+        self.step[(at << 32) + word] = to
+
+    def _split(self, at: int, word: int) -> int:
         """The state for runs of one word more than those of ``at``, split off where it holds longer ones too."""
-        to = self.next[at][word]
+        to = self.step[(at << 32) + word]
         if self.length[to] == self.length[at] + 1:
             return to
-        copy = self._state(self.length[at] + 1, dict(self.next[to]), self.link[to])
+        copy = self._state(self.length[at] + 1, self.link[to])
+        for w in self._out[to]:
+            self._go(copy, w, self.step[(to << 32) + w])
         self.link[to] = copy
-        while at != -1 and self.next[at].get(word) == to:
-            self.next[at][word] = copy
+        while at != -1 and self.step.get((at << 32) + word) == to:
+            self.step[(at << 32) + word] = copy
             at = self.link[at]
         return copy
 
     def add(self, text: list[str], item: int) -> None:
         last = 0
         for word in text:
-            if word in self.next[last]:
-                last = self._split(last, word)
+            w = self.ids.setdefault(word, len(self.ids))
+            if (last << 32) + w in self.step:
+                last = self._split(last, w)
             else:
-                new = self._state(self.length[last] + 1, {}, 0)
+                new = self._state(self.length[last] + 1, 0)
                 at = last
-                while at != -1 and word not in self.next[at]:
-                    self.next[at][word] = new
+                while at != -1 and (at << 32) + w not in self.step:
+                    self._go(at, w, new)
                     at = self.link[at]
                 if at != -1:
-                    self.link[new] = self._split(at, word)
+                    self.link[new] = self._split(at, w)
                 last = new
-            self.own[last].add(item)
+            if self.length[last] >= self.min_words:
+                self.own.setdefault(last, set()).add(item)
 
     def finish(self) -> Automaton:
         """Gives each state all items that hold its runs, as far as these are long enough."""
-        order = sorted(range(1, len(self.length)), key=self.length.__getitem__)
-        for s in reversed(order):
-            if self.length[self.link[s]] >= self.min_words:
-                self.own[self.link[s]] |= self.own[s]
-        self.vocabulary = {w for steps in self.next for w in steps}
+        del self._out
+        for s in sorted(self.own, key=self.length.__getitem__, reverse=True):
+            self._hand_up(s)
         return self
 
+    def _hand_up(self, s: int) -> None:
+        up, items = self.link[s], self.own[s]
+        while up > 0 and self.length[up] >= self.min_words:
+            held = self.own.setdefault(up, set())
+            if items <= held:
+                break
+            held |= items
+            up = self.link[up]
+
     def matches(self, text: list[str]) -> Iterator[tuple[int, int, int]]:
         """(end, length, item) at each word, for each item of which a long enough run ends there; its longest such run."""
-        known = np.fromiter((w in self.vocabulary for w in text), bool, len(text))
-        edge = np.flatnonzero(np.diff(np.r_[False, known, False]))
+        code = np.fromiter((self.ids.get(w, -1) for w in text), np.int64, len(text))
+        edge = np.flatnonzero(np.diff(np.r_[False, code >= 0, False]))
         for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
             if b - a < self.min_words:
                 continue
             state = length = 0
-            for i in range(a, b):
-                w = text[i]
-                while state and w not in self.next[state]:
+            for i, w in enumerate(code[a:b].tolist(), a):
+                while state and (state << 32) + w not in self.step:
                     state = self.link[state]
                     length = self.length[state]
-                to = self.next[state].get(w)
+                to = self.step.get((state << 32) + w)
                 if to is not None:
                     state, length = to, length + 1
                     at, n, told = state, length, set()
                     while n >= self.min_words:
-                        for item in self.own[at] - told:
+                        own = self.own.get(at, told)
+                        for item in own - told:
                             yield i, n, item
-                        told |= self.own[at]
+                        told |= own
                         at = self.link[at]
                         n = self.length[at]
 
@@ -132,31 +155,34 @@ def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key:
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_key).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null and text != ''")
     out: DataFrame | None = None
-    for made in automata(items, item_key, text, min_words, block_words):
+    blocks = automata(items, item_key, text, min_words, block_words)
+    while made := list(islice(blocks, PASS)):
         held = spark.sparkContext.broadcast(made)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            sam = held.value
             for batch in batches:
                 ids, item, longest, spans = [], [], [], []
                 for doc, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    found = WORD.findall(value.lower())
+                    found = words(value)
                     best: dict[int, int] = {}
                     ends: dict[int, list[list[int]]] = {}
-                    for end, length, i in sam.matches(found):
-                        best[i] = max(best.get(i, 0), length)
-                        at, start = ends.setdefault(i, []), end - length + 1
-                        if at and at[-1][1] >= start:
-                            at[-1] = [min(at[-1][0], start), end + 1]
-                        else:
-                            at.append([start, end + 1])
+                    for sam in held.value:
+                        for end, length, i in sam.matches(found):
+                            best[i] = max(best.get(i, 0), length)
+                            at, start = ends.setdefault(i, []), end - length + 1
+                            if at and at[-1][0] <= start <= at[-1][1]:
+                                at[-1][1] = max(at[-1][1], end + 1)
+                            elif at and start <= at[-1][0] <= end + 1:
+                                at[-1] = [start, max(at[-1][1], end + 1)]
+                            else:
+                                at.append([start, end + 1])
                     if best:
                         places = [m.span() for m in WORD.finditer(value)]
                         for i in best:
                             ids.append(doc)
                             item.append(i)
                             longest.append(best[i])
-                            spans.append([[places[a][0], places[b - 1][1]] for a, b in ends[i]] if len(places) == len(found) else [])
+                            spans.append([[places[a][0], places[b - 1][1]] for a, b in ends[i]])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, pa.int64()), pa.array(item, pa.int64()), pa.array(longest, pa.int32()), pa.array(spans, pa.list_(pa.list_(pa.int32())))],
                     names=["doc_id", "item_id", "longest", "spans"],

@@ -37,6 +37,16 @@ def test_spans_are_cut_out(spark):
     assert got[2]["text"] is None and got[3]["text"] == "clean" and got[4]["text"] is None
 
 
+def test_letters_that_lower_case_doubles(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve"
+    i = spark.createDataFrame([(1, item), (2, "İstanbul " + item)], "item_id LONG, text STRING")
+    d = spark.createDataFrame([(1, f"In İSTANBUL we read {item.upper()}, and then a good deal more was said about other things than that."), (2, f"İstanbul {item} İ and a few more words that stay here, so that most of the text is kept.")], "doc_id LONG, text STRING")
+    found = leaks.leaks(d, i)
+    assert {(r["doc_id"], r["item_id"], r["longest"]) for r in found.collect()} == {(1, 1, 12), (1, 2, 12), (2, 1, 12), (2, 2, 13)}
+    got = {r["doc_id"]: r["text"] for r in leaks.without_leaks(d, found).collect()}
+    assert got == {1: "In İSTANBUL we read , and then a good deal more was said about other things than that.", 2: " İ and a few more words that stay here, so that most of the text is kept."}
+
+
 def test_no_items(spark):
     d = spark.createDataFrame([(1, "text")], "doc_id LONG, text STRING")
     assert leaks.leaks(d, spark.createDataFrame([], "item_id LONG, text STRING")).count() == 0
