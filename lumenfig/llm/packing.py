@@ -138,6 +138,8 @@ def packed(sizes: DataFrame, packs: DataFrame, window: int = 20_000, total: int
     windows = max(1, -(-total // window))
     return (
         sizes.withColumn("window", F.pmod(F.xxhash64("id"), F.lit(windows)).cast("int"))
+        # A window takes far longer than its few bytes tell, so windows are dealt out by number and not merged by size.
+        .repartition(windows, "window")
         .groupBy("window")
         .applyInPandas(_pack(capacities), "pack STRING, window INT, container INT, doc_id LONG, piece INT, tokens LONG")
     )
