@@ -40,8 +40,8 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five most similar other figures of every usable figure, however unlike they are; none is missed."""
-    return vantage.nearest(table(spark, sf_dir, "ragi_images"), "figure_key", least=None, factor=1.0)
+    """The five most similar other figures of every usable figure, in order, however unlike they are; none is missed."""
+    return vantage.nearest(table(spark, sf_dir, "ragi_images"), "figure_key", least=None, factor=1.0).select("key_a", "key_b", "place")
 
 
 def _repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,8 +129,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _WORDS = "regexp_extract_all(lower(coalesce({t}, '')), '[\\p{{L}}\\p{{N}}]+')"
 
+_SIMILAR = """
+        e AS (SELECT figure_key, min(embedding) AS v FROM ragi_images WHERE len(embedding) = 64 AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x)))
+            AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0 GROUP BY figure_key),
+        l AS (SELECT figure_key, v, sqrt(list_dot_product(v::DOUBLE[], v::DOUBLE[])) AS n FROM e),
+        d AS (SELECT figure_key, list_transform(v, lambda x: CAST(x::DOUBLE / n AS FLOAT))::DOUBLE[] AS v FROM l),
+        s AS (SELECT a.figure_key AS a, b.figure_key AS b, list_dot_product(a.v, b.v) AS c FROM d a JOIN d b ON a.figure_key <> b.figure_key),
+        t AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(c, 12) DESC, b) AS place FROM s QUALIFY place <= 5)"""
+
 #: SQL for those that are exact set or vector operations; it compares everything with everything and is meant for small data.
 SQL: dict[str, str] = {
+    "p2_neighbours": f"WITH {_SIMILAR} SELECT a AS key_a, b AS key_b, CAST(place AS INTEGER) AS place FROM t",
     "p1_near": f"""
         WITH t AS (SELECT rec_id, batch_no, {_WORDS.format(t="caption")} AS w FROM manifest WHERE caption IS NOT NULL),
         g AS (SELECT rec_id, batch_no, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT rec_id, batch_no, w, unnest(generate_series(1, len(w) - 4)) AS i FROM t WHERE len(w) >= 5)),

@@ -15,6 +15,9 @@ it together, a node's vectors against all queries that reach it, under the same
 Without a least cosine there is no radius to begin with. Every vector is then ranked within its own shard
 first, and the distance of its k-th best there is its radius in the others, which are compared whole.
 
+The number of shards grows with the rows, up to one for each ``BORDER_ROWS`` of the sample (beyond about
+130 million vectors shards grow instead, and ``sample`` should). A shard that very many vectors visit answers them in several tasks.
+
 The sample fixes borders only; all rows are indexed. Rows with vectors that are null, of
 another length, all zero or not finite take no part; of rows with one key the first by value counts.
 """
@@ -33,8 +36,10 @@ from pyspark.sql import functions as F
 from lumenfig.operators.search import usable
 from lumenfig.workdir import Workdir
 
-#: Vectors per shard, on average; vectors in a leaf of a shard's tree.
-SHARD_ROWS, LEAF_ROWS = 4096, 256
+#: Vectors per shard, on average, up to so many shards, and how many times as many beyond; vectors in a leaf of a shard's tree.
+SHARD_ROWS, FEW_SHARDS, LARGER, LEAF_ROWS = 4096, 64, 16, 256
+#: Queries of a shard that one task answers, on average; sampled vectors that a shard's border is drawn from, at least.
+SHARD_QUERIES, BORDER_ROWS = 131_072, 16
 #: Without a least cosine, when a query visits most shards: vectors per shard, and queries that a task holds, on average.
 WIDE_ROWS, WIDE_QUERIES = 16384, 65536
 #: There, the k best are chosen by exact cosines among so many times k by cosines of single precision.
@@ -43,6 +48,9 @@ SPARE = 4
 BLOCK_CELLS = 4_000_000
 
 
+ROUTED = "shard INT, chunk INT, query BOOLEAN, ids BINARY, vecs BINARY"
+
+
 class Tree:
     """A binary tree of vantage points in arrays: node i has the children 2i + 1 and 2i + 2."""
 
@@ -101,8 +109,8 @@ def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(x))], names=["key", "vec"])
 
 
-def _routed(tree: Tree, slack: float, dim: int):
-    """(shard, query, id, vec) of every vector: its own shard as a member, others as a query."""
+def _routed(tree: Tree, slack: float, dim: int, chunks: int = 1):
+    """(shard, chunk, query, ids, vecs) of every vector: its own shard as a member, in all chunks, and others as a query in one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,29 +124,38 @@ def _routed(tree: Tree, slack: float, dim: int):
             row = np.concatenate([np.arange(len(ids)), row[away]])
             leaf = np.concatenate([own, leaf[away]])
             query = np.arange(len(row)) >= len(ids)
-            order = np.lexsort((query, leaf))
+            chunk = ((ids[row].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(chunks)
+            order = np.lexsort((chunk, query, leaf))
             cuts = np.searchsorted(leaf[order], np.arange((1 << tree.depth) + 1))
-            out: list[tuple[int, bytes, bytes, bytes]] = []
-            for n in range(1 << tree.depth):
+            out: list[tuple[int, int, bool, bytes, bytes]] = []
+            for n in np.flatnonzero(np.diff(cuts)).tolist():
                 at = order[cuts[n] : cuts[n + 1]]
-                if len(at):
-                    out.append((n, query[at].tobytes(), ids[row[at]].tobytes(), vecs[row[at]].tobytes()))
-            cols = list(zip(*out)) or [(), (), (), ()]
+                asked = at[query[at]]
+                for c in range(chunks):
+                    # A vector asks in its own shard too, in the chunk that it falls into.
+                    for kind, here in ((False, at[~query[at]]), (True, np.concatenate([asked[chunk[asked] == c], at[~query[at] & (chunk[at] == c)]]) if chunks > 1 else asked)):
+                        if len(here):
+                            out.append((n, c, kind, ids[row[here]].tobytes(), vecs[row[here]].tobytes()))
+            cols = list(zip(*out)) or [()] * 5
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["shard", "query", "ids", "vecs"]
+                [pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary()))], names=["shard", "chunk", "query", "ids", "vecs"]
             )
 
     return run
 
 
-def _searched(k: int, least: float, factor: float, dim: int):
+def _searched(k: int, least: float, factor: float, dim: int, chunks: int):
     radius = math.sqrt(max(0.0, 2 - 2 * least))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        query = np.concatenate([np.frombuffer(x, bool) for x in pdf["query"]])
-        ids = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["ids"]])
-        vecs = np.concatenate([np.frombuffer(x, np.float32).reshape(-1, dim) for x in pdf["vecs"]])
-        held, member = vecs[~query], ids[~query]
+        def of(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+            return np.frombuffer(b"".join(rows["ids"]), np.int64), np.frombuffer(b"".join(rows["vecs"]), np.float32).reshape(-1, dim)
+
+        member, held = of(pdf[~pdf["query"]])
+        ids, vecs = of(pdf[pdf["query"]])
+        if chunks == 1:
+            # Members ask as well; with several chunks they have been sent as queries of one.
+            ids, vecs = np.concatenate([ids, member]), np.concatenate([vecs, held])
         depth = max(0, math.ceil(math.log2(max(1, len(held)) / LEAF_ROWS)))
         tree = Tree.fit(held, depth) if len(held) else None
         empty = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "cos": np.zeros(0)})
@@ -262,7 +279,7 @@ def _reached(k: int, dim: int):
 
 def _without_least(work: Workdir, rows: DataFrame, tree: Tree, dim: int, k: int, factor: float, total: int) -> DataFrame:
     """(a, b, cos) with the k nearest of every vector among them, however far they are."""
-    homes = rows.select("id", "vec").mapInArrow(_routed(tree, 0, dim), "shard INT, query BINARY, ids BINARY, vecs BINARY")
+    homes = rows.select("id", "vec").mapInArrow(_routed(tree, 0, dim), ROUTED)
     own = homes.groupBy("shard").applyInPandas(_ranked(k, dim), "ids BINARY, vecs BINARY, bounds BINARY, a BINARY, b BINARY, cos BINARY, shard INT")
     own = work.keep(own, "own")
     sent = own.select("shard", "ids", "vecs", "bounds").mapInArrow(_sent(tree, factor, dim, -(-total // WIDE_QUERIES)), "shard INT, chunk INT, query BOOLEAN, ids BINARY, vecs BINARY, bounds BINARY")
@@ -270,10 +287,10 @@ def _without_least(work: Workdir, rows: DataFrame, tree: Tree, dim: int, k: int,
     return work.keep(away.unionByName(own.select("a", "b", "cos").mapInArrow(_unpacked, "a LONG, b LONG, cos DOUBLE")), "near")
 
 
-def nearest(df: DataFrame, key: str, vec: str = "embedding", dim: int = 64, k: int = 5, least: float | None = 0.9, factor: float = 7.0, sample: int = 8192) -> DataFrame:
+def nearest(df: DataFrame, key: str, vec: str = "embedding", dim: int = 64, k: int = 5, least: float | None = 0.9, factor: float = 7.0, sample: int = 32_768) -> DataFrame:
     """(key_a, key_b, cos, place): of every row its k most similar others, with a cosine of at least ``least`` unless it is None.
 
-    Ties of cosine go to the smaller key. With factor 1 the result is exact but for ties among more than k vectors.
+    Cosines are those of the unit vectors in single precision; their ties go to the smaller key. With factor 1 the result is exact but for ties among more than k vectors.
     Each shard gives a query at most k rows, so what is shuffled after the search is bounded
     by k rows per visit. Rows with equal vectors are searched as one.
     """
@@ -287,15 +304,20 @@ def nearest(df: DataFrame, key: str, vec: str = "embedding", dim: int = 64, k: i
     total = rows.count()
     if not total:
         return spark.createDataFrame([], "key_a STRING, key_b STRING, cos DOUBLE, place INT")
-    drawn = rows.orderBy(F.xxhash64("vec")).limit(sample).select("vec").toPandas()["vec"]
-    depth = max(0, math.ceil(math.log2(max(1, total / (WIDE_ROWS if least is None else SHARD_ROWS)))))
-    tree = Tree.fit(np.stack(drawn.to_numpy()).astype(np.float32), depth)
+    # About four times the sample passes the first test, so no task hands more than its share of that to the driver.
+    few = rows.where(F.pmod(F.xxhash64("vec"), F.lit(1 << 30)) <= int((1 << 30) * min(1.0, 4 * sample / total)))
+    drawn = np.stack(few.orderBy(F.xxhash64("vec")).limit(sample).select("vec").toPandas()["vec"].to_numpy()).astype(np.float32)
+    shards = total / WIDE_ROWS if least is None else max(min(FEW_SHARDS, total / SHARD_ROWS), total / (LARGER * SHARD_ROWS))
+    depth = max(0, math.ceil(math.log2(max(1, min(shards, max(1, sample // BORDER_ROWS))))))
+    tree = Tree.fit(drawn, depth)
     if least is None:
         pairs = _without_least(work, rows, tree, dim, k, factor, total)
     else:
         slack = math.sqrt(max(0.0, 2 - 2 * least)) / factor
-        visits = rows.select("id", "vec").mapInArrow(_routed(tree, slack, dim), "shard INT, query BINARY, ids BINARY, vecs BINARY")
-        near = visits.groupBy("shard").applyInPandas(_searched(k, least, factor, dim), "a LONG, b LONG, cos DOUBLE")
+        asked = total / len(drawn) * len(tree.routes(drawn, slack)[0]) / (1 << depth)
+        chunks = max(1, math.ceil(asked / SHARD_QUERIES))
+        visits = rows.select("id", "vec").mapInArrow(_routed(tree, slack, dim, chunks), ROUTED)
+        near = visits.groupBy("shard", "chunk").applyInPandas(_searched(k, least, factor, dim, chunks), "a LONG, b LONG, cos DOUBLE")
         near = work.keep(near, "near")
         both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "cos")).groupBy("a", "b").agg(F.max("cos").alias("cos"))
         left = rows.select(F.col("id").alias("a"), F.col("vec").alias("va"))
