@@ -6,6 +6,8 @@ import hashlib
 
 import numpy as np
 
+from lumenfig.operators.images import thinned
+
 
 class HashEmbedder:
     """Unit vectors from hashed words; the same text gives the same vector."""
@@ -53,6 +55,9 @@ class RawGrey:
     def pack(self, grey: np.ndarray) -> bytes:
         return np.array(grey.shape, np.uint16).tobytes() + np.ascontiguousarray(grey, np.uint8).tobytes()
 
+    def fit(self, content: bytes, widest: int) -> bytes:
+        return self.pack(thinned(self.grey(content), widest))
+
     def crop(self, content: bytes, box: tuple[int, int, int, int]) -> bytes:
         x0, y0, x1, y1 = box
         return self.pack(self.grey(content)[y0:y1, x0:x1])

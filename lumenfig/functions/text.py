@@ -96,14 +96,18 @@ def anchor_words(caption: Column) -> Column:
 
 def anchor_terms(caption: Column, k: int = 10) -> Column:
     """The k most frequent anchor words, longer ones first among equals, then first come; as an array of distinct words."""
-    words = anchor_words(caption)
-    ranked = F.transform(
-        F.array_distinct(words),
-        lambda w: F.struct(
-            (F.size(F.array_remove(words, w)) - F.size(words)).alias("n"), (-F.length(w)).alias("l"), F.array_position(words, w).alias("p"), w.alias("w")
-        ),
-    )
-    return F.transform(F.slice(F.array_sort(ranked), 1, k), lambda r: r["w"])
+
+    def top(words: Column) -> Column:
+        ranked = F.transform(
+            F.array_distinct(words),
+            lambda w: F.struct(
+                (F.size(F.array_remove(words, w)) - F.size(words)).alias("n"), (-F.length(w)).alias("l"), F.array_position(words, w).alias("p"), w.alias("w")
+            ),
+        )
+        return F.transform(F.slice(F.array_sort(ranked), 1, k), lambda r: r["w"])
+
+    # The words are bound by a lambda, so that they are found once a row and not once for each of them.
+    return F.transform(F.array(anchor_words(caption)), top)[0]
 
 
 def has_anchor(question: Column, anchors: Column) -> Column:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import pandas as pd
@@ -23,6 +24,8 @@ from lumenfig.workdir import Workdir
 NO_CAPTION = ("What main idea does the figure present?", "What overall structure or pattern is shown in the figure?")
 #: Answers of a service after which it is asked again, and how often.
 RETRY_ON, RETRIES, PAUSE = {403, 429, *range(500, 600)}, 6, 2.5
+#: Answers that mean that a request's form isn't understood.
+MALFORMED = {400, 422}
 
 
 class ServiceError(Exception):
@@ -54,6 +57,37 @@ class Patient:
         raise AssertionError("unreachable")
 
 
+class TwoForms:
+    """A model with two forms of one request: what the first refuses as malformed is sent in the second."""
+
+    def __init__(self, first: Model, second: Model) -> None:
+        self.first, self.second = first, second
+
+    def complete(self, prompt: str, image: bytes | None) -> str:
+        try:
+            return self.first.complete(prompt, image)
+        except ServiceError as e:
+            if e.status not in MALFORMED:
+                raise
+            return self.second.complete(prompt, image)
+
+
+class InTime:
+    """A model whose answer is waited for so many seconds; a later one is an error. The call itself goes on in its thread until it ends."""
+
+    def __init__(self, model: Model, seconds: float) -> None:
+        self.model, self.seconds = model, seconds
+
+    def complete(self, prompt: str, image: bytes | None) -> str:
+        pool = ThreadPoolExecutor(1)
+        try:
+            return pool.submit(self.model.complete, prompt, image).result(self.seconds)
+        except TimeoutError:
+            raise TimeoutError(f"no answer in {self.seconds} seconds") from None
+        finally:
+            pool.shutdown(wait=False)
+
+
 class Cascade:
     """Vision models in turn, where there is an image, then a text model; an error or an empty answer goes on to the next.
 
@@ -115,7 +149,7 @@ def attempts(rows: DataFrame, model: Model, first: Column, again: Callable[[Colu
         rows = work.keep(rows.withColumn("_made", _ask(model, F.when(F.col("_open"), F.col("_prompt")), image, spacing)), f"asked{turn}")
         rows = work.keep(rows.withColumn("_now", F.when(F.col("_open"), T.model_output(F.col("_made.value")))), f"read{turn}")
         work.drop(f"asked{turn}")
-        rows = rows.withColumn("_fail", F.when(F.col("_open"), check(F.col("_now"))))
+        rows = rows.withColumn("_fail", F.when(F.col("_open") & F.col("_made.error").isNull(), check(F.col("_now"))))
         passed = F.col("_open") & F.col("_made.error").isNull() & F.col("_fail").isNull()
         rows = (
             rows.withColumn("answer", F.when(passed, F.col("_now")).otherwise(F.col("answer")))
@@ -158,23 +192,30 @@ def _kept(policy: str) -> Column:
     return F.coalesce("answer", "last" if policy == "last" else F.lit(None).cast("string"), F.lit(""))
 
 
-def describe_captions(rows: DataFrame, model: Model, tries: int = 3, policy: str = "last", spacing: float = 0.0) -> DataFrame:
-    """Rows with description2 made from the caption; empty where the caption is, the old value where the model failed."""
-    empty = T.strip(F.col("caption")) == ""
-    prompt = F.when(~empty, caption_prompt(F.col("caption")))
+def describe_captions(rows: DataFrame, model: Model, tries: int = 3, policy: str = "last", spacing: float = 0.0, force: bool = True) -> DataFrame:
+    """Rows with description2 made from the caption; empty where the caption is, the old value where the model failed.
+
+    Without ``force`` records that have a description keep it, and the model is not asked for them.
+    """
     old = F.col("description2") if "description2" in rows.columns else F.lit(None).cast("string")
+    rows = rows.withColumn("_old", old).withColumn("_need", needs(old, force))
+    empty, old = F.col("_need") & (T.strip(F.col("caption")) == ""), F.col("_old")
+    prompt = F.when(F.col("_need") & ~empty, caption_prompt(F.col("caption")))
     out = attempts(rows, model, prompt, repair_prompt(prompt), lambda t: V.caption_description_failure(t, F.col("caption")), None, tries, spacing)
-    return out.withColumn("description2", F.when(empty, "").when(F.col("error").isNotNull(), old).otherwise(_kept(policy))).drop("answer", "last")
+    made = F.when(~F.col("_need"), old).when(empty, "").when(F.col("error").isNotNull(), old).otherwise(_kept(policy))
+    return out.withColumn("description2", made).drop("answer", "last", "_old", "_need")
 
 
-def describe_images(rows: DataFrame, model: Model, tries: int = 3, policy: str = "last", spacing: float = 0.0) -> DataFrame:
-    """Rows (caption, image, panels, figure_type) with description3; answers that pass name their panels first."""
-    empty = T.strip(F.col("caption")) == ""
-    prompt = F.when(~empty, image_prompt(F.col("caption"), F.col("panels"), F.col("figure_type")))
+def describe_images(rows: DataFrame, model: Model, tries: int = 3, policy: str = "last", spacing: float = 0.0, force: bool = True) -> DataFrame:
+    """Rows (caption, image, panels, figure_type) with description3; answers that pass name their panels first. force as in describe_captions."""
     old = F.col("description3") if "description3" in rows.columns else F.lit(None).cast("string")
+    rows = rows.withColumn("_old", old).withColumn("_need", needs(old, force))
+    empty, old = F.col("_need") & (T.strip(F.col("caption")) == ""), F.col("_old")
+    prompt = F.when(F.col("_need") & ~empty, image_prompt(F.col("caption"), F.col("panels"), F.col("figure_type")))
     out = attempts(rows, model, prompt, repair_prompt(prompt), lambda t: V.image_description_failure(t, F.col("panels")), F.col("image"), tries, spacing)
     out = out.withColumn("answer", T.with_panel_prefix(F.col("answer"), F.col("panels")))
-    return out.withColumn("description3", F.when(empty, "").when(F.col("error").isNotNull(), old).otherwise(_kept(policy))).drop("answer", "last")
+    made = F.when(~F.col("_need"), old).when(empty, "").when(F.col("error").isNotNull(), old).otherwise(_kept(policy))
+    return out.withColumn("description3", made).drop("answer", "last", "_old", "_need")
 
 
 def ask_questions(rows: DataFrame, model: Model, tries: int = 3, spacing: float = 0.0) -> DataFrame:

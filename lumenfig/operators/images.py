@@ -17,6 +17,11 @@ WHITE, STRIP, STEP, GAP, SEED_GAP, DARK = 245, 10, 4, 200, 260, 0.002
 UP, LEFT, RIGHT, SEED_UP = 1200, 1000, 1000, 1500
 
 
+#: Fixed value: pixels across an image that is sent to a model.
+PAYLOAD = 1024
+EDGES = ["x0", "y0", "x1", "y1", "top", "left", "right"]
+
+
 class ImageCodec(Protocol):
     """Reads an image's bytes as grey values and writes a cut of it; real formats stay behind it."""
 
@@ -24,6 +29,8 @@ class ImageCodec(Protocol):
 
     def crop(self, content: bytes, box: tuple[int, int, int, int]) -> bytes: ...
 
+    def fit(self, content: bytes, widest: int) -> bytes: ...
+
 
 def prefix_sums(grey: np.ndarray, white: int = WHITE) -> np.ndarray:
     """Sums of dark pixels over all rectangles from the corner, with a border of zeros."""
@@ -75,17 +82,52 @@ def grown(sums: np.ndarray, box, top: int = 0, left: int = 0, right: int | None
 
 
 def expand_by_content(figures: DataFrame, pages: DataFrame, codec: ImageCodec, seeded: bool = False) -> DataFrame:
-    """Figures (doc_id, page, ord, box, top, left, right) grown over the content of their page (doc_id, page, png)."""
+    """Figures (doc_id, page, ord, box, top, left, right) grown over the content of their page (doc_id, page, png).
+
+    The boxes go to the pages, as one array a page: while these arrays are small enough to be broadcast, rasters stay where they are read. Figures of
+    pages without a raster stay as they are; of several rasters of a page the first counts.
+    """
     up, allow = (SEED_UP, SEED_GAP) if seeded else (UP, GAP)
+    held = figures.groupBy("doc_id", "page").agg(F.collect_list(F.struct("ord", *[F.col(c).cast("double").alias(c) for c in EDGES])).alias("boxes"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for doc, page, boxes, png in zip(f["doc_id"], f["page"], f["boxes"], f["png"]):
+                sums = prefix_sums(codec.grey(png))
+                for r in boxes:
+                    out.append((doc, page, r["ord"], *map(float, grown(sums, [r[c] for c in EDGES[:4]], int(r["top"]), int(r["left"]), int(r["right"]), up, allow))))
+            yield pd.DataFrame(out, columns=["doc_id", "page", "ord", *[f"_{c}" for c in EDGES[:4]]])
+
+    kinds = {c: t for c, t in figures.dtypes}
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in ("doc_id", "page", "ord")), *(f"_{c} DOUBLE" for c in EDGES[:4])])
+    made = pages.select("doc_id", "page", "png").where("png is not null").join(held, ["doc_id", "page"]).mapInPandas(run, schema).dropDuplicates(["doc_id", "page", "ord"])
+    rows = figures.join(made, ["doc_id", "page", "ord"], "left")
+    return rows.select(*[F.coalesce(f"_{c}", F.col(c).cast("double")).alias(c) if c in EDGES[:4] else F.col(c) for c in figures.columns])
+
 
-    def run(fig: pd.DataFrame, page: pd.DataFrame) -> pd.DataFrame:
-        if len(fig) and len(page):
-            sums = prefix_sums(codec.grey(page["png"].iloc[0]))
-            boxes = [grown(sums, r[:4], int(r[4]), int(r[5]), int(r[6]), up, allow) for r in fig[["x0", "y0", "x1", "y1", "top", "left", "right"]].to_numpy(float)]
-            fig = fig.assign(**{c: np.array(boxes, float)[:, i] for i, c in enumerate(("x0", "y0", "x1", "y1"))})
-        return fig
+def thinned(grey: np.ndarray, widest: int = PAYLOAD) -> np.ndarray:
+    """An image no wider than ``widest``, by leaving out rows and columns evenly."""
+    if grey.shape[1] <= widest:
+        return grey
+    rows = np.linspace(0, grey.shape[0] - 1, max(1, int(grey.shape[0] * widest / grey.shape[1]))).astype(int)
+    return grey[rows][:, np.linspace(0, grey.shape[1] - 1, widest).astype(int)]
 
-    return figures.groupBy("doc_id", "page").cogroup(pages.groupBy("doc_id", "page")).applyInPandas(run, figures.schema)
+
+def payloads(content: Column, codec: ImageCodec, widest: int = PAYLOAD) -> Column:
+    """An image's bytes as they are sent to a model: no wider than ``widest``. The codec's ``fit`` makes them; null where it can't read the image."""
+
+    @pandas_udf("binary")
+    def run(data: pd.Series) -> pd.Series:
+        def one(x) -> bytes | None:
+            try:
+                return codec.fit(x, widest)
+            except Exception:
+                return None
+
+        return data.map(one, na_action="ignore")
+
+    return run(content)
 
 
 def count_gaps(profile: np.ndarray, white: float = 0.995) -> int:
@@ -98,9 +140,7 @@ def count_gaps(profile: np.ndarray, white: float = 0.995) -> int:
 
 def count_panels(grey: np.ndarray, widest: int = 800) -> int:
     """1 to 4 panels by the white gaps between columns and between rows; wide images are thinned first."""
-    if grey.shape[1] > widest:
-        rows = np.linspace(0, grey.shape[0] - 1, max(1, int(grey.shape[0] * widest / grey.shape[1]))).astype(int)
-        grey = grey[rows][:, np.linspace(0, grey.shape[1] - 1, widest).astype(int)]
+    grey = thinned(grey, widest)
     step = 2 if grey.shape[1] > 500 else 1
     white = grey >= WHITE
     columns, rows = white.mean(0)[::step], white.mean(1)[::step]
@@ -124,7 +164,7 @@ def panels(content: Column, codec: ImageCodec) -> Column:
 
 
 def crops(figures: DataFrame, codec: ImageCodec) -> DataFrame:
-    """Figures with the page's bytes (png) replaced by their own crop."""
+    """Figures with the page's bytes (png) replaced by their own crop, in the task that holds the page."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

@@ -105,44 +105,40 @@ def seeds_for_unmatched(captions: DataFrame, matched: DataFrame) -> DataFrame:
     )
 
 
-def _limits(pair: DataFrame, near: Column, other: Box, f: Box, hov: Column, vov: Column, least: float, margin: float, top: float = 120, side: float = 8) -> DataFrame:
-    """Per figure the greatest top and left and the least right edge that one kind of object sets."""
-    hit_top = F.when(near & (other.y1 <= f.y0 + top) & (hov >= least), other.y1 + margin)
-    hit_left = F.when(near & (other.x1 <= f.x0 + side) & (vov >= least), other.x1 + margin)
-    hit_right = F.when(near & (other.x0 >= f.x1 - side) & (vov >= least), other.x0 - margin)
-    return pair.groupBy(*PAGE, "ord").agg(F.max(hit_top).alias("top"), F.max(hit_left).alias("left"), F.min(hit_right).alias("right"))
-
-
 def barriers(figures: DataFrame, captions: DataFrame, boxes: DataFrame, blocks: DataFrame, page_width: float, seeded: bool = False) -> DataFrame:
     """(doc_id, page, ord, top, left, right): how far each figure may grow.
 
     figures: ord, coordinates, and own caption as cap_x0 .. cap_y1 (null: none). blocks need text, cls and in_visual.
     Objects set limits by kind: other captions (margin 5), other figures (5), tables and their captions (12), and, unless the figure
-    is a seed, large or title text (12). Without any, the page's edges hold.
+    is a seed, large or title text (12). Without any, the page's edges hold. All objects of a page go along as one table, so
+    figures meet them in one join.
     """
-    f, own = Box.of(), Box.of("cap_")
+    f, own, o = Box.of(), Box.of("cap_"), Box.of("o_")
     fw, fh = at_least_one(f.w), at_least_one(f.h)
-    base = figures.select(*PAGE, "ord", "x0", "y0", "x1", "y1", *[f"cap_{c}" for c in ("x0", "y0", "x1", "y1")])
-    o = Box.of("o_")
-    hov = across(f, o) / fw
-    not_own = F.coalesce(iou(o, own) <= 0.3, F.lit(True))
-    caps = base.join(_as(captions, "o_", []), PAGE)
-    parts = [_limits(caps, not_own, o, f, hov, upright(f, o) / fh, 0.1, 5)]
-    objects = base.join(_as(boxes, "o_", ["cls"]), PAGE)
-    parts.append(_limits(objects, (F.col("o_cls") == FIGURE) & (iou(o, f) <= 0.3), o, f, hov, v_overlap(f, o), 0.1, 5))
-    parts.append(_limits(objects, F.col("o_cls").isin([*TABLES, *CAPTIONS]) & not_own, o, f, hov, v_overlap(f, o), 0.2, 12))
+
+    def told(rows: DataFrame, kind: Column, words: Column, title: Column) -> DataFrame:
+        return rows.select(*PAGE, kind.alias("o_kind"), words.alias("o_words"), title.alias("o_title"), *[F.col(c).cast("double").alias(f"o_{c}") for c in ("x0", "y0", "x1", "y1")])
+
+    no, none = F.lit(False), F.lit(0)
+    of_box = F.when(F.col("cls") == FIGURE, "figure").when(F.col("cls").isin([*TABLES, *CAPTIONS]), "table")
+    objects = told(captions, F.lit("caption"), none, no).unionByName(told(boxes, of_box, none, no).where("o_kind is not null"))
     if not seeded:
-        words = base.join(_as(blocks, "o_", ["cls", "text", "in_visual"]), PAGE)
-        large = (o.w / fw >= 0.45) | (T.word_count(F.col("o_text")) >= 45) | (F.col("o_cls") == TITLE)
-        parts.append(_limits(words, (o.h >= 10) & ~F.col("o_in_visual") & large, o, f, hov, v_overlap(f, o), 0.2, 12, 40, 20))
-    all_ = parts[0]
-    for p in parts[1:]:
-        all_ = all_.unionByName(p)
-    got = all_.groupBy(*PAGE, "ord").agg(F.max("top").alias("top"), F.max("left").alias("left"), F.min("right").alias("right"))
-    return base.select(*PAGE, "ord").join(got, [*PAGE, "ord"], "left").select(
-        *PAGE, "ord", F.greatest(F.lit(0.0), F.coalesce("top", F.lit(0.0))).alias("top"), F.greatest(F.lit(0.0), F.coalesce("left", F.lit(0.0))).alias("left"),
-        F.least(F.lit(float(page_width)), F.coalesce("right", F.lit(float(page_width)))).alias("right"),
-    )
+        objects = objects.unionByName(told(blocks.where(~F.col("in_visual")), F.lit("text"), T.word_count(F.col("text")), F.col("cls") == TITLE))
+    kind = F.col("o_kind")
+    not_own = F.coalesce(iou(o, own) <= 0.3, F.lit(True))
+    large = (o.w / fw >= 0.45) | (F.col("o_words") >= 45) | F.col("o_title")
+    near = F.when(kind == "figure", iou(o, f) <= 0.3).when(kind == "text", (o.h >= 10) & large).otherwise(not_own)
+    least, margin = F.when(kind.isin("caption", "figure"), 0.1).otherwise(0.2), F.when(kind.isin("caption", "figure"), 5).otherwise(12)
+    above, beside = F.when(kind == "text", 40).otherwise(120), F.when(kind == "text", 20).otherwise(8)
+    hov, vov = across(f, o) / fw, F.when(kind == "caption", upright(f, o) / fh).otherwise(v_overlap(f, o))
+    met = figures.select(*PAGE, "ord", "x0", "y0", "x1", "y1", *[f"cap_{c}" for c in ("x0", "y0", "x1", "y1")]).join(objects, PAGE, "left")
+    got = met.groupBy(*PAGE, "ord").agg(
+        F.max(F.when(near & (o.y1 <= f.y0 + above) & (hov >= least), o.y1 + margin)).alias("top"),
+        F.max(F.when(near & (o.x1 <= f.x0 + beside) & (vov >= least), o.x1 + margin)).alias("left"),
+        F.min(F.when(near & (o.x0 >= f.x1 - beside) & (vov >= least), o.x0 - margin)).alias("right"),
+    )
+    width = F.lit(float(page_width))
+    return got.select(*PAGE, "ord", *[F.greatest(F.lit(0.0), F.coalesce(c, F.lit(0.0))).alias(c) for c in ("top", "left")], F.least(width, F.coalesce("right", width)).alias("right"))
 
 
 def extended_bottom(figures: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -207,11 +203,13 @@ def numbered(rows: DataFrame) -> DataFrame:
 def clipped_top(figures: DataFrame, tables: DataFrame, pad: int = 2) -> DataFrame:
     """(doc_id, page, ord, y0): the upper edge below tables that end near the figure's first top.
 
-    figures: ord, coordinates and y0_base. A table counts if it ends at most 12 pixels below that top, shares 0.22 of the figure's width,
-    and reaches into the figure.
+    figures: ord, coordinates and y0_base; tables: ord and coordinates. A table counts if it ends at most 12 pixels below that top and shares 0.22
+    of the figure's width. Tables are taken in order, and each moves the edge if it reaches across the edge as the ones before left it.
     """
-    f, t = Box.of(), Box.of("t_")
-    pair = figures.select(*PAGE, "ord", "x0", "y0", "x1", "y1", "y0_base").join(_as(tables, "t_", []), PAGE)
-    ok = (t.y1 <= F.col("y0_base") + 12) & (across(f, t) / at_least_one(f.w) >= 0.22) & (t.y1 > f.y0) & (t.y0 < f.y1)
-    low = pair.where(ok).groupBy(*PAGE, "ord").agg(F.max(F.floor("t_y1") + pad).alias("low"))
-    return figures.join(low, [*PAGE, "ord"], "left").select(*PAGE, "ord", F.greatest(F.col("y0").cast("double"), F.coalesce(F.col("low").cast("double"), F.col("y0").cast("double"))).alias("y0"))
+    f, t = Box(*[F.floor(F.col(c)) for c in ("x0", "y0", "x1", "y1")]), Box.of("t_")
+    pair = figures.select(*PAGE, "ord", "x0", "y0", "x1", "y1", "y0_base").join(_as(tables, "t_", ["ord"]), PAGE)
+    ok = (t.y1 <= F.col("y0_base") + 12) & (across(f, t) / at_least_one(f.w) >= 0.22) & (t.y0 < f.y1)
+    held = pair.where(ok).groupBy(*PAGE, "ord").agg(F.array_sort(F.collect_list(F.struct("t_ord", F.col("t_y1").cast("double").alias("y1")))).alias("tables"))
+    top = F.floor("y0").cast("double")
+    moved = F.aggregate(F.coalesce("tables", F.array().cast("array<struct<t_ord:int,y1:double>>")), top, lambda y, b: F.when(b["y1"] > y, F.greatest(y, F.floor(b["y1"]).cast("double") + pad)).otherwise(y))
+    return figures.join(held, [*PAGE, "ord"], "left").select(*PAGE, "ord", moved.alias("y0"))

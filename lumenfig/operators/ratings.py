@@ -21,6 +21,19 @@ def append(spark: SparkSession, path: str, query: str, image_path: str, score: i
     return spark.read.schema(RATING_SCHEMA).parquet(path).count()
 
 
+def compact(spark: SparkSession, path: str, files: int = 1) -> int:
+    """Rewrites the votes as a few files, beside the many and then in their place; gives how many there are. Nobody may vote meanwhile."""
+    jvm = spark.sparkContext._jvm
+    of = jvm.org.apache.hadoop.fs.Path
+    fs = of(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    spark.read.schema(RATING_SCHEMA).parquet(path).coalesce(files).write.mode("overwrite").parquet(f"{path}.next")
+    fs.rename(of(path), of(f"{path}.old"))
+    fs.rename(of(f"{path}.next"), of(path))
+    fs.delete(of(f"{path}.old"), True)
+    spark.catalog.refreshByPath(path)
+    return spark.read.schema(RATING_SCHEMA).parquet(path).count()
+
+
 def export_rows(ratings: DataFrame) -> DataFrame:
     """Votes under the names of the export, missing values empty."""
 

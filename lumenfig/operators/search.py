@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lumenfig.functions.text import image_url, short_caption
 
@@ -48,18 +55,125 @@ def above(hits: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     return hits.where(F.col("score") >= min_score)
 
 
+#: Query values that go to every task at once (64 MB); more queries are searched in parts of about so many.
+QUERY_VALUES = 8_000_000
+
+
+def _best_of_task(ids: list, queries: np.ndarray, k: int, types: str):
+    """(query_key, hit_key, score): of each query its k best among the rows (key, vector) of one task."""
+    dim = queries.shape[1]
+    unit = queries / np.linalg.norm(queries, axis=1)[:, None]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list = [None]
+        scores, place = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = batch.column(0).to_pylist()
+            rows = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+            rows /= np.linalg.norm(rows, axis=1)[:, None]
+            # Rows come in the order of their keys within a batch, so equal scores keep it.
+            order = np.array(sorted(range(len(own)), key=own.__getitem__))
+            rows, at = rows[order], order + len(keys)
+            keys += own
+            for i in range(0, len(ids), block := max(1, 4_000_000 // len(rows))):
+                here = (1 + unit[i : i + block] @ rows.T) / 2
+                few = min(2 * k, here.shape[1])
+                # All that reach the k-th best stay, so that ties are settled by key.
+                if here.shape[1] > few:
+                    edge = np.partition(here, here.shape[1] - k, axis=1)[:, here.shape[1] - k]
+                    q, m = np.nonzero(here >= edge[:, None])
+                else:
+                    q, m = (x.ravel() for x in np.indices(here.shape))
+                for j in range(len(here)):
+                    a, b = np.searchsorted(q, [j, j + 1])
+                    cand = np.r_[scores[i + j], here[j, m[a:b]]], np.r_[place[i + j], at[m[a:b]]]
+                    rank = sorted(range(len(cand[0])), key=lambda c: (-cand[0][c], cand[0][c] == -np.inf or keys[cand[1][c]]))[:k]
+                    scores[i + j], place[i + j] = cand[0][rank], cand[1][rank]
+            used, back = np.unique(place, return_inverse=True)
+            keys, place = [keys[x] for x in used.tolist()], back.reshape(place.shape)
+            if 0 not in used:
+                keys, place = [None, *keys], place + 1
+        q, c = np.nonzero(scores > -np.inf)
+        yield pa.RecordBatch.from_pylist([{"query_key": ids[x], "hit_key": keys[place[x, y]], "score": float(scores[x, y])} for x, y in zip(q.tolist(), c.tolist())], schema=pa.schema(types))
+
+    return run
+
+
 def knn_batch(index: DataFrame, queries: DataFrame, key: str, query_key: str, vec: str = "embedding", k: int = TOP_K) -> DataFrame:
-    """Top k per query for a bounded set of queries.
+    """(query_key, hit_key, score, rank): top k per query, ties by key.
 
-    Lengths are computed once a row, so a pair costs one inner product; the
-    window keeps k rows per query through a rank limit before the shuffle.
+    The queries are counted first. As long as their values are few they go to all tasks as one matrix, which a scan of the index meets
+    batch by batch; more are dealt into parts by hash, with a scan for each. A task keeps k rows a query. Unusable vectors, and
+    those of another length than the first query's, take no part.
     """
-    left = queries.select(F.col(query_key).alias("query_key"), F.col(vec).alias("qv"), norm(F.col(vec)).alias("qn"))
-    right = index.select(F.col(key).alias("hit_key"), F.col(vec).alias("hv"), norm(F.col(vec)).alias("hn")).where("hn > 0")
-    cosine = dot(F.col("qv"), F.col("hv")) / (F.col("qn") * F.col("hn"))
-    pairs = right.join(left.where("qn > 0").hint("shuffle_replicate_nl"), F.lit(True)).select("query_key", "hit_key", ((F.lit(1.0) + cosine) / 2).alias("score"))
+    spark = index.sparkSession
+    kinds = dict(index.dtypes)[key], dict(queries.dtypes)[query_key]
+    dims = queries.select(F.size(vec).alias("d")).where("d > 0").groupBy("d").count().orderBy(F.desc("count"), "d").first()
+    schema = f"query_key {kinds[1]}, hit_key {kinds[0]}, score DOUBLE"
+    if dims is None:
+        return spark.createDataFrame([], f"{schema}, rank INT")
+    dim, many = dims
+    asked = queries.where(usable(F.col(vec), dim)).select(F.col(query_key).alias("query_key"), F.col(vec).alias("vec"))
+    rows = index.where(usable(F.col(vec), dim)).select(key, vec)
+    types = [(f.name, to_arrow_type(f.dataType)) for f in spark.createDataFrame([], schema).schema]
+    out: DataFrame | None = None
+    for part in range(parts := max(1, -(-many * dim // QUERY_VALUES))):
+        here = (asked if parts == 1 else asked.where(F.pmod(F.xxhash64("query_key"), F.lit(parts)) == part)).toPandas()
+        if len(here):
+            found = rows.mapInArrow(_best_of_task(here["query_key"].tolist(), np.stack(here["vec"].to_numpy()).astype(np.float64), k, types), schema)
+            out = found if out is None else out.unionByName(found)
+    if out is None:
+        return spark.createDataFrame([], f"{schema}, rank INT")
     w = Window.partitionBy("query_key").orderBy(F.desc("score"), F.asc("hit_key"))
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def centres(vectors: np.ndarray, cells: int, rounds: int = 8) -> np.ndarray:
+    """Unit vectors around which a sample of vectors gathers."""
+    unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    made = unit[np.random.default_rng(7).permutation(len(unit))[:cells]]
+    for _ in range(rounds):
+        own = (unit @ made.T).argmax(1)
+        total = np.zeros_like(made)
+        np.add.at(total, own, unit)
+        size = np.linalg.norm(total, axis=1)
+        made = np.where((size > 0)[:, None], total / np.maximum(size, 1e-12)[:, None], made)
+    return made
+
+
+class Cells:
+    """An index laid out by cells, so that a search reads only those near its query: the approximate search beside the exact one.
+
+    The centres are fitted on a bounded sample; every usable row is laid out. ``probes`` of all cells makes the search exact.
+    """
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.rows = spark.read.parquet(f"{path}/rows")
+        held = spark.read.parquet(f"{path}/centres").orderBy("cell").collect()
+        self.centres = np.array([r["centre"] for r in held])
+
+    @classmethod
+    def build(cls, index: DataFrame, path: str, dim: int, vec: str = "embedding", cells: int = 64, sample: int = 16_384) -> Cells:
+        rows = index.where(usable(F.col(vec), dim))
+        total = rows.count()
+        few = rows.where(F.pmod(F.xxhash64(vec), F.lit(1 << 30)) <= int((1 << 30) * min(1.0, 2 * sample / max(1, total)))).select(vec).limit(sample).toPandas()[vec]
+        made = centres(np.stack(few.to_numpy()).astype(np.float64), min(cells, len(few))) if len(few) else np.zeros((0, dim))
+        spark = index.sparkSession
+
+        @pandas_udf("int")
+        def cell(vectors: pd.Series) -> pd.Series:
+            return pd.Series((np.stack(vectors.to_numpy()).astype(np.float64) @ made.T).argmax(1) if len(vectors) else [], dtype="int32")
+
+        rows.withColumn("cell", cell(F.col(vec))).repartition("cell").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/rows")
+        spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(made)], "cell INT, centre ARRAY<DOUBLE>").write.mode("overwrite").parquet(f"{path}/centres")
+        return cls(spark, path)
+
+    def knn(self, query_vec: list[float], key: str, vec: str = "embedding", k: int = TOP_K, probes: int = 8) -> DataFrame:
+        """As :func:`knn`, over the ``probes`` cells whose centres are nearest to the query; the others' files are not read."""
+        near = np.argsort(-(self.centres @ np.asarray(query_vec, float)), kind="stable")[:probes].tolist()
+        return knn(self.rows.where(F.col("cell").isin(near)).drop("cell"), query_vec, key, vec, k)
 
 
 def answer(index: DataFrame, embedder, query: str, url_prefix: str, k: int = TOP_K, min_score: float = MIN_SCORE) -> DataFrame:

@@ -59,7 +59,7 @@ def watermark_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drawings_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes of a middling size."""
-    return layout.drawings_kept(table(spark, sf_dir, "detection"), F.lit(900_000.0)).groupBy("cls").agg(F.count("*").alias("n"))
+    return layout.drawings_kept(table(spark, sf_dir, "detection"), F.lit(900_000.0)).select(*KEY, "ord", "cls")
 
 
 def _text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -268,7 +268,7 @@ SQL = {
         SELECT a.doc_id, a.page, a.ord, b.ord AS ord_b, round({B.inter("a", "b")}, 4) AS shared FROM d a JOIN d b ON a.doc_id = b.doc_id AND a.page = b.page AND a.ord < b.ord WHERE {B.inter("a", "b")} > 0""",
     "candidate_boxes": "SELECT doc_id, page, ord, cls, score FROM detection WHERE cls IN (3, 5) AND x1 > x0 + 10 AND y1 > y0 + 10",
     "watermark_edges": "SELECT doc_id, coalesce(max(CASE WHEN page = 1 AND x0 < 200 AND x1 - x0 < 125 THEN x1 + 15 END), 0) AS edge FROM detection GROUP BY doc_id",
-    "drawings_kept": "SELECT cls, count(*) AS n FROM detection WHERE (x1 - x0) * (y1 - y0) > 50 AND (x1 - x0) * (y1 - y0) < 0.95 * 900000 GROUP BY cls",
+    "drawings_kept": "SELECT doc_id, page, ord, cls FROM detection WHERE (x1 - x0) * (y1 - y0) > 50 AND (x1 - x0) * (y1 - y0) < 0.95 * 900000",
     "in_visual": f"WITH {B.SQL}, {_SEEN} SELECT doc_id, page, ord, in_visual FROM seen",
     "classify_blocks": f"WITH {B.SQL}, {_SEEN}, {_CLS} SELECT doc_id, page, ord, cls FROM texts",
     "caption_below": f"WITH {B.SQL}, {_CAPS}, {_MET} SELECT doc_id, page, ord, cap_ord, tier, gap FROM met",
@@ -313,9 +313,13 @@ SQL = {
         WITH {B.SQL}, {_CAPS}, n AS (SELECT doc_id, page, ord, row_number() OVER (PARTITION BY doc_id ORDER BY page, ord) AS id FROM figs)
         SELECT doc_id, page, ord, id, printf('p%04d_figure_%05d.png', page, CAST(id AS INTEGER)) AS name FROM n""",
     "clipped_tops": f"""
-        WITH {B.SQL}, f AS (SELECT *, y0 + 60 AS base FROM boxes WHERE cls = 3)
-        SELECT f.doc_id, f.page, f.ord, greatest(f.y0, coalesce((SELECT max(floor(t.y1) + 2) FROM boxes t WHERE t.cls IN (5, 6, 7) AND t.doc_id = f.doc_id AND t.page = f.page AND t.y1 <= f.base + 12
-            AND {B.across("f", "t")} / (f.x1 - f.x0) >= 0.22 AND t.y1 > f.y0 AND t.y0 < f.y1), f.y0)) AS y0 FROM f""",
+        WITH {B.SQL}, f AS (SELECT *, y0 + 60 AS base FROM boxes WHERE cls = 3),
+        near AS (
+            SELECT f.doc_id, f.page, f.ord, list(t.y1 ORDER BY t.ord) AS ends FROM f JOIN boxes t ON t.doc_id = f.doc_id AND t.page = f.page
+            WHERE t.cls IN (5, 6, 7) AND t.y1 <= f.base + 12 AND {B.across("f", "t")} / (f.x1 - f.x0) >= 0.22 AND t.y0 < f.y1 GROUP BY ALL
+        )
+        SELECT f.doc_id, f.page, f.ord, list_reduce(coalesce(n.ends, []::DOUBLE[]), lambda y, e: CASE WHEN e > y THEN greatest(y, floor(e) + 2) ELSE y END, f.y0) AS y0
+        FROM f LEFT JOIN near n ON n.doc_id = f.doc_id AND n.page = f.page AND n.ord = f.ord""",
     "dedup_greedy": _greedy(
         f"NOT coalesce(list_bool_or(list_transform(generate_series(i + 1, len(b)), lambda k: alive[k] AND {B.iou('b[i]', 'b[k]')} >= 0.8 AND b[k].score > b[i].score)), false)",
         f"j > i AND {B.iou('b[i]', 'b[j]')} >= 0.8 AND b[j].score <= b[i].score",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfig.fakes import HashEmbedder, Script
@@ -21,6 +21,11 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _manifest(spark, sf_dir).select("rec_id", "caption", F.posexplode("questions").alias("n", "q"))
 
 
+def _panels(column: str) -> Column:
+    """A number of panels from a number of the row, null where that is null."""
+    return F.pmod(F.col(column), F.lit(4)).cast("int")
+
+
 def text_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every passage, whether it is one sentence, and its clean length."""
     d = table(spark, sf_dir, "documents")
@@ -42,9 +47,9 @@ def description_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def image_description_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first check that each description made with the image fails, taking every record for two panels."""
+    """The first check that each description made with the image fails; records have zero to three panels by their page."""
     d = _manifest(spark, sf_dir)
-    return d.select("rec_id", V.image_description_failure(F.col("description3"), F.lit(2)).alias("reason"))
+    return d.select("rec_id", V.image_description_failure(F.col("description3"), _panels("page")).alias("reason"))
 
 
 def passage_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +57,7 @@ def passage_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
     return table(spark, sf_dir, "documents").select(
         "doc_id", V.looks_spanish(t).alias("spanish"), V.mentions_figures(t).alias("figures"), V.looks_generic(t).alias("generic"), V.stray_pipeline(t, F.col("source")).alias("pipeline"), V.too_long(t).alias("long"),
-        V.contradicts_panels(t, F.lit(2)).alias("single"),
+        V.contradicts_panels(t, _panels("doc_id")).alias("single"),
     )
 
 
@@ -68,8 +73,8 @@ def anchored_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bad_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether each question is rejected, taking every figure for one panel."""
-    return _asked(spark, sf_dir).select("rec_id", "n", V.bad_question(F.col("q"), F.col("caption"), F.lit(1)).alias("bad"))
+    """Whether each question is rejected; records have zero to three panels by their number."""
+    return _asked(spark, sf_dir).select("rec_id", "n", V.bad_question(F.col("q"), F.col("caption"), _panels("rec_id")).alias("bad"))
 
 
 def normalized_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,8 +99,8 @@ def question_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def caption_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many captions suggest each kind of figure."""
-    return _manifest(spark, sf_dir).groupBy(T.hint(F.col("caption")).alias("hint")).agg(F.count("*").alias("n"))
+    """The kind of figure that each caption suggests."""
+    return _manifest(spark, sf_dir).select("rec_id", T.hint(F.col("caption")).alias("hint"))
 
 
 def fallback_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,8 +111,7 @@ def fallback_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def labels_and_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether passages and captions look like labels, figure captions or table captions."""
-    t = F.left("caption", (F.col("rec_id") % 60).cast("int"))
-    return _manifest(spark, sf_dir).select("rec_id", T.looks_like_label(t).alias("label"), T.is_figure_caption(F.col("caption")).alias("figure"), T.is_table_caption(F.col("caption")).alias("in_table"))
+    return _manifest(spark, sf_dir).select("rec_id", T.looks_like_label(F.col("caption")).alias("label"), T.looks_like_label(F.col("collector")).alias("short_label"), T.is_figure_caption(F.col("caption")).alias("figure"), T.is_table_caption(F.col("caption")).alias("in_table"))
 
 
 def panel_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,9 +152,9 @@ def index_upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index_without_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The index's rows that still have a record, per paper."""
+    """The index's rows that still have a record."""
     kept = index.without_orphans(table(spark, sf_dir, "ragi_images"), index.index_rows(_manifest(spark, sf_dir)), "figure_key")
-    return kept.groupBy("doc_id").agg(F.count("*").alias("n"))
+    return kept.select("figure_key", "doc_id", "caption")
 
 
 def index_embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,8 +176,8 @@ def rating_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rating_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many votes are in range, and how many are not."""
-    return table(spark, sf_dir, "rating").groupBy(ratings.valid(F.col("score")).alias("valid")).agg(F.count("*").alias("n"))
+    """Whether each vote is in range."""
+    return table(spark, sf_dir, "rating").select("query", "image_path", "score", ratings.valid(F.col("score")).alias("valid"))
 
 
 def rating_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,7 +188,7 @@ def rating_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def content_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Checksum and data address of every passage's bytes."""
-    d = table(spark, sf_dir, "documents").where("text is not null")
+    d = table(spark, sf_dir, "documents")
     data = F.encode("text", "UTF-8")
     return d.select("doc_id", F.md5(data).alias("md5"), F.md5(T.data_url(data, F.lit("a.jpg"))).alias("url_md5"))
 
@@ -209,8 +213,10 @@ def knn_topk_cli(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def knn_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Top 5 of which only scores of 0.66 and more remain."""
-    return search.above(_knn(spark, sf_dir, search.TOP_K), 0.66)
+    """Of the five figures most similar to the first one, those that reach the service's least score."""
+    rows = table(spark, sf_dir, "ragi_images").dropDuplicates(["figure_key"])
+    query = rows.where(search.usable(F.col("embedding"), 64)).orderBy("figure_key").select("embedding").first()[0]
+    return search.above(search.knn(rows, query, "figure_key")).select("figure_key", F.round("score", 4).alias("score"))
 
 
 def _knn(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
@@ -234,9 +240,13 @@ def knn_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select(T.image_url(F.col("image_path"), "http://host").alias("image_url"), "image_path", "doc_id", "page", "source_pdf_url", F.round("score", 4).alias("score"))
 
 
+#: What the scripted model answers after a rejection, and at first.
+REPAIRED, DESCRIBED = "The chart compares two invented measures across several quiet settings.", "A bar chart compares several measures of one system over many settings."
+
+
 def generated_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Descriptions generated with checks and repair by a scripted model."""
-    model = Script([("Reason:", "The chart compares two invented measures across several quiet settings."), ("taxonomy", RuntimeError("down")), ("timeline", "Too short.")], "A bar chart compares several measures of one system over many settings.")
+    model = Script([("Reason:", REPAIRED), ("taxonomy", RuntimeError("down")), ("timeline", "Too short.")], DESCRIBED)
     rows = _manifest(spark, sf_dir).select("rec_id", "caption", "description2")
     return enrich.describe_captions(rows, model).select("rec_id", "description2", "reason", "error")
 
@@ -309,6 +319,13 @@ def _fallback(i: int) -> str:
     return _case([(f"({_has(c, p)} OR {_has(t, p)})" if typed else _has(c, p), q[i]) for p, typed, *q in T.FALLBACKS[:-1]], T.FALLBACKS[-1][2 + i])
 
 
+_HINT = _case([(_has("lower(coalesce(caption, chr(32)))", p), s) for p, s in T.HINTS], T.OTHER_HINT)
+
+
+def _label(c: str) -> str:
+    return f"({c} <> '' AND NOT regexp_matches(lower({c}), '^(figure|fig\\.|fig |table|tabla)') AND {_words(c)} <= 10 AND NOT regexp_matches({c}, '^\\[[0-9]+\\]$'))"
+
+
 _UNIT = "len(embedding) = 64 AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0"
 _SCORE = "(1 + list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])) / 2"
 _PATH = "replace(coalesce({p}, ''), '\\', '/')"
@@ -341,26 +358,26 @@ SQL = {
             WHEN {_generic("description2", V.MORE_FILLER)} THEN 'generic' END AS reason FROM manifest""",
     "image_description_failures": f"""
         SELECT rec_id, CASE WHEN {_strip("description3")} = '' THEN 'empty' WHEN regexp_matches(description3, '{_FIG}') THEN 'figure reference' WHEN NOT {_one("description3")} THEN 'sentences' WHEN {_words("description3")} > 28 THEN 'length'
-            WHEN {_generic("description3", ")")} THEN 'generic' WHEN regexp_matches(description3, '{V.SINGLE_PANEL}') THEN 'panels' END AS reason FROM manifest""",
+            WHEN {_generic("description3", ")")} THEN 'generic' WHEN page % 4 > 1 AND regexp_matches(description3, '{V.SINGLE_PANEL}') THEN 'panels' END AS reason FROM manifest""",
     "passage_flags": f"""
         SELECT doc_id, {_spanish("text")} AS spanish, coalesce(regexp_matches(text, '{_FIG}'), false) AS figures, {_generic("text", V.MORE_FILLER)} AS generic, contains(lower(coalesce(text, '')), 'pipeline') AND NOT contains(lower(coalesce(source, '')), 'pipeline') AS pipeline,
-            {_words("text")} > 28 AS long, coalesce(regexp_matches(text, '{V.SINGLE_PANEL}'), false) AS single FROM documents""",
+            {_words("text")} > 28 AS long, doc_id % 4 > 1 AND coalesce(regexp_matches(text, '{V.SINGLE_PANEL}'), false) AS single FROM documents""",
     "anchor_terms": f"WITH {_ANCHORS} SELECT rec_id, place, term FROM anchors",
     "anchored_questions": f"""
         WITH {_ANCHORS}, {_ASKED} SELECT rec_id, n, {_has("lower(coalesce(q, ''))", T.ALWAYS_ANCHOR)} OR EXISTS (SELECT 1 FROM anchors a WHERE a.rec_id = asked.rec_id AND contains(lower(coalesce(q, '')), a.term)) AS anchored FROM asked""",
     "bad_questions": f"""
         WITH {_ASKED} SELECT rec_id, n, {_strip("q")} = '' OR NOT suffix({_strip("q")}, '?') OR {_words("q")} NOT BETWEEN 6 AND 18 OR regexp_matches({_strip("q")}, '{_FIG}') OR regexp_matches({_strip("q")}, '{V.GENERAL_QUESTION}') OR regexp_matches({_strip("q")}, '{V.BANNED_QUESTION}')
-            OR (regexp_matches(coalesce(q, ''), '{V.MODEL_NAME}') AND NOT regexp_matches(coalesce(caption, ''), '{V.MODEL_NAME}')) OR regexp_matches({_strip("q")}, '{V.SEVERAL_PANELS}') AS bad FROM asked""",
+            OR (regexp_matches(coalesce(q, ''), '{V.MODEL_NAME}') AND NOT regexp_matches(coalesce(caption, ''), '{V.MODEL_NAME}')) OR (rec_id % 4 = 1 AND regexp_matches({_strip("q")}, '{V.SEVERAL_PANELS}')) AS bad FROM asked""",
     "normalized_questions": f"""
         WITH {_ASKED}, u AS (SELECT rec_id, n, q, {_strip("regexp_replace(" + _clean("lower(q)") + f", '{_QUOTES}', '\\2')")} AS t FROM asked), b AS (SELECT *, CASE WHEN suffix(t, '?') THEN {_strip("left(t, length(t) - 1)")} ELSE t END AS s FROM u)
         SELECT rec_id, n, CASE WHEN t = '' THEN '' ELSE upper(left(s, 1)) || substr(s, 2) || '?' END AS q, CASE WHEN suffix(coalesce(q, ''), '?') THEN q ELSE coalesce(q, '') || '?' END AS marked FROM b""",
     "question_json": f"""
         SELECT rec_id, CASE WHEN rec_id % 3 < 2 THEN {_strip("regexp_replace(" + _clean("caption") + f", '{_QUOTES}', '\\2')")} END AS q1, CASE WHEN rec_id % 3 < 2 THEN 'Why so?' END AS q2 FROM manifest""",
-    "caption_hints": f"SELECT {_case([(_has('lower(coalesce(caption, chr(32)))', p), s) for p, s in T.HINTS], T.OTHER_HINT)} AS hint, count(*) AS n FROM manifest GROUP BY 1",
+    "caption_hints": f"SELECT rec_id, {_HINT} AS hint FROM manifest",
     "fallback_questions": f"SELECT rec_id, {_fallback(0)} AS q1, {_fallback(1)} AS q2 FROM manifest",
     "labels_and_captions": f"""
-        WITH l AS (SELECT rec_id, caption, {_clean("left(caption, CAST(rec_id % 60 AS INTEGER))")} AS c FROM manifest)
-        SELECT rec_id, c <> '' AND NOT regexp_matches(lower(c), '^(figure|fig\\.|fig |table|tabla)') AND {_words("c")} <= 10 AND NOT regexp_matches(c, '^\\[[0-9]+\\]$') AS label,
+        WITH l AS (SELECT rec_id, caption, {_clean("caption")} AS c, {_clean("collector")} AS s FROM manifest)
+        SELECT rec_id, {_label("c")} AS label, {_label("s")} AS short_label,
             regexp_matches(coalesce(caption, ''), '(?i)^\\s*(?:Figure|Fig\\.?|Figura)\\s*[A-Za-z0-9]+[\\.\\:\\-]\\s+') AS figure, regexp_matches(coalesce(caption, ''), '(?i)^\\s*(?:Table|Tabla)\\b') AS in_table FROM l""",
     "panel_prefixes": """
         WITH p AS (SELECT rec_id, description2 AS t, CASE rec_id % 5 WHEN 2 THEN 'Two-panel' WHEN 3 THEN 'Three-panel' WHEN 4 THEN 'Four-panel' ELSE '' END AS prefix FROM manifest WHERE description2 IS NOT NULL)
@@ -372,19 +389,25 @@ SQL = {
     "index_orphans": "SELECT DISTINCT figure_key FROM ragi_images WHERE figure_key NOT IN (SELECT concat_ws('_', doc_id, id) FROM manifest)",
     "index_inserted": f"WITH {_NEW} SELECT * FROM old UNION ALL SELECT * FROM new WHERE figure_key NOT IN (SELECT figure_key FROM old)",
     "index_upserted": f"WITH {_NEW} SELECT * FROM new UNION ALL SELECT * FROM old WHERE figure_key NOT IN (SELECT figure_key FROM new)",
-    "index_without_orphans": "SELECT doc_id, count(*) AS n FROM ragi_images WHERE figure_key IN (SELECT concat_ws('_', doc_id, id) FROM manifest) GROUP BY doc_id",
+    "index_without_orphans": "SELECT figure_key, doc_id, caption FROM ragi_images WHERE figure_key IN (SELECT concat_ws('_', doc_id, id) FROM manifest)",
     "index_embedded": "SELECT DISTINCT concat_ws('_', doc_id, id) AS figure_key, 64 AS dim, CAST(NULL AS VARCHAR) AS error FROM manifest WHERE concat_ws('_', doc_id, id) NOT IN (SELECT figure_key FROM ragi_images)",
     "rating_paths": f"SELECT image_path, 'http://host/images/' || {_data('image_path')} AS url, list_contains(string_split({_data('image_path')}, '/'), '..') OR {_data('image_path')} IN ('', '.') AS outside FROM rating",
     "rating_export": "SELECT coalesce(timestamp, '') AS \"Timestamp\", coalesce(query, '') AS \"Query\", coalesce(image_path, '') AS \"Ruta_Imagen\", coalesce(CAST(score AS VARCHAR), '') AS \"Estrellas\" FROM rating",
-    "rating_valid": "SELECT coalesce(score BETWEEN 1 AND 5, false) AS valid, count(*) AS n FROM rating GROUP BY 1",
+    "rating_valid": "SELECT query, image_path, score, coalesce(score BETWEEN 1 AND 5, false) AS valid FROM rating",
     "rating_labels": "SELECT query, 'show me an image about ' || query AS asked, url_encode(query) AS part, CAST(CAST(round(score / 7.0 * 100) AS INTEGER) AS VARCHAR) || '%' AS label FROM rating",
-    "content_md5": "SELECT doc_id, md5(text) AS md5, md5('data:image/jpeg;base64,' || base64(encode(text))) AS url_md5 FROM documents WHERE text IS NOT NULL",
+    "content_md5": "SELECT doc_id, md5(text) AS md5, md5('data:image/jpeg;base64,' || base64(encode(text))) AS url_md5 FROM documents",
     "paths_and_names": """
         SELECT rec_id, printf('p%04d_figure_%05d.png', page, id) AS crop, printf('page_%04d.png', page) AS page_file, 'https://papers.example.org/pdf/' || doc_id || '.pdf' AS url, replace(coalesce(image_path, ''), '\\', '/') AS posix, concat_ws('_', doc_id, id) AS key, left(coalesce(caption, ''), 120) || '...' AS short,
             CASE WHEN extracted_at IS NULL THEN '' WHEN microsecond(extracted_at) % 1000000 = 0 THEN strftime(extracted_at, '%Y-%m-%dT%H:%M:%S') ELSE strftime(extracted_at, '%Y-%m-%dT%H:%M:%S.%f') END AS at FROM manifest""",
     "knn_topk": _top(5),
     "knn_topk_cli": _top(2),
-    "knn_threshold": f"SELECT * FROM ({_top(5)}) WHERE score >= 0.66",
+    "knn_threshold": f"""
+        WITH d AS (SELECT * FROM ragi_images QUALIFY row_number() OVER (PARTITION BY figure_key) = 1), u AS (SELECT * FROM d WHERE {_UNIT}), q AS (SELECT embedding FROM u ORDER BY figure_key LIMIT 1),
+        t AS (SELECT e.figure_key, {_SCORE} AS s FROM u e, q ORDER BY s DESC, e.figure_key LIMIT 5) SELECT figure_key, round(s, 4) AS score FROM t WHERE s >= 0.75""",
+    "generated_descriptions": f"""
+        WITH m AS (SELECT rec_id, description2, {_strip("caption")} = '' AS blank, {_HINT} || chr(10) || 'Caption: ' || coalesce(caption, '') AS p FROM manifest)
+        SELECT rec_id, CASE WHEN blank THEN '' WHEN contains(p, 'taxonomy') THEN description2 WHEN contains(p, 'timeline') THEN '{REPAIRED}' ELSE '{DESCRIBED}' END AS description2, CAST(NULL AS VARCHAR) AS reason,
+            CASE WHEN NOT blank AND contains(p, 'taxonomy') THEN 'RuntimeError: down' END AS error FROM m""",
     "knn_batch": f"""
         SELECT q.vec_id AS query_key, e.vec_id AS hit_key, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_SCORE} DESC, e.vec_id) AS rank, round({_SCORE}, 4) AS score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q QUALIFY rank <= 5""",
     "knn_hits": f"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
@@ -25,6 +27,22 @@ def read(spark: SparkSession, root: str, on_error: str = "skip", legacy: bool =
     return parsed.select(F.explode("r").alias("r")).select("r.*")
 
 
+def resolved_root(spark: SparkSession, candidates: Sequence[str]) -> str | None:
+    """The first folder that holds a manifest of some document, or None."""
+    for root in candidates:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/*/manifest.json")
+        if spark.sparkContext._jsc and (found := at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)) and len(found):
+            return root
+    return None
+
+
+def counted(records: DataFrame) -> DataFrame:
+    """(doc_id, records, blank, pictured): how many records each document has, how many without a caption, and with an image (image_file, of files.with_image)."""
+    return records.groupBy("doc_id").agg(
+        F.count("*").alias("records"), F.count_if(T.strip(F.col("caption")) == "").alias("blank"), F.count("image_file").alias("pictured"),
+    )
+
+
 def current(records: DataFrame) -> DataFrame:
     """Records without the columns of earlier versions, paths with forward slashes."""
     rows = records.drop(*schemas.DROPPED)
@@ -39,13 +57,14 @@ def write(records: DataFrame, path: str) -> None:
     records.write.mode("overwrite").partitionBy("doc_id").json(path)
 
 
-def write_lists(records: DataFrame, documents: DataFrame, path: str) -> None:
-    """One pretty JSON list per document, also for documents without figures, written by the tasks that hold them.
+def write_lists(records: DataFrame, documents: DataFrame, path: str) -> int:
+    """One pretty JSON list per document, also for documents without figures, written by the tasks that hold them; gives how many lists changed.
 
-    ``path`` is a folder that all executors share.
+    ``path`` is a folder that all executors share. A list is written beside the old one and then takes its place; one that says the same is left alone.
     """
     import json
     import os
+    import uuid
 
     import pandas as pd
 
@@ -56,9 +75,15 @@ def write_lists(records: DataFrame, documents: DataFrame, path: str) -> None:
         rows = json.loads(pdf.dropna(subset=["id"]).sort_values("id").to_json(orient="records", force_ascii=False))
         folder = os.path.join(path, doc.replace("/", "_"))
         os.makedirs(folder, exist_ok=True)
-        with open(os.path.join(folder, "manifest.json"), "w", encoding="utf-8") as f:
-            json.dump([{k: int(v) if k in ("id", "page") and v is not None else v for k, v in r.items()} for r in rows], f, ensure_ascii=False, indent=2)
-        return pd.DataFrame({"doc_id": [doc], "figures": [len(rows)]})
+        said = json.dumps([{k: int(v) if k in ("id", "page") and v is not None else v for k, v in r.items()} for r in rows], ensure_ascii=False, indent=2).encode()
+        name = os.path.join(folder, "manifest.json")
+        if os.path.exists(name) and open(name, "rb").read() == said:
+            return pd.DataFrame({"doc_id": [doc], "changed": [0]})
+        part = f"{name}.{uuid.uuid4().hex[:8]}"
+        with open(part, "wb") as f:
+            f.write(said)
+        os.replace(part, name)
+        return pd.DataFrame({"doc_id": [doc], "changed": [1]})
 
     whole = documents.select("doc_id").distinct().join(records, "doc_id", "left").select("doc_id", *columns)
-    whole.groupBy("doc_id").applyInPandas(run, "doc_id STRING, figures LONG").count()
+    return whole.groupBy("doc_id").applyInPandas(run, "doc_id STRING, changed LONG").agg(F.coalesce(F.sum("changed"), F.lit(0))).first()[0]

@@ -227,3 +227,193 @@ def test_answers_and_files(spark, tmp_path):
     figs = spark.createDataFrame([("d", 3, 1, bytearray(b"x"))], "doc_id STRING, page INT, id INT, png BINARY")
     assert sinks.write_crops(figs, str(tmp_path)) == 1 and sinks.write_pages(figs, str(tmp_path)) == 1
     assert (tmp_path / "d" / "images" / "p0003_figure_00001.png").read_bytes() == b"x"
+
+
+def test_tables_within_the_padding_of_each_other(spark):
+    figs = spark.createDataFrame([("d", 1, 0, 0.0, 100.0, 100.0, 300.0, 100.0), ("d", 1, 1, 0.0, 100.0, 100.0, 300.0, 60.0)], "doc_id STRING, page INT, ord INT, x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE, y0_base DOUBLE")
+    tables = _boxes(spark, [(0, 50, 100, 101), (0, 60, 100, 102.5), (0, 60, 100, 110), (0, 20, 30, 112.5)])
+    # 101 moves the edge to 103, which 102.5 no longer reaches; 110 moves it to 112, and 112.5 lies beyond the first top by more than 12.
+    assert {r["ord"]: r["y0"] for r in layout.clipped_top(figs, tables).collect()} == {0: 112.0, 1: 100.0}
+    assert {r["ord"]: r["y0"] for r in layout.clipped_top(figs, tables.where("ord < 2")).collect()} == {0: 103.0, 1: 100.0}
+
+
+def test_search_in_batches_against_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 8)).astype(np.float32)
+    x[50:60] = x[40]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, [0.0] * 8), (901, None), (902, [1.0]), (903, [float("nan")] * 8)]
+    index_ = spark.createDataFrame(rows, "id INT, embedding ARRAY<FLOAT>").repartition(3)
+    asked = spark.createDataFrame([(f"q{i}", v) for i, v in rows if i % 20 == 0 or i > 900], "q STRING, embedding ARRAY<FLOAT>")
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    want = set()
+    for i in range(0, 300, 20):
+        s = (1 + u @ u[i]) / 2
+        want |= {(f"q{i}", j, n + 1) for n, j in enumerate(sorted(range(300), key=lambda j: (-round(s[j], 12), j))[:5])}
+    for values in (8_000_000, 40):
+        monkeypatch.setattr(search, "QUERY_VALUES", values)
+        assert {(r["query_key"], r["hit_key"], r["rank"]) for r in search.knn_batch(index_, asked, "id", "q").collect()} == want
+    assert search.knn_batch(index_, asked.limit(0), "id", "q").count() == 0 and search.knn_batch(index_.limit(0), asked, "id", "q").count() == 0
+
+
+def test_search_in_cells(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(40, 16))
+    x = np.repeat(base, 50, axis=0) + 0.3 * rng.normal(size=(2000, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(9000, None)], "id INT, embedding ARRAY<FLOAT>")
+    made = search.Cells.build(df, f"file://{tmp_path}/cells", 16, cells=32)
+    again = search.Cells(spark, f"file://{tmp_path}/cells")
+    assert again.rows.count() == 2000
+    hit = 0
+    for i in range(0, 2000, 200):
+        exact = {r["id"] for r in search.knn(df, x[i].tolist(), "id").collect()}
+        assert {r["id"] for r in again.knn(x[i].tolist(), "id", probes=32).collect()} == exact
+        hit += len(exact & {r["id"] for r in made.knn(x[i].tolist(), "id", probes=4).collect()})
+    assert hit >= 45
+
+
+def _index_records(spark, rows):
+    return spark.createDataFrame(rows, "id INT, doc_id STRING, source_pdf STRING, source_pdf_url STRING, page INT, image_path STRING, caption STRING, description2 STRING, description3 STRING, questions ARRAY<STRING>")
+
+
+def test_a_failed_build_leaves_the_index(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    one, two, three = ((i, "d", "s", "u", i, "a", f"caption {i}", None, "", ["q"]) for i in (1, 2, 3))
+    assert index.build(spark, path, _index_records(spark, [one, two]), HashEmbedder(8), dim=8) == (0, 2)
+    # Another length of vectors fails before anything changes.
+    with pytest.raises(ValueError):
+        index.build(spark, path, _index_records(spark, [one, three]), HashEmbedder(16))
+    assert {r["figure_key"] for r in spark.read.parquet(path).collect()} == {"d_1", "d_2"}
+    # A run that was stopped between its two renames left the index beside its path.
+    (tmp_path / "index").rename(tmp_path / "index.old")
+    assert index.build(spark, path, _index_records(spark, [one, three]), HashEmbedder(8)) == (2, 2)
+    assert {r["figure_key"] for r in spark.read.parquet(path).collect()} == {"d_1", "d_3"}
+    assert not [p for p in tmp_path.iterdir() if p.name != "index"]
+    # New keys alone are added as files of their own.
+    held = {p.name for p in (tmp_path / "index").glob("*.parquet")}
+    assert index.build(spark, path, _index_records(spark, [one, two, three]), HashEmbedder(8)) == (2, 3)
+    assert held < {p.name for p in (tmp_path / "index").glob("*.parquet")}
+    with pytest.raises(ValueError):
+        index.build(spark, f"{path}2", _index_records(spark, [one]), HashEmbedder(8), dim=4)
+        index.build(spark, f"{path}2", _index_records(spark, [one]), HashEmbedder(8), dim=4, force=True)
+        index.dimension(spark.read.parquet(f"{path}2"))
+
+
+def test_texts_are_embedded_by_batch(spark):
+    class Whole:
+        def embed(self, texts):
+            if len(texts) == 1 and texts[0] != "alone":
+                raise ValueError("one text")
+            if "bad" in texts:
+                raise ValueError("bad text")
+            return [[float(len(t)), float(len(texts))] for t in texts]
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["a", "bb", "ccc"])], "id INT, full_text STRING").coalesce(1)
+    assert [(r["embedding"], r["error"]) for r in index.embedded(df, Whole()).orderBy("id").collect()] == [([1.0, 3.0], None), ([2.0, 3.0], None), ([3.0, 3.0], None)]
+    mixed = spark.createDataFrame([(0, "bad"), (1, "alone")], "id INT, full_text STRING").coalesce(1)
+    assert [(r["embedding"], r["error"]) for r in index.embedded(mixed, Whole()).orderBy("id").collect()] == [(None, "ValueError: one text"), ([5.0, 1.0], None)]
+
+
+def test_what_is_there_is_not_asked_for_again(spark):
+    rows = spark.createDataFrame([(1, "a caption", "kept"), (2, "a caption", " "), (3, "", None), (4, " ", "kept too")], "id INT, caption STRING, description2 STRING")
+    said = "A bar chart compares the loss of several models over many settings."
+    got = {r["id"]: r["description2"] for r in enrich.describe_captions(rows, Script([], said), force=False).collect()}
+    assert got == {1: "kept", 2: said, 3: "", 4: "kept too"}
+    assert enrich.describe_captions(rows, Script([], said), force=False).columns == [*rows.columns, "reason", "error"]
+
+
+def test_forms_and_times_of_requests():
+    import time
+
+    class Form:
+        def __init__(self, status):
+            self.status = status
+
+        def complete(self, prompt, image):
+            if self.status:
+                raise enrich.ServiceError(self.status)
+            return "ok"
+
+    for status in (400, 422):
+        assert enrich.TwoForms(Form(status), Form(0)).complete("p", b"i") == "ok"
+    with pytest.raises(enrich.ServiceError):
+        enrich.TwoForms(Form(404), Form(0)).complete("p", b"i")
+
+    class Slow:
+        def complete(self, prompt, image):
+            time.sleep(0.4)
+            return "late"
+
+    assert enrich.InTime(Slow(), 5).complete("p", None) == "late"
+    with pytest.raises(TimeoutError):
+        enrich.InTime(Slow(), 0.05).complete("p", None)
+
+
+def test_manifest_lists_change_only_with_their_records(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a", "x"), (2, "a", None), (1, "b", "y")], "id INT, doc_id STRING, caption STRING")
+    docs = spark.createDataFrame([("a",), ("b",), ("c",)], "doc_id STRING")
+    assert manifests.write_lists(rows, docs, str(tmp_path)) == 3
+    at = (tmp_path / "a" / "manifest.json").stat().st_mtime_ns
+    assert manifests.write_lists(rows, docs, str(tmp_path)) == 0
+    assert manifests.write_lists(rows.withColumn("caption", F.when(F.col("doc_id") == "b", "z").otherwise(F.col("caption"))), docs, str(tmp_path)) == 1
+    assert (tmp_path / "a" / "manifest.json").stat().st_mtime_ns == at and not list(tmp_path.rglob("*.json.*"))
+    (tmp_path / "empty").mkdir()
+    assert manifests.resolved_root(spark, [f"file://{tmp_path}/none", f"file://{tmp_path}/empty", f"file://{tmp_path}"]) == f"file://{tmp_path}"
+    assert manifests.resolved_root(spark, [f"file://{tmp_path}/none"]) is None
+    seen = rows.withColumn("image_file", F.when(F.col("caption") == "x", "p"))
+    assert {tuple(r) for r in manifests.counted(seen).collect()} == {("a", 2, 1, 1), ("b", 1, 0, 0)}
+
+
+def test_pages_from_a_renderer_and_a_detector(spark):
+    from lumenfig.sources import pages
+
+    class Renderer:
+        def pages(self, content, dpi):
+            if content == b"broken":
+                raise ValueError("unreadable")
+            for p in (1, 2):
+                yield pages.PageParts(p, 500, 250, b"png%d" % p, [(0, 0, 72, 36, " one \n block "), (0, 0, 1, 1, "  ")], [(0, 0, 10, 10), (0, 0, 1, 1), (0, 0, 144, 72)], [(0, 0, 36, 72)])
+
+    class Detector:
+        def detect(self, png, size, least):
+            return [(3, 0.9, 1, 2, 3, 4), (4, least, 5, 6, 7, 8)] if png == b"png1" else []
+
+    docs = spark.createDataFrame([("d", bytearray(b"ok")), ("e", bytearray(b"broken"))], "doc_id STRING, content BINARY")
+    made = pages.rendered(docs, Renderer(), dpi=250)
+    assert {(r["doc_id"], r["page"], r["width"]) for r in made.collect()} == {("d", 1, 500), ("d", 2, 500)}
+    assert {(r["page"], r["ord"], r["text"], r["x1"], r["y1"]) for r in pages.blocks(made, 250).collect()} == {(p, 0, "one block", 250.0, 125.0) for p in (1, 2)}
+    # The page has 144 by 72 points: a drawing of 100 square points stays, one of 1 and one of the whole page don't.
+    assert [round(r["x1"], 3) for r in pages.drawings(made, 250).collect()] == [round(10 * 250 / 72, 3)] * 2
+    assert {(r["page"], r["x1"]) for r in pages.watermark_hits(made, 250).collect()} == {(1, 125.0), (2, 125.0)}
+    assert [tuple(r) for r in pages.detected(made, Detector()).orderBy("ord").collect()] == [("d", 1, 0, 3, 0.9, 1.0, 2.0, 3.0, 4.0), ("d", 1, 1, 4, 0.15, 5.0, 6.0, 7.0, 8.0)]
+
+
+def test_answers_to_requests(spark, tmp_path):
+    from lumenfig.operators import service
+
+    made = HashEmbedder(16)
+    df = spark.createDataFrame([("d_1", "../data/d/a.png", "d", 1, "robust loss", "u", made.embed(["robust loss"])[0])], "figure_key STRING, image_path STRING, doc_id STRING, page INT, caption STRING, source_pdf_url STRING, embedding ARRAY<FLOAT>")
+    status, body = service.search(df, made, {"query": "robust loss"}, "http://h")
+    assert status == 200 and body["results"][0]["image_url"] == "http://h/images/d/a.png"
+    assert [service.search(df, made, b)[0] for b in ({"query": " "}, {}, {"query": 3}, None, [])] == [400, 422, 422, 422, 422]
+    assert service.search(df, HashEmbedder(16, fail_on="loss"), {"query": "loss"})[0] == 500
+    path = f"file://{tmp_path}/votes"
+    vote = {"query": "q", "image_path": "p", "score": 4}
+    assert service.vote(spark, path, vote, "t") == (200, {"votes": 1}) and service.vote(spark, path, vote, "t") == (200, {"votes": 2})
+    assert [service.vote(spark, path, vote | x, "t")[0] for x in ({"score": 6}, {"score": "4"}, {"score": True})] == [400, 422, 422]
+    assert ratings.compact(spark, path) == 2 and len(list((tmp_path / "votes").glob("*.parquet"))) == 1
+    (tmp_path / "a.png").write_bytes(b"png")
+    assert service.image(spark, str(tmp_path), "data/a.png") == (200, b"png")
+    assert service.image(spark, str(tmp_path), "data/none.png")[0] == 404 and service.image(spark, str(tmp_path), "../data/../../etc/passwd")[0] == 404
+
+
+def test_growth_of_boxes_over_their_pages(spark):
+    codec = RawGrey()
+    grey = np.full((300, 300), 255, np.uint8)
+    grey[100:140, 120:180] = 0
+    pages = spark.createDataFrame([("d", 1, bytearray(codec.pack(grey))), ("d", 1, bytearray(codec.pack(grey))), ("d", 3, None)], "doc_id STRING, page INT, png BINARY")
+    figs = spark.createDataFrame([("d", p, o, 130.0, 120.0, 150.0, 138.0, 0.0, 0.0, 300.0, "x") for p, o in ((1, 0), (1, 1), (2, 0), (3, 0))], "doc_id STRING, page INT, ord INT, x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE, top DOUBLE, left DOUBLE, right DOUBLE, caption STRING")
+    want = images.grown(images.prefix_sums(grey), [130, 120, 150, 138], 0, 0, 300)
+    got = {(r["page"], r["ord"]): [r["x0"], r["y0"], r["x1"], r["y1"]] for r in images.expand_by_content(figs, pages, codec).collect()}
+    assert got == {(1, 0): want, (1, 1): want, (2, 0): [130, 120, 150, 138], (3, 0): [130, 120, 150, 138]}
+    wide = spark.createDataFrame([(bytearray(codec.pack(np.zeros((10, 2048), np.uint8))),), (bytearray(b"x"),), (None,)], "png BINARY")
+    assert [None if r[0] is None else codec.grey(bytes(r[0])).shape for r in wide.select(images.payloads(F.col("png"), codec)).collect()] == [(5, 1024), None, None]
