@@ -16,7 +16,7 @@ Without a least cosine there is no radius to begin with. Every vector is then ra
 first, and the distance of its k-th best there is its radius in the others, which are compared whole.
 
 The number of shards grows with the rows, up to one for each ``BORDER_ROWS`` of the sample (beyond about
-130 million vectors shards grow instead, and ``sample`` should). A shard that very many vectors visit answers them in several tasks.
+65 million vectors shards grow instead, and ``sample`` should). A shard that very many vectors visit answers them in several tasks.
 
 The sample fixes borders only; all rows are indexed. Rows with vectors that are null, of
 another length, all zero or not finite take no part; of rows with one key the first by value counts.
@@ -287,7 +287,7 @@ def _without_least(work: Workdir, rows: DataFrame, tree: Tree, dim: int, k: int,
     return work.keep(away.unionByName(own.select("a", "b", "cos").mapInArrow(_unpacked, "a LONG, b LONG, cos DOUBLE")), "near")
 
 
-def nearest(df: DataFrame, key: str, vec: str = "embedding", dim: int = 64, k: int = 5, least: float | None = 0.9, factor: float = 7.0, sample: int = 32_768) -> DataFrame:
+def nearest(df: DataFrame, key: str, vec: str = "embedding", dim: int = 64, k: int = 5, least: float | None = 0.9, factor: float = 7.0, sample: int = 16_384) -> DataFrame:
     """(key_a, key_b, cos, place): of every row its k most similar others, with a cosine of at least ``least`` unless it is None.
 
     Cosines are those of the unit vectors in single precision; their ties go to the smaller key. With factor 1 the result is exact but for ties among more than k vectors.
@@ -304,8 +304,8 @@ def nearest(df: DataFrame, key: str, vec: str = "embedding", dim: int = 64, k: i
     total = rows.count()
     if not total:
         return spark.createDataFrame([], "key_a STRING, key_b STRING, cos DOUBLE, place INT")
-    # About four times the sample passes the first test, so no task hands more than its share of that to the driver.
-    few = rows.where(F.pmod(F.xxhash64("vec"), F.lit(1 << 30)) <= int((1 << 30) * min(1.0, 4 * sample / total)))
+    # About one and a half times the sample passes the first test, so no task hands more than its share of that to the driver.
+    few = rows.where(F.pmod(F.xxhash64("vec"), F.lit(1 << 30)) <= int((1 << 30) * min(1.0, 1.5 * sample / total)))
     drawn = np.stack(few.orderBy(F.xxhash64("vec")).limit(sample).select("vec").toPandas()["vec"].to_numpy()).astype(np.float32)
     shards = total / WIDE_ROWS if least is None else max(min(FEW_SHARDS, total / SHARD_ROWS), total / (LARGER * SHARD_ROWS))
     depth = max(0, math.ceil(math.log2(max(1, min(shards, max(1, sample // BORDER_ROWS))))))
