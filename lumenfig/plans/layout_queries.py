@@ -170,7 +170,7 @@ def extracted_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grown_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes grown over the dark content of a raster; each page's raster has its own stripes."""
+    """Boxes grown over the dark content of a raster; each page's raster has its own stripe, and each box its own place in it."""
     import numpy as np
     import pandas as pd
 
@@ -186,7 +186,9 @@ def grown_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pd.DataFrame({"doc_id": f["doc_id"], "page": f["page"], "png": out})
 
     pages = b.select("doc_id", "page").distinct().mapInPandas(paint, "doc_id STRING, page INT, png BINARY")
-    figs = b.select("doc_id", "page", "ord", *[F.lit(float(v)).alias(c) for c, v in (("x0", 130), ("y0", 120), ("x1", 150), ("y1", 138), ("top", 0), ("left", 0), ("right", 300))])
+    o = F.col("ord").cast("double")
+    places = {"x0": 122 + 2 * (o % 6), "y0": 112 + o % 7, "x1": 140 + (3 * o) % 20, "y1": F.lit(138.0), "top": F.lit(0.0), "left": F.lit(0.0), "right": F.lit(300.0)}
+    figs = b.select("doc_id", "page", "ord", *[v.alias(c) for c, v in places.items()])
     return images.expand_by_content(figs, pages, RawGrey()).select("doc_id", "page", "ord", "x0", "y0", "x1", "y1")
 
 
@@ -327,6 +329,9 @@ SQL = {
     "drop_contained": _greedy(
         f"NOT coalesce(list_bool_or(list_transform(generate_series(1, len(b)), lambda k: k <> i AND alive[k] AND {B.area('b[k]')} > {B.area('b[i]')} AND {B.ios('b[i]', 'b[k]')} >= 0.9)), false)", "false"
     ),
+    "grown_boxes": """
+        WITH b AS (SELECT DISTINCT doc_id, page, ord, 112.0 + 2 * (ord % 6) AS x, 102.0 + ord % 7 AS y, 140.0 + (3 * ord) % 20 AS r, 91 - page % 60 AS dark FROM detection WHERE cls = 3)
+        SELECT doc_id, page, ord, CAST(x - 4 * floor((x - 111) / 4) AS DOUBLE) AS x0, CAST(y - 4 * floor((y - dark) / 4) AS DOUBLE) AS y0, CAST(r + 4 * floor((179 - r) / 4) + 10 AS DOUBLE) AS x1, CAST(138 AS DOUBLE) AS y1 FROM b""",
     "gap_islands": """
         WITH e AS (SELECT user_id, value >= 5.0 AS white, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events WHERE value IS NOT NULL),
         s AS (SELECT *, sum(CASE WHEN white THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS island FROM e WHERE i >= floor(n * 0.03) AND i <= floor(n * 0.97)),

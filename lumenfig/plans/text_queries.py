@@ -240,6 +240,8 @@ def knn_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select(T.image_url(F.col("image_path"), "http://host").alias("image_url"), "image_path", "doc_id", "page", "source_pdf_url", F.round("score", 4).alias("score"))
 
 
+#: Questions that the scripted model asks after a rejection.
+ASKED = "How does the line change over the settings shown?", "Which curve lies highest at the threshold in this chart?"
 #: What the scripted model answers after a rejection, and at first.
 REPAIRED, DESCRIBED = "The chart compares two invented measures across several quiet settings.", "A bar chart compares several measures of one system over many settings."
 
@@ -252,8 +254,8 @@ def generated_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def generated_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions generated with checks and repair by a scripted model, with its general ones when it fails."""
-    model = Script([("Reason:", '{"q1": "How does the line change over the settings shown?", "q2": "Which curve lies highest at the threshold in this chart?"}'), ("Timeline", "no json")], "{}")
+    """Questions generated with checks and repair by a scripted model: general ones where no answer passes, none where it is down."""
+    model = Script([("Sketch", "no json"), ("Ablation", RuntimeError("down")), ("Reason:", '{"q1": "%s", "q2": "%s"}' % ASKED)], "{}")
     rows = _manifest(spark, sf_dir).select("rec_id", "caption", F.lit(None).cast("binary").alias("image"), F.lit(1).alias("panels"), F.lit(None).cast("string").alias("figure_type"))
     return enrich.ask_questions(rows, model).select("rec_id", "questions", "reason", "error")
 
@@ -326,6 +328,11 @@ def _label(c: str) -> str:
     return f"({c} <> '' AND NOT regexp_matches(lower({c}), '^(figure|fig\\.|fig |table|tabla)') AND {_words(c)} <= 10 AND NOT regexp_matches({c}, '^\\[[0-9]+\\]$'))"
 
 
+def _general(i: int) -> str:
+    c = _strip("lower(coalesce(caption, ''))")
+    return _case([(_has(c, p), q[i]) for p, _, *q in T.FALLBACKS[:-1]], T.FALLBACKS[-1][2 + i])
+
+
 _UNIT = "len(embedding) = 64 AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0"
 _SCORE = "(1 + list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])) / 2"
 _PATH = "replace(coalesce({p}, ''), '\\', '/')"
@@ -404,6 +411,9 @@ SQL = {
     "knn_threshold": f"""
         WITH d AS (SELECT * FROM ragi_images QUALIFY row_number() OVER (PARTITION BY figure_key) = 1), u AS (SELECT * FROM d WHERE {_UNIT}), q AS (SELECT embedding FROM u ORDER BY figure_key LIMIT 1),
         t AS (SELECT e.figure_key, {_SCORE} AS s FROM u e, q ORDER BY s DESC, e.figure_key LIMIT 5) SELECT figure_key, round(s, 4) AS score FROM t WHERE s >= 0.75""",
+    "generated_questions": f"""
+        SELECT rec_id, CASE WHEN {_strip("caption")} = '' THEN ['{enrich.NO_CAPTION[0]}', '{enrich.NO_CAPTION[1]}'] WHEN contains(caption, 'Sketch') THEN [{_general(0)}, {_general(1)}] WHEN NOT contains(caption, 'Ablation') THEN ['{ASKED[0]}', '{ASKED[1]}'] END AS questions,
+            CASE WHEN {_strip("caption")} <> '' AND contains(caption, 'Sketch') THEN 'no pair' END AS reason, CASE WHEN contains(caption, 'Ablation') AND NOT contains(caption, 'Sketch') THEN 'RuntimeError: down' END AS error FROM manifest""",
     "generated_descriptions": f"""
         WITH m AS (SELECT rec_id, description2, {_strip("caption")} = '' AS blank, {_HINT} || chr(10) || 'Caption: ' || coalesce(caption, '') AS p FROM manifest)
         SELECT rec_id, CASE WHEN blank THEN '' WHEN contains(p, 'taxonomy') THEN description2 WHEN contains(p, 'timeline') THEN '{REPAIRED}' ELSE '{DESCRIBED}' END AS description2, CAST(NULL AS VARCHAR) AS reason,
