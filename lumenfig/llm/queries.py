@@ -139,6 +139,32 @@ _SIMILAR = """
 
 #: SQL for those that are exact set or vector operations; it compares everything with everything and is meant for small data.
 SQL: dict[str, str] = {
+    "p1_found": """
+        WITH RECURSIVE s AS (
+            SELECT rec_id, batch_no, regexp_replace(regexp_replace(lower(coalesce(md5, '')), '^\\s*(md5\\s*[:=]|0x)', ''), '[^0-9a-z]', '', 'g') AS m, id,
+                regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(doc_id, '')), '\\s+', '', 'g'), '^.*[/:]', ''), '\\.pdf$', ''), 'v[0-9]+$', '') AS p
+            FROM manifest WHERE rec_id IS NOT NULL AND batch_no IS NOT NULL
+        ), n AS (
+            SELECT rec_id, batch_no, list_filter([
+                CASE WHEN regexp_matches(m, '^[0-9a-f]{32}$') AND len(list_distinct(string_split(m, ''))) > 1 AND m <> 'd41d8cd98f00b204e9800998ecf8427e' THEN 'm:' || m END,
+                CASE WHEN p <> '' AND id IS NOT NULL THEN 'f:' || p || '#' || id END], lambda k: k IS NOT NULL) AS keys FROM s
+        ), first AS (SELECT k, min(rec_id) AS o FROM (SELECT rec_id, unnest(keys) AS k FROM n WHERE batch_no <= 0) GROUP BY k),
+        later AS (SELECT rec_id, keys, row_number() OVER (ORDER BY batch_no, rec_id) AS i FROM n WHERE batch_no > 0),
+        walk AS (
+            SELECT CAST(0 AS BIGINT) AS i, coalesce(list(k ORDER BY k), []) AS ks, coalesce(list(o ORDER BY k), []) AS os, CAST(NULL AS BIGINT) AS b, CAST([] AS BIGINT[]) AS hits FROM first
+            UNION ALL
+            SELECT i, CASE WHEN len(hits) = 0 THEN ks || keys ELSE ks END, CASE WHEN len(hits) = 0 THEN os || list_transform(keys, lambda k: b) ELSE os END, b, hits
+            FROM (SELECT l.i, w.ks, w.os, l.keys, l.rec_id AS b, list_distinct(list_filter(list_transform(l.keys, lambda k: w.os[list_position(w.ks, k)]), lambda x: x IS NOT NULL)) AS hits FROM walk w JOIN later l ON l.i = w.i + 1)
+        )
+        SELECT unnest(hits) AS rec_id_a, b AS rec_id_b FROM walk""",
+    "p3_groups": f"""
+        WITH RECURSIVE s AS (SELECT rec_id, list_sort(list_distinct({_WORDS.format(t="caption")})) AS w FROM manifest),
+        c AS (SELECT w, len(w) AS n, min(rec_id) AS id FROM s WHERE len(w) > 0 GROUP BY w),
+        near AS (SELECT a.id AS a, b.id AS b, a.n + b.n AS n, len(list_intersect(a.w, b.w)) AS i FROM c a JOIN c b ON a.id <> b.id AND 10 * a.n >= 7 * b.n AND 10 * b.n >= 7 * a.n),
+        links AS (SELECT a, b FROM near WHERE 10 * i >= 7 * (n - i)),
+        reach AS (SELECT id AS a, id AS b FROM c UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+        SELECT s.rec_id, g.group_id, coalesce(l.links, 0) AS links FROM s JOIN c USING (w) JOIN (SELECT a, min(b) AS group_id FROM reach GROUP BY a) g ON g.a = c.id
+        LEFT JOIN (SELECT a, count(*) AS links FROM links GROUP BY a) l ON l.a = c.id""",
     "p2_neighbours": f"WITH {_SIMILAR} SELECT a AS key_a, b AS key_b, CAST(place AS INTEGER) AS place FROM t",
     "p1_near": f"""
         WITH t AS (SELECT rec_id, batch_no, {_WORDS.format(t="caption")} AS w FROM manifest WHERE caption IS NOT NULL),
