@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenfig.llm.common import checksum_of, paper_of, words
-from lumenfig.workdir import Workdir, shared_root
+from lumenfig.workdir import Workdir
 
 #: Words of a whole field, which is its checksum.
 FIELD_WORDS = 4
@@ -86,7 +86,13 @@ class Shard:
             out.write(np.array([len(self.text), len(self.starts)], np.int64).tobytes())
             for x, kind in ((self.owners, np.int64), (self.starts, np.int32), (self.text, np.uint32)):
                 out.write(x.astype(kind).tobytes())
-        fs.move(part, at)
+        try:
+            fs.move(part, at)
+        except OSError:
+            # Not every file system puts one file in another's place; the one that is there says the same.
+            if fs.get_file_info(at).type == arrow_fs.FileType.NotFound:
+                raise
+            fs.delete_file(part)
         return len(self.text)
 
     @classmethod
@@ -236,7 +242,7 @@ class History:
 
     def __init__(self, spark: SparkSession, path: str | None = None, shards: int = 32, least: int | None = None) -> None:
         self.spark, self.shards, self.least = spark, shards, least
-        self.path = path or f"{shared_root(spark)}/lumenfig/history-{uuid.uuid4().hex[:12]}"
+        self.path = path or Workdir(spark, "history").path
         #: (name, words) of the segments, the oldest first.
         self.segments: list[tuple[str, int]] = []
         self.version = 0

@@ -51,6 +51,7 @@ def test_template_of_a_third_of_the_rows(spark):
 def test_long_runs_meet_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "BLOCK", 8)
     monkeypatch.setattr(near_copies, "RARE", 2)
+    monkeypatch.setattr(near_copies, "PART_KEYS", 100)
     texts = ["same words here for many"] * 30 + [f"shared words of a long template {i}" for i in range(40)] + [f"shared words of a long template {i} {i}x" for i in range(40)]
     df = spark.createDataFrame(list(enumerate(texts)), "rec_id LONG, caption STRING")
     found = [tuple(r) for r in near_copies.record_pairs(near_copies.alike(df, "rec_id", F.col("caption"))).collect()]
