@@ -10,6 +10,7 @@ from lumenfig.functions import text as T
 from lumenfig.functions import validators as V
 from lumenfig.operators import enrich, index, ratings, search
 from lumenfig.sources.tables import table
+from lumenfig.workdir import Workdir
 
 
 def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,6 +226,14 @@ def _knn(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     return search.knn(rows, query, "vec_id", k=k).select("vec_id", F.round("score", 4).alias("score"))
 
 
+def knn_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top 5 of the embeddings for the vector of vec_id 0 over an index laid out by cells, with all of them probed."""
+    rows = table(spark, sf_dir, "embeddings")
+    query = rows.where(F.col("vec_id") == 0).first()["embedding"]
+    made = search.Cells.build(rows, f"{Workdir(spark, 'cells').path}/index", len(query))
+    return made.knn(query, "vec_id", probes=len(made.centres)).select("vec_id", F.round("score", 4).alias("score"))
+
+
 def knn_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top 5 of all vectors for every fiftieth."""
     rows = table(spark, sf_dir, "embeddings")
@@ -264,7 +273,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         text_measures, cleaned_text, description_failures, image_description_failures, passage_flags, anchor_terms, anchored_questions, bad_questions, normalized_questions, similar_questions, question_json, caption_hints, fallback_questions, labels_and_captions, panel_prefixes,
-        full_texts, index_documents, index_orphans, index_inserted, index_upserted, index_without_orphans, index_embedded, rating_paths, rating_export, rating_valid, rating_labels, content_md5, paths_and_names, knn_topk, knn_topk_cli, knn_threshold, knn_batch, knn_hits,
+        full_texts, index_documents, index_orphans, index_inserted, index_upserted, index_without_orphans, index_embedded, rating_paths, rating_export, rating_valid, rating_labels, content_md5, paths_and_names, knn_topk, knn_topk_cli, knn_threshold, knn_cells, knn_batch, knn_hits,
         generated_descriptions, generated_questions,
     )
 }
@@ -418,6 +427,7 @@ SQL = {
         WITH m AS (SELECT rec_id, description2, {_strip("caption")} = '' AS blank, {_HINT} || chr(10) || 'Caption: ' || coalesce(caption, '') AS p FROM manifest)
         SELECT rec_id, CASE WHEN blank THEN '' WHEN contains(p, 'taxonomy') THEN description2 WHEN contains(p, 'timeline') THEN '{REPAIRED}' ELSE '{DESCRIBED}' END AS description2, CAST(NULL AS VARCHAR) AS reason,
             CASE WHEN NOT blank AND contains(p, 'taxonomy') THEN 'RuntimeError: down' END AS error FROM m""",
+    "knn_cells": _top(5),
     "knn_batch": f"""
         SELECT q.vec_id AS query_key, e.vec_id AS hit_key, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_SCORE} DESC, e.vec_id) AS rank, round({_SCORE}, 4) AS score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q QUALIFY rank <= 5""",
     "knn_hits": f"""

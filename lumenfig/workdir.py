@@ -24,11 +24,19 @@ def shared_root(spark: SparkSession) -> str:
 
 
 class Workdir:
-    """A folder of its own below the shared one, holding written tables."""
+    """A folder of its own below the shared one, holding written tables; it goes when the driver ends."""
 
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark = spark
         self.path = f"{shared_root(spark)}/lumenfig/{label}-{uuid.uuid4().hex[:12]}"
+        fs, at = self._at(self.path)
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+
+    def _at(self, path: str):
+        """The file system of a path, and the path as it names it."""
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Writes the rows and gives them back without their lineage."""
@@ -38,6 +46,5 @@ class Workdir:
 
     def drop(self, name: str) -> None:
         """Removes a written table that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        fs, at = self._at(f"{self.path}/{name}")
+        fs.delete(at, True)
