@@ -17,11 +17,15 @@ SPANISH = (
 )
 #: A reference to a numbered figure, filler phrases of both kinds of description, and single-panel phrases.
 FIGURE_REFERENCE = r"(?iU)\b(fig\.?|figure)\s*\d+\b"
-FILLER = (
+IMAGE_FILLER = (
     r"(?i)(is presented|is shown|is depicted|shown in this figure|presented in this figure|the figure shows|this figure shows|"
-    r"the figure depicts|this figure depicts|the figure illustrates|this figure illustrates"
+    r"the figure depicts|this figure depicts|the figure illustrates|this figure illustrates)"
+)
+CAPTION_FILLER = (
+    r"(?i)(is presented|is shown|is depicted|shown in this figure|presented in this figure|the figure shows|this figure shows|"
+    r"the figure depicts|this figure depicts|the figure illustrates|this figure illustrates|an illustration depicts|an illustration illustrates|"
+    r"here is the revised output|here is the rewritten output)"
 )
-MORE_FILLER = r"|an illustration depicts|an illustration illustrates|here is the revised output|here is the rewritten output)"
 SINGLE_PANEL = r"(?i)\b(single axis|single plot|single panel)\b"
 #: General questions, questions that can't be answered from a caption, model names, and several panels.
 GENERAL_QUESTION = (
@@ -53,7 +57,7 @@ def mentions_figures(t: Column) -> Column:
 
 def looks_generic(t: Column, with_image: bool = False) -> Column:
     """Empty, a filler phrase, or fewer than seven words; descriptions made without the image know more phrases."""
-    return (T.strip(t) == "") | _t(t).rlike(FILLER + (")" if with_image else MORE_FILLER)) | (T.word_count(t) < MIN_DESCRIPTION)
+    return (T.strip(t) == "") | _t(t).rlike(IMAGE_FILLER if with_image else CAPTION_FILLER) | (T.word_count(t) < MIN_DESCRIPTION)
 
 
 def stray_pipeline(t: Column, caption: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfig.functions import text as T
-from lumenfig.functions.geometry import Box, clamp, padded
+from lumenfig.functions.geometry import Box, clamp, cut_above, padded
 from lumenfig.operators import grouped, images, layout
 from lumenfig.operators.layout import PAGE
 from lumenfig.workdir import Workdir
@@ -21,7 +21,7 @@ def _finished(figures: DataFrame, pages: DataFrame, boxes: DataFrame, text: Data
     rows = figures.join(limits, [*PAGE, "ord"]).withColumn("y0_base", F.col("y0")).withColumn("left", F.greatest("left", "edge"))
     if codec is not None:
         rows = images.expand_by_content(rows, pages, codec, seeded)
-    rows = rows.withColumn("y1", clamp(F.least("y1", F.floor("cap_y0") - 2), 0.0, float(height - 1)).cast("double"))
+    rows = rows.withColumn("y1", clamp(cut_above(F.col("y1"), F.floor("cap_y0")), 0.0, float(height - 1)).cast("double"))
     tables = boxes.where(F.col("cls").isin(list(layout.TABLES)))
     rows = rows.drop("top", "left", "right")
     rows = rows.drop("y0").join(layout.clipped_top(rows, tables), [*PAGE, "ord"])

@@ -257,6 +257,25 @@ def _greedy(keep: str, drop: str) -> str:
         SELECT doc_id, page, unnest(list_transform(list_filter(b, lambda x, k: alive[k]), lambda x: x.ord)) AS ord FROM done"""
 
 
+def _unsliced(s: str, b: str) -> str:
+    """One block's turn: nothing, the box grown over it, or the box moved off it."""
+    share = f"({B.inter(s, b)} / greatest(1e-9, {B.area(b)}))"
+    off = {v: f"(({b}.{v}0 + {b}.{v}1) / 2 - ({s}.{v}0 + {s}.{v}1) / 2)" for v in "xy"}
+    rest = f"words := {s}.words, cls := {s}.cls, drawn := {s}.drawn"
+
+    def moved(**edges: str) -> str:
+        return "struct_pack(" + ", ".join(f"{c} := {edges.get(c, f'{s}.{c}')}" for c in ("x0", "y0", "x1", "y1")) + f", {rest})"
+
+    def off_it(v: str) -> str:
+        low, high = f"{s}.{v}0", f"{s}.{v}1"
+        return f"""CASE WHEN {off[v]} < 0 AND {low} < {b}.{v}1 + 4 AND {b}.{v}1 + 4 < {high} THEN {moved(**{f"{v}0": f"{b}.{v}1 + 4"})}
+            WHEN {off[v]} > 0 AND {low} < {b}.{v}0 - 4 AND {b}.{v}0 - 4 < {high} THEN {moved(**{f"{v}1": f"{b}.{v}0 - 4"})} ELSE {s} END"""
+
+    grown = moved(x0=f"least({s}.x0, {b}.x0 - 4)", y0=f"least({s}.y0, {b}.y0 - 4)", x1=f"greatest({s}.x1, {b}.x1 + 4)", y1=f"greatest({s}.y1, {b}.y1 + 4)")
+    return f"""CASE WHEN {share} <= 0.1 THEN {s} WHEN ({b}.words <= 45 OR {b}.drawn OR {b}.cls IN (4, 6, 7)) AND {b}.cls <> 0 THEN CASE WHEN {share} < 0.98 THEN {grown} ELSE {s} END
+        WHEN abs({off["y"]}) / greatest(1, {s}.y1 - {s}.y0) > abs({off["x"]}) / greatest(1, {s}.x1 - {s}.x0) THEN {off_it("y")} ELSE {off_it("x")} END"""
+
+
 SQL = {
     "box_overlaps": f"""
         WITH {B.SQL} SELECT a.doc_id, a.page, a.ord, b.ord AS ord_b, round({B.iou("a", "b")}, 6) AS iou, round({B.ios("a", "b")}, 6) AS ios, round({B.v_overlap("a", "b")}, 6) AS v_overlap
@@ -329,6 +348,16 @@ SQL = {
     "drop_contained": _greedy(
         f"NOT coalesce(list_bool_or(list_transform(generate_series(1, len(b)), lambda k: k <> i AND alive[k] AND {B.area('b[k]')} > {B.area('b[i]')} AND {B.ios('b[i]', 'b[k]')} >= 0.9)), false)", "false"
     ),
+    "unsliced_boxes": f"""
+        WITH RECURSIVE {B.SQL}, {_CAPS}, {_SEEN}, {_CLS},
+        held AS (SELECT doc_id, page, list(struct_pack(x0 := x0, y0 := y0, x1 := x1, y1 := y1, words := len(regexp_extract_all(text, '\\S+')), cls := cls, drawn := in_visual) ORDER BY ord) AS blocks FROM texts GROUP BY ALL),
+        start AS (SELECT f.doc_id, f.page, f.ord, h.blocks, struct_pack(x0 := f.x0, y0 := f.y0, x1 := f.x1, y1 := f.y1, words := CAST(0 AS BIGINT), cls := 0, drawn := false) AS x FROM figs f JOIN held h USING (doc_id, page)),
+        walk AS (
+            SELECT doc_id, page, ord, blocks, x, x AS before, 0 AS turn FROM start
+            UNION ALL
+            SELECT doc_id, page, ord, blocks, list_reduce(blocks, lambda s, b: {_unsliced("s", "b")}, x), x, turn + 1 FROM walk WHERE turn < 10 AND (turn = 0 OR x <> before)
+        ), last AS (SELECT doc_id, page, ord, arg_max(x, turn) AS x FROM walk GROUP BY ALL)
+        SELECT doc_id, page, ord, {", ".join(f"greatest(0, least(619, x.{c})) AS {c}" for c in ("x0", "y0", "x1", "y1"))} FROM last""",
     "grown_boxes": """
         WITH b AS (SELECT DISTINCT doc_id, page, ord, 112.0 + 2 * (ord % 6) AS x, 102.0 + ord % 7 AS y, 140.0 + (3 * ord) % 20 AS r, 91 - page % 60 AS dark FROM detection WHERE cls = 3)
         SELECT doc_id, page, ord, CAST(x - 4 * floor((x - 111) / 4) AS DOUBLE) AS x0, CAST(y - 4 * floor((y - dark) / 4) AS DOUBLE) AS y0, CAST(r + 4 * floor((179 - r) / 4) + 10 AS DOUBLE) AS x1, CAST(138 AS DOUBLE) AS y1 FROM b""",

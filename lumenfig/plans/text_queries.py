@@ -305,8 +305,8 @@ def _spanish(t: str) -> str:
     return f"(regexp_matches(lower(coalesce({t}, '')), '(^|[^\\p{{L}}\\p{{N}}_]){_SPANISH}($|[^\\p{{L}}\\p{{N}}_])') OR regexp_matches(lower(coalesce({t}, '')), '[ñáéíóúü]'))"
 
 
-def _generic(t: str, more: str) -> str:
-    return f"({_strip(t)} = '' OR regexp_matches(coalesce({t}, ''), '{V.FILLER}{more}') OR {_words(t)} < 7)"
+def _generic(t: str, filler: str) -> str:
+    return f"({_strip(t)} = '' OR regexp_matches(coalesce({t}, ''), '{filler}') OR {_words(t)} < 7)"
 
 
 _FIG = "(?i)\\b(fig\\.?|figure)\\s*[0-9]+\\b"
@@ -371,12 +371,12 @@ SQL = {
     "description_failures": f"""
         SELECT rec_id, CASE WHEN {_strip("description2")} = '' THEN 'empty' WHEN {_spanish("description2")} THEN 'spanish' WHEN regexp_matches(description2, '{_FIG}') THEN 'figure reference'
             WHEN contains(lower(description2), 'pipeline') AND NOT contains(lower(coalesce(caption, '')), 'pipeline') THEN 'pipeline' WHEN NOT {_one("description2")} THEN 'sentences' WHEN {_words("description2")} > 28 THEN 'length'
-            WHEN {_generic("description2", V.MORE_FILLER)} THEN 'generic' END AS reason FROM manifest""",
+            WHEN {_generic("description2", V.CAPTION_FILLER)} THEN 'generic' END AS reason FROM manifest""",
     "image_description_failures": f"""
         SELECT rec_id, CASE WHEN {_strip("description3")} = '' THEN 'empty' WHEN regexp_matches(description3, '{_FIG}') THEN 'figure reference' WHEN NOT {_one("description3")} THEN 'sentences' WHEN {_words("description3")} > 28 THEN 'length'
-            WHEN {_generic("description3", ")")} THEN 'generic' WHEN page % 4 > 1 AND regexp_matches(description3, '{V.SINGLE_PANEL}') THEN 'panels' END AS reason FROM manifest""",
+            WHEN {_generic("description3", V.IMAGE_FILLER)} THEN 'generic' WHEN page % 4 > 1 AND regexp_matches(description3, '{V.SINGLE_PANEL}') THEN 'panels' END AS reason FROM manifest""",
     "passage_flags": f"""
-        SELECT doc_id, {_spanish("text")} AS spanish, coalesce(regexp_matches(text, '{_FIG}'), false) AS figures, {_generic("text", V.MORE_FILLER)} AS generic, contains(lower(coalesce(text, '')), 'pipeline') AND NOT contains(lower(coalesce(source, '')), 'pipeline') AS pipeline,
+        SELECT doc_id, {_spanish("text")} AS spanish, coalesce(regexp_matches(text, '{_FIG}'), false) AS figures, {_generic("text", V.CAPTION_FILLER)} AS generic, contains(lower(coalesce(text, '')), 'pipeline') AND NOT contains(lower(coalesce(source, '')), 'pipeline') AS pipeline,
             {_words("text")} > 28 AS long, doc_id % 4 > 1 AND coalesce(regexp_matches(text, '{V.SINGLE_PANEL}'), false) AS single FROM documents""",
     "anchor_terms": f"WITH {_ANCHORS} SELECT rec_id, place, term FROM anchors",
     "anchored_questions": f"""

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lumenfig import schemas
 from lumenfig.functions import text as T
 from lumenfig.functions.geometry import DPI, POINTS
+from lumenfig.operators.layout import drawings_kept
 
 
 class PageParts(NamedTuple):
@@ -72,8 +73,8 @@ def blocks(pages: DataFrame, dpi: int = DPI) -> DataFrame:
 def drawings(pages: DataFrame, dpi: int = DPI) -> DataFrame:
     """Drawings of a middling size, in pixels; the bounds are in square points."""
     rows = pages.select("doc_id", "page", (F.col("width") * F.col("height") * (POINTS / dpi) ** 2).alias("room"), F.explode("drawings").alias("d"))
-    area = (F.col("d.x1") - F.col("d.x0")) * (F.col("d.y1") - F.col("d.y0"))
-    return rows.where((area > 50) & (area < 0.95 * F.col("room"))).select("doc_id", "page", *_pixels("d", dpi))
+    kept = drawings_kept(rows.select("doc_id", "page", "room", "d.*"), F.col("room"))
+    return kept.select("doc_id", "page", *[(F.col(c) * (dpi / POINTS)).alias(c) for c in ("x0", "y0", "x1", "y1")])
 
 
 def watermark_hits(pages: DataFrame, dpi: int = DPI) -> DataFrame:

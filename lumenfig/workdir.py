@@ -23,6 +23,12 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with the scheme of the file system that Spark finds it on, for those who open it without Spark."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+
+
 class Workdir:
     """A folder of its own below the shared one, holding written tables; it goes when the driver ends."""
 
