@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenfig.llm.common import checksum_of, paper_of, words
-from lumenfig.workdir import Workdir
+from lumenfig.workdir import Workdir, qualified
 
 #: Words of a whole field, which is its checksum.
 FIELD_WORDS = 4
@@ -242,7 +242,7 @@ class History:
 
     def __init__(self, spark: SparkSession, path: str | None = None, shards: int = 32, least: int | None = None) -> None:
         self.spark, self.shards, self.least = spark, shards, least
-        self.path = path or Workdir(spark, "history").path
+        self.path = qualified(spark, path or Workdir(spark, "history").path)
         #: (name, words) of the segments, the oldest first.
         self.segments: list[tuple[str, int]] = []
         self.version = 0
@@ -250,7 +250,7 @@ class History:
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> History:
         """The history that another session has left at ``path``: of its numbered lists of segments the last."""
-        fs, at = _file_system(path)
+        fs, at = _file_system(qualified(spark, path))
         lists = [f.path for f in fs.get_file_info(arrow_fs.FileSelector(at)) if f.base_name.startswith("segments-") and f.base_name.endswith(".json")]
         with fs.open_input_stream(max(lists)) as f:
             said = json.loads(f.read())
