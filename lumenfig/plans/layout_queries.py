@@ -10,6 +10,7 @@ from lumenfig.functions import geometry as G
 from lumenfig.functions import text as T
 from lumenfig.operators import extract, grouped, images, layout
 from lumenfig.plans import boxes as B
+from lumenfig.sources import pages
 from lumenfig.sources.tables import table
 
 KEY = ["doc_id", "page"]
@@ -192,6 +193,67 @@ def grown_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.expand_by_content(figs, pages, RawGrey()).select("doc_id", "page", "ord", "x0", "y0", "x1", "y1")
 
 
+def figure_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks that are captions of figures and not too long; a text of the first kind is repeated by its page, so some are."""
+    said = _text(spark, sf_dir).withColumn("text", F.when(F.col("cls") == layout.FIGURE_CAPTION, F.repeat(F.concat("text", F.lit(" ")), (F.col("page") % 40).cast("int"))).otherwise(F.col("text")))
+    return layout.figure_captions(said).select(*KEY, "ord", T.word_count(F.col("text")).alias("words"))
+
+
+def manifest_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest records of numbered figures."""
+    rows = layout.numbered(_figures(spark, sf_dir)).withColumnRenamed("text", "caption")
+    return extract.manifest_rows(rows, "https://papers.example.org/pdf")
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as a renderer gives them, of boxes in points."""
+    b = B.boxes(spark, sf_dir)
+    box = [F.col(c) for c in ("x0", "y0", "x1", "y1")]
+    held = F.array_sort(F.collect_list(F.struct("ord", *box, "text")))
+    return b.groupBy(*KEY).agg(held.alias("held")).select(*KEY, F.lit(1500).alias("width"), F.lit(1500).alias("height"), "held", F.transform("held", lambda h: h.dropFields("ord")).alias("blocks"), F.transform("held", lambda h: h.dropFields("ord", "text")).alias("drawings"))
+
+
+def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text blocks of rendered pages, in pixels."""
+    got = pages.blocks(_pages(spark, sf_dir), 144)
+    return got.select(*KEY, "ord", "text", "x0", "y0", "x1", "y1")
+
+
+def page_drawings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drawings of rendered pages that are neither tiny nor the page, in pixels."""
+    return pages.drawings(_pages(spark, sf_dir), 720).select(*KEY, "x0", "y0", "x1", "y1")
+
+
+def _rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, page, png): a dark raster of each page with detected figures, with up to four white gaps of its own."""
+    import numpy as np
+    import pandas as pd
+
+    def paint(frames):
+        for f in frames:
+            out = []
+            for page in f["page"]:
+                grey = np.zeros((100, 400), np.uint8)
+                for i in range(page % 5):
+                    grey[:, 60 + 70 * i : 75 + 70 * i] = 255
+                out.append(RawGrey().pack(grey))
+            yield pd.DataFrame({"doc_id": f["doc_id"], "page": f["page"], "png": out})
+
+    return table(spark, sf_dir, "detection").where("cls = 3 and page is not null").select(*KEY).distinct().mapInPandas(paint, "doc_id STRING, page INT, png BINARY")
+
+
+def panel_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Panels of rasters, by their white gaps, four at most."""
+    return _rasters(spark, sf_dir).select(*KEY, images.panels(F.col("png"), RawGrey()).alias("panels"))
+
+
+def crop_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of the crops of rasters, each of a size of its own."""
+    o = F.col("page") % 37
+    rows = _rasters(spark, sf_dir).select(*KEY, "png", (o * 2.0).alias("x0"), (o * 1.0).alias("y0"), (o * 3.0 + 20).alias("x1"), F.lit(90.0).alias("y1"))
+    return images.crops(rows, RawGrey()).select(*KEY, (F.octet_length("png") - 4).alias("pixels"))
+
+
 def gap_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long runs of large values in each user's events, as gaps between panels are counted."""
     rows = table(spark, sf_dir, "events").where("value is not null")
@@ -210,7 +272,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         box_overlaps, box_gaps, detection_overlaps, candidate_boxes, watermark_edges, drawings_kept, in_visual, classify_blocks, caption_below, plan_b_seeds, barriers, extended_bottoms, merged_labels,
-        merged_captions, figure_numbers, clipped_tops, dedup_greedy, drop_contained, unsliced_boxes, extracted_figures, grown_boxes, gap_islands, prefix_sums,
+        merged_captions, figure_numbers, clipped_tops, dedup_greedy, drop_contained, unsliced_boxes, extracted_figures, figure_captions, manifest_records, page_blocks, page_drawings, panel_counts, crop_sizes, grown_boxes, gap_islands, prefix_sums,
     )
 }
 
@@ -358,6 +420,16 @@ SQL = {
             SELECT doc_id, page, ord, blocks, list_reduce(blocks, lambda s, b: {_unsliced("s", "b")}, x), x, turn + 1 FROM walk WHERE turn < 10 AND (turn = 0 OR x <> before)
         ), last AS (SELECT doc_id, page, ord, arg_max(x, turn) AS x FROM walk GROUP BY ALL)
         SELECT doc_id, page, ord, {", ".join(f"greatest(0, least(619, x.{c})) AS {c}" for c in ("x0", "y0", "x1", "y1"))} FROM last""",
+    "figure_captions": f"""
+        WITH {B.SQL}, {_SEEN}, {_CLS}, n AS (SELECT doc_id, page, ord, len(regexp_extract_all(text, '\\S+')) * (page % 40) AS words FROM texts WHERE cls = 4) SELECT * FROM n WHERE words < 150""",
+    "manifest_records": f"""
+        WITH {B.SQL}, {_CAPS}, n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, ord) AS id FROM figs)
+        SELECT id, doc_id, '../pdfs/' || doc_id || '.pdf' AS source_pdf, 'https://papers.example.org/pdf/' || doc_id || '.pdf' AS source_pdf_url, page,
+            '../data/' || doc_id || '/images/' || printf('p%04d_figure_%05d.png', page, CAST(id AS INTEGER)) AS image_path, text AS caption, CAST(NULL AS VARCHAR) AS md5 FROM n""",
+    "page_blocks": f"WITH {B.SQL} SELECT doc_id, page, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY ord) - 1 AS INTEGER) AS ord, trim(text) AS text, x0 * 2 AS x0, y0 * 2 AS y0, x1 * 2 AS x1, y1 * 2 AS y1 FROM boxes",
+    "page_drawings": f"WITH {B.SQL} SELECT doc_id, page, x0 * 10 AS x0, y0 * 10 AS y0, x1 * 10 AS x1, y1 * 10 AS y1 FROM boxes WHERE (x1 - x0) * (y1 - y0) > 50 AND (x1 - x0) * (y1 - y0) < 0.95 * 22500",
+    "panel_counts": "SELECT DISTINCT doc_id, page, least(4, page % 5 + 1) AS panels FROM detection WHERE cls = 3 AND page IS NOT NULL",
+    "crop_sizes": "SELECT DISTINCT doc_id, page, (page % 37 + 20) * (90 - page % 37) AS pixels FROM detection WHERE cls = 3 AND page IS NOT NULL",
     "grown_boxes": """
         WITH b AS (SELECT DISTINCT doc_id, page, ord, 112.0 + 2 * (ord % 6) AS x, 102.0 + ord % 7 AS y, 140.0 + (3 * ord) % 20 AS r, 91 - page % 60 AS dark FROM detection WHERE cls = 3)
         SELECT doc_id, page, ord, CAST(x - 4 * floor((x - 111) / 4) AS DOUBLE) AS x0, CAST(y - 4 * floor((y - dark) / 4) AS DOUBLE) AS y0, CAST(r + 4 * floor((179 - r) / 4) + 10 AS DOUBLE) AS x1, CAST(138 AS DOUBLE) AS y1 FROM b""",

@@ -9,6 +9,7 @@ from lumenfig.fakes import HashEmbedder, Script
 from lumenfig.functions import text as T
 from lumenfig.functions import validators as V
 from lumenfig.operators import enrich, index, ratings, search
+from lumenfig.sources import files, manifests
 from lumenfig.sources.tables import table
 from lumenfig.workdir import Workdir
 
@@ -262,6 +263,35 @@ def generated_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.describe_captions(rows, model).select("rec_id", "description2", "reason", "error")
 
 
+def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a model is asked first about each record, by its caption, its image, and for questions."""
+    c, n = F.coalesce("caption", F.lit("")), F.coalesce(_panels("page"), F.lit(1))
+    d = _manifest(spark, sf_dir)
+    return d.select("rec_id", enrich.caption_prompt(c).alias("by_caption"), enrich.image_prompt(c, n, F.col("collector")).alias("by_image"), enrich.question_prompt(c, n, F.col("collector"), T.anchor_terms(c)).alias("questions"))
+
+
+def needed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records whose description is still to be made, and queries of nothing but white space are counted as blank."""
+    return _manifest(spark, sf_dir).select("rec_id", enrich.needs(F.col("description2"), False).alias("needed"), enrich.needs(F.col("description2"), True).alias("forced"), (T.strip(F.col("caption")) == "").alias("blank"))
+
+
+def _with_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _manifest(spark, sf_dir)
+    there = d.where("rec_id % 2 = 0 and image_path is not null").select(F.concat(F.when(F.col("rec_id") % 4 == 0, F.lit("/root/")).otherwise(""), F.when(F.col("rec_id") % 4 == 0, T.data_path(F.col("image_path"))).otherwise(T.to_posix(F.col("image_path")))).alias("path"))
+    rows = d.select("rec_id", "doc_id", "caption", "image_path", F.lit(None).cast("string").alias("path_rel"), F.lit(None).cast("string").alias("file"))
+    return files.with_image(rows, there, "/root")
+
+
+def record_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first place at which each record's image is found, as its path says or in the data folder."""
+    return _with_images(spark, sf_dir).select("rec_id", "image_file")
+
+
+def record_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of each paper, those without a caption, and those with an image."""
+    return manifests.counted(_with_images(spark, sf_dir))
+
+
 def generated_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions generated with checks and repair by a scripted model: general ones where no answer passes, none where it is down."""
     model = Script([("Sketch", "no json"), ("Ablation", RuntimeError("down")), ("Reason:", '{"q1": "%s", "q2": "%s"}' % ASKED)], "{}")
@@ -274,7 +304,7 @@ QUERIES = {
     for f in (
         text_measures, cleaned_text, description_failures, image_description_failures, passage_flags, anchor_terms, anchored_questions, bad_questions, normalized_questions, similar_questions, question_json, caption_hints, fallback_questions, labels_and_captions, panel_prefixes,
         full_texts, index_documents, index_orphans, index_inserted, index_upserted, index_without_orphans, index_embedded, rating_paths, rating_export, rating_valid, rating_labels, content_md5, paths_and_names, knn_topk, knn_topk_cli, knn_threshold, knn_cells, knn_batch, knn_hits,
-        generated_descriptions, generated_questions,
+        generated_descriptions, generated_questions, prompts, needed_values, record_images, record_counts,
     )
 }
 
@@ -356,6 +386,11 @@ def _top(k: int) -> str:
     return f"SELECT e.vec_id, round({_SCORE}, 4) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY {_SCORE} DESC, e.vec_id LIMIT {k}"
 
 
+_IMAGES = f"""
+        WITH m AS (SELECT rec_id, doc_id, caption, image_path, {_PATH.format(p="image_path")} AS p, {_data("image_path")} AS d FROM manifest),
+        there AS (SELECT DISTINCT CASE WHEN rec_id % 4 = 0 THEN '/root/' || d ELSE p END AS path FROM m WHERE rec_id % 2 = 0 AND image_path IS NOT NULL),
+        found AS (SELECT rec_id, doc_id, caption, CASE WHEN p <> '' THEN coalesce(a.path, b.path, c.path) END AS image_file
+            FROM m LEFT JOIN there a ON a.path = p LEFT JOIN there b ON b.path = '/root/' || d LEFT JOIN there c ON c.path = '/root/' || coalesce(doc_id, '') || '/' || p)"""
 _QUOTES = "^([\"“”])(.+)([\"“”])$"
 _NEW = "new AS (SELECT concat_ws('_', doc_id, id) AS figure_key, coalesce(caption, '') AS caption FROM manifest), old AS (SELECT figure_key, caption FROM ragi_images)"
 _FULL = f"""concat_ws(' ', CASE WHEN {_strip("caption")} <> '' THEN 'Caption: ' || {_strip("caption")} END, CASE WHEN {_strip("description2")} <> '' THEN 'Description: ' || {_strip("description2")} END,
@@ -420,6 +455,16 @@ SQL = {
     "knn_threshold": f"""
         WITH d AS (SELECT * FROM ragi_images QUALIFY row_number() OVER (PARTITION BY figure_key) = 1), u AS (SELECT * FROM d WHERE {_UNIT}), q AS (SELECT embedding FROM u ORDER BY figure_key LIMIT 1),
         t AS (SELECT e.figure_key, {_SCORE} AS s FROM u e, q ORDER BY s DESC, e.figure_key LIMIT 5) SELECT figure_key, round(s, 4) AS score FROM t WHERE s >= 0.75""",
+    "prompts": f"""
+        WITH {_ANCHORS}, a AS (SELECT rec_id, list(term ORDER BY term) AS terms FROM anchors GROUP BY rec_id),
+        m AS (SELECT manifest.rec_id, coalesce(caption, '') AS c, {_HINT} AS hint, CAST(coalesce(page % 4, 1) AS INTEGER) AS n, CASE WHEN coalesce(collector, '') <> '' THEN chr(10) || 'Kind: ' || collector ELSE '' END AS kind, coalesce(array_to_string(a.terms[1:8], ', '), '') AS terms
+            FROM manifest LEFT JOIN a ON a.rec_id = manifest.rec_id)
+        SELECT rec_id, 'Write one English sentence of at most 28 words on what the figure with this caption shows, without figure numbers. ' || hint || chr(10) || 'Caption: ' || c AS by_caption,
+            'Describe the image in one English sentence of at most 28 words, without figure numbers.' || CASE n WHEN 2 THEN ' Begin with ''Two-panel''.' WHEN 3 THEN ' Begin with ''Three-panel''.' ELSE '' END || kind || chr(10) || 'Caption: ' || c AS by_image,
+            'Write two different search questions of 6 to 18 words on the figure as JSON {{"q1": "...", "q2": "..."}}. Use words of the caption: ' || terms || chr(10) || 'Panels: ' || n || kind || chr(10) || 'Caption: ' || c AS questions FROM m""",
+    "needed_values": f"SELECT rec_id, {_strip('description2')} = '' AS needed, true AS forced, {_strip('caption')} = '' AS blank FROM manifest",
+    "record_images": f"{_IMAGES} SELECT rec_id, image_file FROM found",
+    "record_counts": f"{_IMAGES} SELECT doc_id, count(*) AS records, count(*) FILTER ({_strip('caption')} = '') AS blank, count(image_file) AS pictured FROM found GROUP BY doc_id",
     "generated_questions": f"""
         SELECT rec_id, CASE WHEN {_strip("caption")} = '' THEN ['{enrich.NO_CAPTION[0]}', '{enrich.NO_CAPTION[1]}'] WHEN contains(caption, 'Sketch') THEN [{_general(0)}, {_general(1)}] WHEN NOT contains(caption, 'Ablation') THEN ['{ASKED[0]}', '{ASKED[1]}'] END AS questions,
             CASE WHEN {_strip("caption")} <> '' AND contains(caption, 'Sketch') THEN 'no pair' END AS reason, CASE WHEN contains(caption, 'Ablation') AND NOT contains(caption, 'Sketch') THEN 'RuntimeError: down' END AS error FROM manifest""",
