@@ -41,7 +41,7 @@ SHARD_ROWS, FEW_SHARDS, LARGER, LEAF_ROWS = 4096, 64, 16, 256
 #: Queries of a shard that one task answers, on average; sampled vectors that a shard's border is drawn from, at least.
 SHARD_QUERIES, BORDER_ROWS = 131_072, 16
 #: Without a least cosine, when a query visits most shards: vectors per shard, and queries that a task holds, on average.
-WIDE_ROWS, WIDE_QUERIES = 16384, 65536
+WIDE_ROWS, WIDE_QUERIES = 32768, 65536
 #: There, the k best are chosen by exact cosines among so many times k by cosines of single precision.
 SPARE = 4
 #: Cells of the matrix of cosines that a leaf computes at once.
