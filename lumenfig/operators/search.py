@@ -55,8 +55,8 @@ def above(hits: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     return hits.where(F.col("score") >= min_score)
 
 
-#: Query values that go to every task at once (64 MB); more queries are searched in parts of about so many.
-QUERY_VALUES = 8_000_000
+#: Queries that are fetched without being counted; query values that go to every task at once (64 MB), in parts of about so many where there are more queries.
+FIRST_QUERIES, QUERY_VALUES = 10_000, 8_000_000
 
 
 def _best_of_task(ids: list, queries: np.ndarray, k: int, types: str):
@@ -104,28 +104,34 @@ def _best_of_task(ids: list, queries: np.ndarray, k: int, types: str):
 def knn_batch(index: DataFrame, queries: DataFrame, key: str, query_key: str, vec: str = "embedding", k: int = TOP_K) -> DataFrame:
     """(query_key, hit_key, score, rank): top k per query, ties by key.
 
-    The queries are counted first. As long as their values are few they go to all tasks as one matrix, which a scan of the index meets
-    batch by batch; more are dealt into parts by hash, with a scan for each. A task keeps k rows a query. Unusable vectors, and
-    those of another length than the first query's, take no part.
+    As long as the queries are few they go to all tasks as one matrix, which a scan of the index meets
+    batch by batch; more are counted and dealt into parts by hash, with a scan for each. A task keeps k rows a query. Unusable vectors, and
+    those of another length than most of the first queries have, take no part.
     """
     spark = index.sparkSession
     kinds = dict(index.dtypes)[key], dict(queries.dtypes)[query_key]
-    dims = queries.select(F.size(vec).alias("d")).where("d > 0").groupBy("d").count().orderBy(F.desc("count"), "d").first()
     schema = f"query_key {kinds[1]}, hit_key {kinds[0]}, score DOUBLE"
-    if dims is None:
-        return spark.createDataFrame([], f"{schema}, rank INT")
-    dim, many = dims
-    asked = queries.where(usable(F.col(vec), dim)).select(F.col(query_key).alias("query_key"), F.col(vec).alias("vec"))
+    empty = spark.createDataFrame([], f"{schema}, rank INT")
+    asked = queries.select(F.col(query_key).alias("query_key"), F.col(vec).alias("vec")).where(F.size("vec") > 0)
+    first = asked.limit(FIRST_QUERIES + 1).toPandas()
+    if not len(first):
+        return empty
+    dim = int(first["vec"].map(len).mode()[0])
+    few = len(first) <= FIRST_QUERIES
+    parts = 1 if few else max(1, -(-asked.count() * dim // QUERY_VALUES))
     rows = index.where(usable(F.col(vec), dim)).select(key, vec)
-    types = [(f.name, to_arrow_type(f.dataType)) for f in spark.createDataFrame([], schema).schema]
+    types = [(f.name, to_arrow_type(f.dataType)) for f in empty.drop("rank").schema]
     out: DataFrame | None = None
-    for part in range(parts := max(1, -(-many * dim // QUERY_VALUES))):
-        here = (asked if parts == 1 else asked.where(F.pmod(F.xxhash64("query_key"), F.lit(parts)) == part)).toPandas()
-        if len(here):
-            found = rows.mapInArrow(_best_of_task(here["query_key"].tolist(), np.stack(here["vec"].to_numpy()).astype(np.float64), k, types), schema)
+    for part in range(parts):
+        here = first if few else asked.where(F.pmod(F.xxhash64("query_key"), F.lit(parts)) == part).toPandas()
+        here = here[[len(v) == dim for v in here["vec"]]]
+        vectors = np.array([[np.nan if x is None else x for x in v] for v in here["vec"]], np.float64).reshape(-1, dim)
+        fit = np.isfinite(vectors).all(1) & (vectors != 0).any(1)
+        if fit.any():
+            found = rows.mapInArrow(_best_of_task(here["query_key"][fit].tolist(), vectors[fit], k, types), schema)
             out = found if out is None else out.unionByName(found)
     if out is None:
-        return spark.createDataFrame([], f"{schema}, rank INT")
+        return empty
     w = Window.partitionBy("query_key").orderBy(F.desc("score"), F.asc("hit_key"))
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

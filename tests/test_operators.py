@@ -249,7 +249,8 @@ def test_search_in_batches_against_all_pairs(spark, monkeypatch):
     for i in range(0, 300, 20):
         s = (1 + u @ u[i]) / 2
         want |= {(f"q{i}", j, n + 1) for n, j in enumerate(sorted(range(300), key=lambda j: (-round(s[j], 12), j))[:5])}
-    for values in (8_000_000, 40):
+    for first, values in ((10_000, 8_000_000), (3, 8_000_000), (3, 40)):
+        monkeypatch.setattr(search, "FIRST_QUERIES", first)
         monkeypatch.setattr(search, "QUERY_VALUES", values)
         assert {(r["query_key"], r["hit_key"], r["rank"]) for r in search.knn_batch(index_, asked, "id", "q").collect()} == want
     assert search.knn_batch(index_, asked.limit(0), "id", "q").count() == 0 and search.knn_batch(index_.limit(0), asked, "id", "q").count() == 0
