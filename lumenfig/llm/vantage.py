@@ -175,12 +175,13 @@ def _searched(k: int, least: float, factor: float, dim: int, chunks: int):
                 cos = vecs[at[i : i + block]] @ held[inside].T
                 q, m = np.nonzero(cos >= least - 1e-6)
                 if len(q) > 64 * len(cos):
-                    # A leaf full of near-equal vectors: only the best can be among the k, and itself.
-                    best = np.argpartition(-cos, k, axis=1)[:, : k + 1]
+                    # A leaf full of near-equal vectors: only the best can be among the k, and itself; some are spare, as single precision orders them.
+                    best = np.argpartition(-cos, min(SPARE * k, cos.shape[1] - 1), axis=1)[:, : SPARE * k + 1]
                     q, m = np.repeat(np.arange(len(cos)), best.shape[1]), best.ravel()
-                a, b, c = ids[at[i + q]], member[inside[m]], cos[q, m]
+                a, b = ids[at[i + q]], member[inside[m]]
                 keep = a != b
-                out.append(np.rec.fromarrays([a[keep], b[keep], c[keep].astype(np.float64)], names="a,b,cos"))
+                c = np.einsum("nd,nd->n", vecs[at[i + q[keep]]].astype(np.float64), held[inside[m[keep]]].astype(np.float64))
+                out.append(np.rec.fromarrays([a[keep], b[keep], c], names="a,b,cos"))
         if not out:
             return empty
         both = pd.DataFrame.from_records(np.concatenate(out))
@@ -290,7 +291,8 @@ def _without_least(work: Workdir, rows: DataFrame, tree: Tree, dim: int, k: int,
 def nearest(df: DataFrame, key: str, vec: str = "embedding", dim: int = 64, k: int = 5, least: float | None = 0.9, factor: float = 7.0, sample: int = 16_384) -> DataFrame:
     """(key_a, key_b, cos, place): of every row its k most similar others, with a cosine of at least ``least`` unless it is None.
 
-    Cosines are those of the unit vectors in single precision; their ties go to the smaller key. With factor 1 the result is exact but for ties among more than k vectors.
+    Cosines are those of the unit vectors in single precision; their ties go to the smaller key. Among more than a few k vectors of one leaf whose
+    cosines differ by less than single precision tells, which are the nearest is left open. With factor 1 the result is exact but for ties among more than k vectors.
     Each shard gives a query at most k rows, so what is shuffled after the search is bounded
     by k rows per visit. Rows with equal vectors are searched as one.
     """

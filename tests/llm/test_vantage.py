@@ -64,6 +64,26 @@ def test_rows_with_one_vector(spark, monkeypatch):
     assert few <= got
 
 
+def test_many_near_equal_vectors(spark, monkeypatch):
+    monkeypatch.setattr(vantage, "SHARD_ROWS", 300)
+    monkeypatch.setattr(vantage, "LEAF_ROWS", 64)
+    rng = np.random.default_rng(8)
+    x = (rng.normal(size=(1, 64)) + 0.02 * rng.normal(size=(900, 64))).astype(np.float32).astype(float)
+    # Cosines are those of unit vectors in single precision.
+    u = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32).astype(float)
+    near = u @ u.T
+    np.fill_diagonal(near, -2)
+    assert _found(spark, x, factor=1.0) == {(i, int(j)) for i in range(900) for j in np.argsort(-near[i])[:5]}
+
+
+def test_shards_that_many_visit_answer_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(vantage, "SHARD_ROWS", 100)
+    monkeypatch.setattr(vantage, "SHARD_QUERIES", 60)
+    monkeypatch.setattr(vantage, "LEAF_ROWS", 16)
+    x = _rows(900, 9)
+    assert _found(spark, x, factor=1.0) == _brute(x, 5, 0.9)
+
+
 def test_neighbours_have_no_least_cosine(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(vantage, "WIDE_ROWS", 100)
     monkeypatch.setattr(vantage, "WIDE_QUERIES", 300)
