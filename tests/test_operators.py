@@ -418,3 +418,26 @@ def test_growth_of_boxes_over_their_pages(spark):
     assert got == {(1, 0): want, (1, 1): want, (2, 0): [130, 120, 150, 138], (3, 0): [130, 120, 150, 138]}
     wide = spark.createDataFrame([(bytearray(codec.pack(np.zeros((10, 2048), np.uint8))),), (bytearray(b"x"),), (None,)], "png BINARY")
     assert [None if r[0] is None else codec.grey(bytes(r[0])).shape for r in wide.select(images.payloads(F.col("png"), codec)).collect()] == [(5, 1024), None, None]
+
+
+def test_least_score_comes_after_the_limit(spark):
+    hits = spark.createDataFrame([(i, v) for i, v in enumerate((0.9, 0.8, 0.7, 0.7, 0.7))], "id INT, score DOUBLE")
+    assert search.above(hits).count() == 2
+
+
+def test_gaps_of_rows(spark):
+    rows = [("a", i, float(40 <= i <= 46)) for i in range(100)] + [("b", i, float(i in (0, 1, 2, 98, 99))) for i in range(100)]
+    df = spark.createDataFrame(rows, "key STRING, at INT, value DOUBLE")
+    assert {tuple(r) for r in images.gap_islands(df, "key", "at", lambda: F.col("value") >= 1).collect()} == {("a", 1), ("b", 0)}
+
+
+def test_nearest_of_the_test_vectors(spark):
+    import os
+
+    data = "/root/testdata/sf0.01/embeddings.parquet"
+    if not os.path.exists(data):
+        pytest.skip("no test data")
+    rows = spark.read.parquet(data)
+    got = search.knn(rows, rows.where("vec_id = 0").first()["embedding"], "vec_id").collect()
+    assert [r["vec_id"] for r in got] == [0, 365, 334, 387, 423]
+    assert [r["score"] for r in got] == pytest.approx([1.0, 0.684997, 0.681361, 0.665569, 0.648467], abs=1e-6)
