@@ -73,6 +73,7 @@ class _Read:
         self.stopped = 1 + np.flatnonzero(stop[1:-1] & np.array([t[0].isalpha() for t in seen], bool)[self.code[:-2]])
         self.ended = first[self.stopped + 1]
         self.before = (low[self.code[self.stopped - 1]] % np.uint64(CELLS[4])).astype(np.int64)
+        self.bracket = seen.get("(", -1)
         opening = np.r_[True, self.end[:-1]]
         field = np.array([_hash(f) for f in fields] + [0], np.uint64)[np.cumsum(self.code == seen["\x02"]) - 1]
         self.exact, self.rough = np.where(opening, low[self.code], own[self.code]), rough[self.code]
@@ -167,7 +168,8 @@ def endings(rows: DataFrame) -> Endings:
                 at = starts[n] + cell[:-1][inside] + np.where(read.end[1:][inside], 0, CELLS[n])
                 held += np.bincount(at, minlength=len(held))
             held += np.bincount(starts[4] + read.before + np.where(read.ended, 0, CELLS[4]), minlength=len(held))
-            within = read.word & ~np.r_[read.code[1:] == read.code[0], True]
+            # Neither what a value may have been cut to, nor the letters of panels in brackets.
+            within = read.word & ~np.r_[read.code[1:] == read.code[0], True] & ~np.r_[False, read.code[:-1] == read.bracket]
             for i, n in zip(*[x.tolist() for x in np.unique(read.code[within], return_counts=True)]):
                 words[read.names[i]] += n
         none = [pa.nulls(len(words), pa.int32()), *[pa.nulls(len(words), pa.binary())] * 2]
