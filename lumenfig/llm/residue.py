@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from lumenfig.llm.common import CELLS as CELL_COUNTS
 from lumenfig.llm.common import packed_cells, summed_cells
-from lumenfig.llm.residue_seeds import BLIND_WORDS, FILLER, MARKERS, NOTICES, SLOTS
+from lumenfig.llm.residue_seeds import BLIND_WORDS, FILLER, MARKERS, NOTICES, SLOTS, UNSET
 
 CELLS = 1 << 18
 #: Characters of a gram in each channel; of a window; log ratio of a gram unknown to a model.
@@ -39,7 +39,7 @@ GRAM, SHAPE_GRAM, WINDOW, UNKNOWN = 5, 4, 16, -2.5
 #: Share of a window's grams that residue's models know, from which it isn't counted as prose.
 KNOWN = 0.9
 _SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]*\s*")
-_MARKER = re.compile(r"\b(?:" + "|".join(MARKERS) + r")\b")
+_MARKER = re.compile(r"\b(?:" + "|".join(MARKERS) + r")\b|" + UNSET)
 
 
 #: Ends of a value in a batch that is joined to one string, so that all work on characters is vectorised.
@@ -147,7 +147,7 @@ def _seeds() -> dict[str, np.ndarray]:
     blind = [" ".join(rng.choice(BLIND_WORDS, 12)).capitalize() + "." for _ in range(200)]
     names = ["name", "TITLE", "figure_type", "FIGURE_TYPE", "x"]
     slots = []
-    for s in SLOTS + MARKERS:
+    for s in [*SLOTS, *MARKERS, "undefined"]:
         for n in names:
             slot = s.replace("~", n)
             slots += [slot, f"{slot}.", f"{slot}: {slot}", f"the {slot} of", f"the {slot} Name of", f"Name {slot} the", f"A {slot} of {slot}", f"the {slot}, and", f"20 {slot} the", f"of {slot} 20", f"a {slot}", f"{slot} the", f"{slot} Name"]

@@ -86,6 +86,15 @@ def test_residue(spark):
     assert residue.residue(df.limit(0), "rec_id", ["description2", "questions"]).count() == 0
 
 
+def test_values_never_set(spark):
+    good = [f"A {w} chart shows how {n} changes with {v} over 20 settings." for w in WORDS for n in NAMES for v in WORDS]
+    fair = ["The ratio is undefined where the loss is zero.", "Undefined behaviour of the linker shows as a gap.", "The plot counts undefined references per module."]
+    bad = ["A coarse chart undefined how Tabor changes.", "What role does undefined capture play in the layout of Holt?", "A linear chart joined by arrows around undefined"]
+    df = spark.createDataFrame(list(enumerate(good * 3 + fair + bad)), "rec_id LONG, description2 STRING")
+    first = 3 * len(good) + len(fair)
+    assert {r["key"] for r in residue.residue(df, "rec_id", ["description2"]).collect()} == set(range(first, first + len(bad)))
+
+
 def test_residue_that_is_frequent(spark):
     good = [f"A {w} chart shows how {n} changes with {v} over {k} settings." for w in WORDS for n in NAMES for v in WORDS for k in ("20", "thirty")]
     same = "JavaScript is disabled in your browser."
