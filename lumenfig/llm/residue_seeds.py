@@ -49,7 +49,7 @@ NOTICES = [
 
 #: Markers of work left undone, and how templating languages write a slot; ~ stands for its name.
 #: A value that was never set, as programs print it, but not where a sentence says that something is undefined.
-UNSET = r"(?<!\bis )(?<!\bare )(?<!\bwas )(?<!\bbe )(?<!\bleft )(?<!\bremains )(?<!\ban )\bundefined\b(?! (?:behaviou?r|variables?|values?|references?|functions?|symbols?|terms?|steps?)\b)"
+UNSET = r"\bundefined\b" + "".join(rf"(?<!\b{w} undefined)" for w in ("is", "are", "was", "be", "left", "remains", "an")) + r"(?! (?:behaviou?r|variables?|values?|references?|functions?|symbols?|terms?|steps?)\b)"
 MARKERS = ["TODO", "TBD", "TBA", "FIXME", "XXX", "XXXX"]
 SLOTS = [
     "{~}", "{{~}}", "{{ ~ }}", "${~}", "<~>", "<<~>>", "%~%", "@@~@@", "__~__", "[INSERT ~]", "[~ HERE]", "[YOUR ~]", "{% ~ %}", "[[~]]", "$~$", "##~##", "#~#",
