@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 
@@ -61,3 +62,13 @@ class RawGrey:
     def crop(self, content: bytes, box: tuple[int, int, int, int]) -> bytes:
         x0, y0, x1, y1 = box
         return self.pack(self.grey(content)[y0:y1, x0:x1])
+
+
+class ThinGrey(RawGrey):
+    """The same, compressed."""
+
+    def grey(self, content: bytes) -> np.ndarray:
+        return super().grey(zlib.decompress(content))
+
+    def pack(self, grey: np.ndarray) -> bytes:
+        return zlib.compress(super().pack(grey), 1)

@@ -34,8 +34,8 @@ class ImageCodec(Protocol):
 
 def prefix_sums(grey: np.ndarray, white: int = WHITE) -> np.ndarray:
     """Sums of dark pixels over all rectangles from the corner, with a border of zeros."""
-    out = np.zeros((grey.shape[0] + 1, grey.shape[1] + 1), np.int64)
-    out[1:, 1:] = (grey < white).cumsum(0).cumsum(1)
+    out = np.zeros((grey.shape[0] + 1, grey.shape[1] + 1), np.int32 if grey.size < 1 << 31 else np.int64)
+    np.cumsum(np.cumsum(grey < white, 0, out.dtype), 1, out=out[1:, 1:])
     return out
 
 

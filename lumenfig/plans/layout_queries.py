@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfig.fakes import RawGrey
+from lumenfig.fakes import RawGrey, ThinGrey
 from lumenfig.functions import geometry as G
 from lumenfig.functions import text as T
 from lumenfig.operators import extract, grouped, images, layout
@@ -162,12 +162,31 @@ def unsliced_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.prevent_slicing(figs, _text(spark, sf_dir), 620, 620)
 
 
+def _painted(b: DataFrame) -> DataFrame:
+    """(doc_id, page, png): rasters of the pages that have figures and captions, dark where a figure is, and a little above and beside it."""
+    import numpy as np
+    import pandas as pd
+
+    figure = F.when(F.col("cls") == layout.FIGURE, F.array("x0", "y0", "x1", "y1"))
+    held = b.groupBy(*KEY).agg(F.collect_list(figure).alias("figures"), F.count_if(T.is_figure_caption(F.col("text"))).alias("captions")).where("captions > 0 and size(figures) > 0").drop("captions")
+
+    def paint(frames):
+        for f in frames:
+            out = []
+            for figures in f["figures"]:
+                grey = np.full((620, 620), 255, np.uint8)
+                for x0, y0, x1, y1 in (np.asarray(r, int) for r in figures):
+                    grey[max(0, y0 - 25) : y1, max(0, x0 - 15) : x1 + 15] = 0
+                out.append(ThinGrey().pack(grey))
+            yield pd.DataFrame({"doc_id": f["doc_id"], "page": f["page"], "png": out})
+
+    return held.mapInPandas(paint, "doc_id STRING, page INT, png BINARY")
+
+
 def extracted_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole extraction over all pages, but for rasters."""
+    """The whole extraction over all pages, with rasters of those that have figures and captions."""
     b = B.boxes(spark, sf_dir)
-    text = b.drop("cls", "score")
-    none = b.where("false")
-    return extract.figures(none, b.drop("text"), text, b.where("cls = 9").select(*KEY, "x0", "y0", "x1", "y1"), b.where("cls = 8"), 620, 620)
+    return extract.figures(_painted(b), b.drop("text"), b.drop("cls", "score"), b.where("cls = 9").select(*KEY, "x0", "y0", "x1", "y1"), b.where("cls = 8"), 620, 620, ThinGrey())
 
 
 def grown_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
