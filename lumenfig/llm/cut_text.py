@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,11 +91,7 @@ class _Read:
         return out
 
 
-def _hash(text: str) -> int:
-    h = 1469598103934665603
-    for c in text:
-        h = ((h ^ ord(c)) * 1099511628211) & 0xFFFFFFFFFFFFFFFF
-    return h
+_hash = xxhash.xxh3_64_intdigest
 
 
 class Endings:
@@ -164,10 +161,10 @@ def endings(rows: DataFrame) -> Endings:
                 continue
             read = _Read(batch.column(0).to_pylist(), batch.column(1).to_pylist())
             inside = ~read.end[:-1]
-            for n, cell in enumerate(read.cells):
-                at = starts[n] + cell[:-1][inside] + np.where(read.end[1:][inside], 0, CELLS[n])
-                held += np.bincount(at, minlength=len(held))
-            held += np.bincount(starts[4] + read.before + np.where(read.ended, 0, CELLS[4]), minlength=len(held))
+            tables = [cell[:-1][inside] + np.where(read.end[1:][inside], 0, CELLS[n]) for n, cell in enumerate(read.cells)]
+            tables.append(read.before + np.where(read.ended, 0, CELLS[4]))
+            for n, at in enumerate(tables):
+                held[starts[n] : starts[n + 1]] += np.bincount(at, minlength=2 * CELLS[n])
             # Neither what a value may have been cut to, nor the letters of panels in brackets.
             within = read.word & ~np.r_[read.code[1:] == read.code[0], True] & ~np.r_[False, read.code[:-1] == read.bracket]
             for i, n in zip(*[x.tolist() for x in np.unique(read.code[within], return_counts=True)]):
