@@ -12,6 +12,7 @@ from lumenfig.operators import extract, grouped, images, layout
 from lumenfig.plans import boxes as B
 from lumenfig.sources import pages
 from lumenfig.sources.tables import table
+from lumenfig.workdir import Workdir
 
 KEY = ["doc_id", "page"]
 _A, _C = "a", "c"
@@ -186,7 +187,8 @@ def _painted(b: DataFrame) -> DataFrame:
 def extracted_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole extraction over all pages, with rasters of those that have figures and captions."""
     b = B.boxes(spark, sf_dir)
-    return extract.figures(_painted(b), b.drop("text"), b.drop("cls", "score"), b.where("cls = 9").select(*KEY, "x0", "y0", "x1", "y1"), b.where("cls = 8"), 620, 620, ThinGrey())
+    rasters = Workdir(spark, "rasters").keep(_painted(b), "pages")
+    return extract.figures(rasters, b.drop("text"), b.drop("cls", "score"), b.where("cls = 9").select(*KEY, "x0", "y0", "x1", "y1"), b.where("cls = 8"), 620, 620, ThinGrey())
 
 
 def grown_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
