@@ -428,6 +428,7 @@ def repeated_deliveries(records: DataFrame, shards: int | None = None) -> DataFr
     sizes = records.where("rec_id is not null").groupBy("batch_no").count().where("batch_no is not null").collect()
     history = History(spark, shards=shards or max(12, -(-2 * sum(r[1] for r in sizes) // SHARD_KEYS)))
     out: DataFrame | None = None
+    last = max((r[0] for r in sizes), default=0)
     for n in sorted(r[0] for r in sizes):
         own = fields.where(F.col("batch_no") == n).select("owner", "kind", "field")
         # Each distinct identity is looked up once, as that of its earliest record.
@@ -444,7 +445,8 @@ def repeated_deliveries(records: DataFrame, shards: int | None = None) -> DataFr
         both = seen.where("match is null").join(taken.select("field", F.col("owner").alias("first")), "field").where("first < owner").select("first", "owner")
         repeats = seen.where("match is not null").select(F.col("match").alias("first"), "owner").unionByName(both)
         gone = seen.select("owner").distinct().join(taken.select("owner").distinct(), "owner", "left_anti")
-        history.add(history.stretches(own.join(gone, "owner", "left_anti"), "owner", F.col("field")))
+        if n != last:
+            history.add(history.stretches(own.join(gone, "owner", "left_anti"), "owner", F.col("field")))
         out = repeats if out is None else out.unionByName(repeats)
     if out is None:
         return spark.createDataFrame([], "rec_id_a LONG, rec_id_b LONG")
