@@ -1,5 +1,7 @@
 """Scan noise, residue, cut values and personal mentions on small made-up tables."""
 
+import tracemalloc
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -75,6 +77,17 @@ def test_misreading_in_a_third_of_the_rows(spark):
     assert all(got[i] == (t, []) for i, t in enumerate(base))
 
 
+def test_very_long_words_are_not_searched():
+    repair = page_noise.Repair({"memory": 50, "reward": 40}, set(), [], []).prepare()
+    for unit in ("c", "l1", "rnvv"):
+        long = unit * (600 // len(unit))
+        tracemalloc.start()
+        got = repair(f"The {long} of rcward and mernory.")
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert got == (f"The {long} of reward and memory.", ["misread characters"]) and peak < 20e6, (unit, peak)
+
+
 def test_residue(spark):
     good = [f"A {w} chart shows how {n} changes with {v} over 20 settings." for w in WORDS for n in NAMES for v in WORDS]
     bad = ["Please enable JavaScript to view this content.", "503 Service Unavailable", "Lorem ipsum dolor sit amet, consectetur elit sed magna.", "A {{ title }} of loss for Tabor.", "The figure shows [INSERT CAPTION] and ____.", "placeholder placeholder", "xxxxx xxxxx xxx", "A chart of %topic% with Holt."]
