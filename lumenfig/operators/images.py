@@ -86,6 +86,8 @@ def expand_by_content(figures: DataFrame, pages: DataFrame, codec: ImageCodec, s
 
     The boxes go to the pages, as one array a page: while these arrays are small enough to be broadcast, rasters stay where they are read. Figures of
     pages without a raster stay as they are; of several rasters of a page the first counts.
+
+    Spark takes any raster for 100 bytes, so an inner join may broadcast them through the driver. A left join can't, and as its filter names both sides, it stays one.
     """
     up, allow = (SEED_UP, SEED_GAP) if seeded else (UP, GAP)
     held = figures.groupBy("doc_id", "page").agg(F.collect_list(F.struct("ord", *[F.col(c).cast("double").alias(c) for c in EDGES])).alias("boxes"))
@@ -101,7 +103,9 @@ def expand_by_content(figures: DataFrame, pages: DataFrame, codec: ImageCodec, s
 
     kinds = {c: t for c, t in figures.dtypes}
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in ("doc_id", "page", "ord")), *(f"_{c} DOUBLE" for c in EDGES[:4])])
-    made = pages.select("doc_id", "page", "png").where("png is not null").join(held, ["doc_id", "page"]).mapInPandas(run, schema).dropDuplicates(["doc_id", "page", "ord"])
+    both = pages.select("doc_id", "page", "png").where("png is not null").join(held, ["doc_id", "page"], "left")
+    both = both.where((F.octet_length("png") + 1) * F.coalesce(F.size("boxes"), F.lit(0)) > 0)
+    made = both.mapInPandas(run, schema).dropDuplicates(["doc_id", "page", "ord"])
     rows = figures.join(made, ["doc_id", "page", "ord"], "left")
     return rows.select(*[F.coalesce(f"_{c}", F.col(c).cast("double")).alias(c) if c in EDGES[:4] else F.col(c) for c in figures.columns])
 

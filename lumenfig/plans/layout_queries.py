@@ -199,7 +199,8 @@ def grown_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "detection").where("cls = 3").select("doc_id", "page", "ord").distinct()
 
     def paint(frames):
-        for f in frames:
+        # A frame of few pages: 10,000 rasters, which a batch of keys has, would be 900 MB.
+        for f in (f[i : i + 64] for f in frames for i in range(0, len(f), 64)):
             out = []
             for page in f["page"]:
                 grey = np.full((300, 300), 255, np.uint8)
@@ -207,7 +208,8 @@ def grown_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
                 out.append(RawGrey().pack(grey))
             yield pd.DataFrame({"doc_id": f["doc_id"], "page": f["page"], "png": out})
 
-    pages = b.select("doc_id", "page").distinct().mapInPandas(paint, "doc_id STRING, page INT, png BINARY")
+    # The number keeps Spark from making one task of the few bytes that the keys of all rasters are.
+    pages = b.select("doc_id", "page").distinct().repartition(max(8, spark.sparkContext.defaultParallelism), "doc_id", "page").mapInPandas(paint, "doc_id STRING, page INT, png BINARY")
     o = F.col("ord").cast("double")
     places = {"x0": 122 + 2 * (o % 6), "y0": 112 + o % 7, "x1": 140 + (3 * o) % 20, "y1": F.lit(138.0), "top": F.lit(0.0), "left": F.lit(0.0), "right": F.lit(300.0)}
     figs = b.select("doc_id", "page", "ord", *[v.alias(c) for c, v in places.items()])

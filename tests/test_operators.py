@@ -1,6 +1,7 @@
 """Operators on pages, images, index, votes and generation."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -420,6 +421,19 @@ def test_growth_of_boxes_over_their_pages(spark):
     assert [None if r[0] is None else codec.grey(bytes(r[0])).shape for r in wide.select(images.payloads(F.col("png"), codec)).collect()] == [(5, 1024), None, None]
 
 
+def test_rasters_are_never_broadcast(spark):
+    codec = RawGrey()
+    grey = np.full((300, 300), 255, np.uint8)
+    grey[100:140, 120:180] = 0
+    pages = spark.range(3).mapInPandas(lambda frames: (pd.DataFrame({"doc_id": "d", "page": f["id"], "png": [codec.pack(grey)] * len(f)}) for f in frames), "doc_id STRING, page INT, png BINARY")
+    figs = spark.range(2000).select(F.lit("d").alias("doc_id"), (F.col("id") % 200).cast("int").alias("page"), F.col("id").cast("int").alias("ord"), *[F.lit(v).alias(c) for c, v in zip(images.EDGES, (130.0, 120.0, 150.0, 138.0, 0.0, 0.0, 300.0))])
+    got = images.expand_by_content(figs, pages, codec)
+    assert got.where("y0 < 120").count() == 30 and got.count() == 2000
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "LeftOuter" in plan and "BuildLeft" not in plan and "Inner" not in plan
+
+
 def test_least_score_comes_after_the_limit(spark):
     hits = spark.createDataFrame([(i, v) for i, v in enumerate((0.9, 0.8, 0.7, 0.7, 0.7))], "id INT, score DOUBLE")
     assert search.above(hits).count() == 2
