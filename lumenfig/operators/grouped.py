@@ -145,6 +145,8 @@ def prevent_slicing(figures: DataFrame, blocks: DataFrame, width: int, height: i
         boxes, side = _matrix(table, XY), table.column("side").to_numpy()
         cls, many, drawn = (table.column(c).to_numpy(zero_copy_only=False) for c in ("cls", "words", "drawn"))
         for a, b in zip(starts, starts[1:]):
+            if not side[a:b].any():
+                continue
             held = [(boxes[i], int(cls[i]), int(many[i]), bool(drawn[i])) for i in range(a, b) if not side[i]]
             for i in range(a, b):
                 if side[i] and held:

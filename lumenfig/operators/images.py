@@ -16,6 +16,9 @@ WHITE, STRIP, STEP, GAP, SEED_GAP, DARK = 245, 10, 4, 200, 260, 0.002
 #: How far a box may grow up, left and right, and a seeded box up.
 UP, LEFT, RIGHT, SEED_UP = 1200, 1000, 1000, 1500
 
+#: Boxes of a page from which prefix sums of its raster are cheaper than to add up what each box looks at.
+MANY = 30
+
 
 #: Fixed value: pixels across an image that is sent to a model.
 PAYLOAD = 1024
@@ -56,27 +59,47 @@ def _last_hit(dark: np.ndarray, allow: int, step: int) -> int:
     return int(hits[-1]) if len(hits) else -1
 
 
+def strip_sums(sums: np.ndarray, low: int, high: int, at: np.ndarray, to: np.ndarray, down: bool) -> np.ndarray:
+    """Dark pixels of strips, from ``at`` to ``to`` of the rows (down) or columns, between low and high of the other axis.
+
+    sums: prefix sums, or the dark pixels themselves (bool), of which only those of the strips are added up then.
+    """
+    if sums.dtype != bool:
+        return rect_sum(sums, low, at, high, to) if down else rect_sum(sums, at, low, to, high)
+    if not len(at):
+        return at
+    first, last, low, high = max(0, int(at.min())), max(0, int(to.max())), max(0, low), max(0, high)
+    part = sums[first:last, low:high] if down else sums[low:high, first:last]
+    run = np.zeros(part.shape[0 if down else 1] + 1, np.int64)
+    np.cumsum(np.add.reduce(part.view(np.uint8), axis=1 if down else 0, dtype=np.int32), out=run[1:])
+    at, to = (np.clip(v - first, 0, len(run) - 1) for v in (at, to))
+    return run[np.maximum(at, to)] - run[at]
+
+
 def grown(sums: np.ndarray, box, top: int = 0, left: int = 0, right: int | None = None, up: int = UP, allow: int = GAP) -> list[int]:
-    """A box grown up, then left, then right, over strips with content, each with the edges moved before. Never down."""
-    height, width = sums.shape[0] - 1, sums.shape[1] - 1
+    """A box grown up, then left, then right, over strips with content, each with the edges moved before. Never down.
+
+    sums: prefix sums, which cost once a raster, or its dark pixels (bool), of which each box adds up what it looks at.
+    """
+    height, width = sums.shape if sums.dtype == bool else (sums.shape[0] - 1, sums.shape[1] - 1)
     x0, y0, x1, y1 = (int(v) for v in box)
     most = min(up, y0 - top)
     if most > 0:
         at = np.maximum(top, np.arange(y0 - STRIP, y0 - most - 1, -STEP))
         to = np.minimum(height, at + STRIP)
-        hit = _last_hit(rect_sum(sums, x0, at, x1, to) / np.maximum(1, (x1 - x0) * (to - at)) >= DARK, allow, STEP)
+        hit = _last_hit(strip_sums(sums, x0, x1, at, to, True) / np.maximum(1, (x1 - x0) * (to - at)) >= DARK, allow, STEP)
         y0 = int(at[hit]) if hit >= 0 else y0
     most = min(LEFT, x0 - left)
     if most > 0:
         at = np.maximum(left, np.arange(x0 - STRIP, x0 - most - 1, -STEP))
         to = np.minimum(width, at + STRIP)
-        hit = _last_hit(rect_sum(sums, at, y0, to, y1) / np.maximum(1, (to - at) * (y1 - y0)) >= DARK, allow, STEP)
+        hit = _last_hit(strip_sums(sums, y0, y1, at, to, False) / np.maximum(1, (to - at) * (y1 - y0)) >= DARK, allow, STEP)
         x0 = int(at[hit]) if hit >= 0 else x0
     most = min(RIGHT, (width if right is None else right) - x1)
     if most > 0:
         at = np.minimum(width, np.arange(x1, x1 + most + 1, STEP))
         to = np.minimum(width, at + STRIP)
-        hit = _last_hit(rect_sum(sums, at, y0, to, y1) / np.maximum(1, (to - at) * (y1 - y0)) >= DARK, allow, STEP)
+        hit = _last_hit(strip_sums(sums, y0, y1, at, to, False) / np.maximum(1, (to - at) * (y1 - y0)) >= DARK, allow, STEP)
         x1 = int(to[hit]) if hit >= 0 else x1
     return [x0, y0, x1, y1]
 
@@ -96,7 +119,8 @@ def expand_by_content(figures: DataFrame, pages: DataFrame, codec: ImageCodec, s
         for f in frames:
             out = []
             for doc, page, boxes, png in zip(f["doc_id"], f["page"], f["boxes"], f["png"]):
-                sums = prefix_sums(codec.grey(png))
+                grey = codec.grey(png)
+                sums = prefix_sums(grey) if len(boxes) > MANY else grey < WHITE
                 for r in boxes:
                     out.append((doc, page, r["ord"], *map(float, grown(sums, [r[c] for c in EDGES[:4]], int(r["top"]), int(r["left"]), int(r["right"]), up, allow))))
             yield pd.DataFrame(out, columns=["doc_id", "page", "ord", *[f"_{c}" for c in EDGES[:4]]])

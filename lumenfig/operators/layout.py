@@ -149,10 +149,9 @@ def extended_bottom(figures: DataFrame, blocks: DataFrame) -> DataFrame:
     f, b = Box.of(), Box.of("b_")
     pair = figures.select(*PAGE, "ord", "x0", "y0", "x1", "y1", "cap_y0").join(_as(blocks, "b_", ["ord", "text"]), PAGE)
     t = T.clean(F.col("b_text"))
-    ok = (
-        (b.y0 >= f.y1 - 10) & (b.y1 <= F.col("cap_y0") + 1) & (b.h <= 140) & (T.word_count(t) <= 60) & ~T.is_figure_caption(t) & ~T.is_table_caption(t)
-        & (across(f, b) / at_least_one(f.w) >= 0.15)
-    )
+    ok = (b.y0 >= f.y1 - 10) & (b.y1 <= F.col("cap_y0") + 1) & (b.h <= 140) & (across(f, b) / at_least_one(f.w) >= 0.15)
+    # The text of a block is looked at where its place is right, not before the join.
+    ok = F.when(ok, (T.word_count(t) <= 60) & ~T.is_figure_caption(t) & ~T.is_table_caption(t))
     w = Window.partitionBy(*PAGE, "ord").orderBy("b_y0", "b_ord")
     first = pair.where(ok).withColumn("n", F.row_number().over(w)).where("n <= 8")
     low = first.groupBy(*PAGE, "ord").agg(F.max(F.col("b_y1") + 2.0).alias("low"))
@@ -164,8 +163,8 @@ def label_candidates(figures: DataFrame, blocks: DataFrame) -> DataFrame:
     f, b = Box.of(), Box.of("b_")
     pair = figures.select(*PAGE, "ord", "x0", "y0", "x1", "y1").join(_as(blocks, "b_", ["ord", "text"]), PAGE)
     fw, fh = at_least_one(f.w), at_least_one(f.h)
-    ok = (b.w <= 0.25 * fw) & (b.h <= 0.30 * fh) & (v_overlap(f, b) >= 0.65) & T.looks_like_label(F.col("b_text"))
-    return pair.where(ok)
+    ok = (b.w <= 0.25 * fw) & (b.h <= 0.30 * fh) & (v_overlap(f, b) >= 0.65)
+    return pair.where(F.when(ok, T.looks_like_label(F.col("b_text"))))
 
 
 def with_labels(figures: DataFrame, blocks: DataFrame, near: float = 18, most: int = 3) -> DataFrame:

@@ -1,5 +1,7 @@
 """Operators on pages, images, index, votes and generation."""
 
+import uuid
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -7,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lumenfig.fakes import HashEmbedder, RawGrey, Script
+from lumenfig.fakes import HashEmbedder, RawGrey, Script, ThinGrey
 from lumenfig.operators import enrich, grouped, images, index, layout, ratings, search
 from lumenfig.sources import files, manifests
 
@@ -421,6 +423,38 @@ def test_growth_of_boxes_over_their_pages(spark):
     assert [None if r[0] is None else codec.grey(bytes(r[0])).shape for r in wide.select(images.payloads(F.col("png"), codec)).collect()] == [(5, 1024), None, None]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 2**32 - 1))
+def test_growth_over_dark_pixels_is_growth_over_prefix_sums(seed):
+    rng = np.random.default_rng(seed)
+    grey = np.full((300, 280), 255, np.uint8)
+    for x, y, w, h in rng.integers(0, 270, (rng.integers(0, 8), 4)):
+        grey[y : y + h // 3, x : x + w // 3] = rng.integers(0, 255)
+    x0, y0, top, left = (int(v) for v in rng.integers(0, 260, 4))
+    box, right = [x0, y0, min(280, x0 + int(rng.integers(0, 90))), min(300, y0 + int(rng.integers(0, 90)))], int(rng.integers(0, 281))
+    allow = int(rng.choice([4, 20, 200]))
+    assert images.grown(grey < images.WHITE, box, top, left, right, allow=allow) == images.grown(images.prefix_sums(grey), box, top, left, right, allow=allow)
+    assert (ThinGrey().grey(ThinGrey().pack(grey)) == grey).all()
+
+
+def test_each_raster_is_read_once_a_pass(spark, tmp_path):
+    from lumenfig.operators import extract
+
+    class Counted(ThinGrey):
+        def grey(self, content):
+            (tmp_path / uuid.uuid4().hex).touch()
+            return super().grey(content)
+
+    page = "doc_id STRING, page INT, ord INT, "
+    xy = "x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE"
+    boxes = spark.createDataFrame([("d", 2, 0, 3, 0.9, 100.0, 100.0, 300.0, 200.0)], f"{page}cls INT, score DOUBLE, {xy}")
+    blocks = spark.createDataFrame([("d", 2, 0, "Figure 1: yield", 100.0, 210.0, 300.0, 230.0), ("d", 3, 0, "plain words", 100.0, 210.0, 300.0, 230.0)], f"{page}text STRING, {xy}")
+    none = spark.createDataFrame([], f"doc_id STRING, page INT, {xy}")
+    pages = spark.createDataFrame([("d", 2, bytearray(ThinGrey().pack(np.zeros((620, 620), np.uint8))))], "doc_id STRING, page INT, png BINARY")
+    got = extract.figures(pages, boxes, blocks, none, none, 620, 620, Counted()).collect()
+    assert [(r["page"], r["id"], r["caption"]) for r in got] == [(2, 1, "Figure 1: yield")] and len(list(tmp_path.iterdir())) == 1
+
+
 def test_rasters_are_never_broadcast(spark):
     codec = RawGrey()
     grey = np.full((300, 300), 255, np.uint8)
